@@ -145,6 +145,8 @@ def match(values: DataFrame, refs: DataFrame) -> DataFrame:
     """
     exact = cut(refs.groupBy("slot", "ref").agg(F.max("target_id").alias("target_id")), "refs")
     least = lambda df: df.groupBy("slot", "key").agg(F.max("target_id").alias("target_id"))
+    width = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)  # few bytes, much work: no coalescing
+    values = values.repartition(width, "key")
     spelled = values.select("slot", "key", "text", F.explode(spellings(F.col("text"))).alias("ref")).join(bounded(exact), ["slot", "ref"], "left")
     tried = cut(spelled.groupBy("slot", "key", "text").agg(F.max("target_id").alias("target_id"), F.collect_set("ref").alias("refs")), "tried")
     left0 = tried.where("target_id is null")

@@ -11,6 +11,12 @@ def p1_found(spark, d):
     return mapping_found(table(spark, d, "summary_rows"), table(spark, d, "synonyms"), table(spark, d, "benefit_catalog"))
 
 
+def p2_found(spark, d):
+    from coverline.llm.incremental import repeats_found
+
+    return repeats_found(*[table(spark, d, t) for t in ("summary_rows", "artifacts", "synonyms", "benefit_catalog")])
+
+
 def p5_found(spark, d):
     from coverline.llm.formatting import copies_found
 
@@ -23,6 +29,12 @@ def p6_found(spark, d):
     return looks_found(table(spark, d, "summary_rows"), table(spark, d, "benefit_catalog"), table(spark, d, "contracts"))
 
 
+def p9_found(spark, d):
+    from coverline.llm.sentences import sentence_units
+
+    return sentence_units(table(spark, d, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1].isdigit()}
 
