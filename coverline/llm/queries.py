@@ -17,6 +17,12 @@ def p2_found(spark, d):
     return repeats_found(*[table(spark, d, t) for t in ("summary_rows", "artifacts", "synonyms", "benefit_catalog")])
 
 
+def p4_found(spark, d):
+    from coverline.llm.scans import defects_found
+
+    return defects_found(table(spark, d, "summary_rows"), table(spark, d, "amount_entries"))
+
+
 def p5_found(spark, d):
     from coverline.llm.formatting import copies_found
 
