@@ -35,6 +35,30 @@ def p6_found(spark, d):
     return looks_found(table(spark, d, "summary_rows"), table(spark, d, "benefit_catalog"), table(spark, d, "contracts"))
 
 
+def p7_containers(spark, d):
+    from coverline.llm.packing import containers
+
+    return containers(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def p7_fill(spark, d):
+    from coverline.llm.packing import fills
+
+    return fills(p7_containers(spark, d))
+
+
+def p8_selection(spark, d):
+    from coverline.llm.mixing import mixed
+
+    return mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark, d):
+    from coverline.llm.mixing import shares
+
+    return shares(p8_selection(spark, d), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark, d):
     from coverline.llm.sentences import sentence_units
 
