@@ -103,14 +103,18 @@ def spellings(text: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(plain, F.when(F.length(bare) > 0, bare), *typed)))
 
 
-def slips(key: Column) -> Column:
-    """Variants of a key with one repeated syllable taken out or two neighbouring syllables exchanged."""
-    at = lambda i, n: F.substring(key, i, n)
-    doubled = F.regexp_replace(key, r"(.)\1", "$1")
-    swap = lambda i: F.concat(at(F.lit(1), i - 1), at(i + 1, F.lit(1)), at(i, F.lit(1)), at(i + 2, F.length(key)))
-    drop = lambda i: F.when(at(i, F.lit(1)) == at(i + 1, F.lit(1)), F.concat(at(F.lit(1), i), at(i + 2, F.length(key))))
-    steps = F.sequence(F.lit(1), F.greatest(F.length(key) - 1, F.lit(1)))
-    return F.array_distinct(F.array_compact(F.concat(F.array(doubled), F.transform(steps, swap), F.transform(steps, drop))))
+def slips(t: Column) -> Column:
+    """Letter sequences of a text with one repeated syllable taken out or two neighbouring syllables exchanged."""
+    syllables = F.transform(F.split(t, ""), letters)
+
+    def variants(arr: Column) -> Column:
+        n = F.size(arr)
+        steps = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
+        swap = lambda i: F.concat(F.slice(arr, 1, i - 1), F.slice(arr, i + 1, 1), F.slice(arr, i, 1), F.slice(arr, i + 2, n))
+        drop = lambda i: F.when(F.get(arr, i - 1) == F.get(arr, i), F.concat(F.slice(arr, 1, i), F.slice(arr, i + 2, n)))
+        return F.transform(F.array_compact(F.concat(F.transform(steps, swap), F.transform(steps, drop))), lambda x: F.array_join(x, ""))
+
+    return F.array_distinct(F.flatten(F.transform(F.array(syllables), variants)))
 
 
 def _segments(refs: DataFrame, k: int) -> DataFrame:
@@ -146,11 +150,11 @@ def match(values: DataFrame, refs: DataFrame) -> DataFrame:
     exact = cut(refs.groupBy("slot", "ref").agg(F.max("target_id").alias("target_id")), "refs")
     least = lambda df: df.groupBy("slot", "key").agg(F.max("target_id").alias("target_id"))
     width = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)  # few bytes, much work: no coalescing
-    values = values.repartition(width, "key")
+    values = values.repartition(width, F.xxhash64("key"))
     spelled = values.select("slot", "key", "text", F.explode(spellings(F.col("text"))).alias("ref")).join(bounded(exact), ["slot", "ref"], "left")
     tried = cut(spelled.groupBy("slot", "key", "text").agg(F.max("target_id").alias("target_id"), F.collect_set("ref").alias("refs")), "tried")
-    left0 = tried.where("target_id is null")
-    swapped = left0.select("slot", "key", F.explode(F.transform(F.array_union(slips(compact(F.col("text"))), slips(compact(without_fillers(F.col("text"))))), letters)).alias("ref"))
+    left0 = tried.where("target_id is null").repartition(width)
+    swapped = left0.select("slot", "key", F.explode(F.array_union(slips(compact(F.col("text"))), slips(compact(without_fillers(F.col("text")))))).alias("ref"))
     step1 = cut(least(swapped.join(bounded(exact), ["slot", "ref"])), "step1")
     spelled1 = left0.join(step1, ["slot", "key"], "left_anti").select("slot", "key", F.explode("refs").alias("spelling")).where("spelling <> ''")
     step2 = cut(nearest(spelled1, exact, 1), "step2")
