@@ -44,7 +44,7 @@ MORE_DISEASES = {
 MORE_ACTIONS = {
     "진단": ["판정비", "확진 위로금", "확진금", "진단 위로금", "diagnosis"], "재진단": ["2차 확진비", "2차 진단비", "재확진비", "재발 확진비"],
     "수술": ["오퍼레이션비", "집도비", "수술금", "surgery"], "입원": ["병상일당", "입원금", "입원수당"], "통원": ["내원비", "통원금", "통원일당"],
-    "치료": ["요법비", "치료금", "시술비"], "검사": ["테스트비", "검사금", "검진비"], "간병": ["돌봄비", "간병금"],
+    "치료": ["요법비", "치료금"], "검사": ["테스트비", "검사금", "검진비"], "간병": ["돌봄비", "간병금"],
     "재활": ["리햅비", "재활금", "재활치료비"], "생활": ["생계비", "생활금", "생계자금"], "사망": ["유고금", "사망금", "유족위로금"],
 }
 # Words around a name that do not change what it means.
@@ -138,7 +138,7 @@ def nearest(values: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """(slot, key, target_id) of values within k edits of a reference, by the pigeonhole join on k+1 segments."""
     pairs = _probes(values, k).join(_segments(refs, k), ["slot", "len", "no", "seg"]).select("slot", "key", "spelling", "ref", "target_id").distinct()
     near = pairs.select("slot", "key", "target_id", F.levenshtein("spelling", "ref", k).alias("d")).where("d >= 0")
-    return near.groupBy("slot", "key").agg(F.min(F.struct("d", "target_id")).alias("m")).select("slot", "key", F.col("m.target_id").alias("target_id"))
+    return near.groupBy("slot", "key").agg(F.min(F.struct("d", (F.col("target_id") < 0).alias("none"), "target_id")).alias("m")).select("slot", "key", F.col("m.target_id").alias("target_id"))
 
 
 def match(values: DataFrame, refs: DataFrame) -> DataFrame:
