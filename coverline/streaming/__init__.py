@@ -1 +1 @@
-
+"""Detail rows as a stream."""
