@@ -18,7 +18,6 @@ documents are documents of their own; empty tables give empty results; the draw
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,8 +114,8 @@ def mixed(documents: DataFrame, mix_targets: DataFrame, seed: int = 20150104) ->
         dealt += [(mix, *x) for x in plan(targets, blocks, seed + mix)]
     if not dealt:
         return spark.createDataFrame([], empty)
-    frame = pd.DataFrame(dealt, columns=["mix_id", "source", "block", "repeat_no", "shard", "take"]).astype({"take": "Int64"})
-    dealt_df = spark.createDataFrame(frame, "mix_id long, source string, block int, repeat_no long, shard long, take long")
+    rows_out = [(int(m), s, int(b), int(r), int(shard), None if take is None else int(take)) for m, s, b, r, shard, take in dealt]
+    dealt_df = spark.createDataFrame(rows_out, "mix_id long, source string, block int, repeat_no long, shard long, take long")
     drawn = blocked.join(F.broadcast(dealt_df), ["source", "block"])
     order = F.xxhash64("doc_id", "mix_id", "repeat_no", F.lit(seed))
     whole = drawn.where("take is null")
