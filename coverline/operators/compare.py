@@ -78,9 +78,10 @@ def compared(pairs: DataFrame, our: DataFrame, comp: DataFrame) -> DataFrame:
     side = lambda df, name: df.select(F.col("ord").alias(f"{name}_ord"), F.struct(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in SIDE]).alias(name))
     both = pairs.join(side(our, "our"), "our_ord", "left").join(side(comp, "comp"), "comp_ord", "left")
     info = lambda r: A.info(F.col(f"{r}.amount"), F.col(f"{r}.amount_condition"), F.coalesce(F.col(f"{r}.amounts"), F.array().cast("array<struct<amount:string,condition:string,reduction_note:string,trigger:string>>")))
-    verdict = F.when(F.col("match_type") == "our_only", F.struct(F.lit(ONLY_OURS).alias("advantage"), F.lit("").alias("rationale"))).when(F.col("match_type") == "comp_only", F.struct(F.lit(ONLY_THEIRS).alias("advantage"), F.lit("").alias("rationale"))).otherwise(amount_verdict(info("our"), info("comp")))
+    verdict = F.when(F.col("match_type") == "our_only", F.struct(F.lit(ONLY_OURS).alias("advantage"), F.lit("").alias("rationale"))).when(F.col("match_type") == "comp_only", F.struct(F.lit(ONLY_THEIRS).alias("advantage"), F.lit("").alias("rationale"))).otherwise(amount_verdict(F.col("ai"), F.col("bi")))
     show = lambda r: F.when(F.col(f"{r}_ord").isNull(), "").otherwise(slot_value(r, "amount_display"))
-    return both.withColumn("v", verdict).select("key", "match_type", "our_ord", "comp_ord", text(F.col("our.benefit_name")).alias("our_name"), text(F.col("comp.benefit_name")).alias("comp_name"), show("our").alias("our_amount"), show("comp").alias("comp_amount"), F.col("v.advantage").alias("advantage"), F.col("v.rationale").alias("rationale"), "our", "comp")
+    both = both.withColumns({"ai": info("our"), "bi": info("comp"), "our_shown": show("our"), "comp_shown": show("comp")}).withColumn("v", verdict)
+    return both.select("key", "match_type", "our_ord", "comp_ord", text(F.col("our.benefit_name")).alias("our_name"), text(F.col("comp.benefit_name")).alias("comp_name"), F.col("our_shown").alias("our_amount"), F.col("comp_shown").alias("comp_amount"), F.col("v.advantage").alias("advantage"), F.col("v.rationale").alias("rationale"), "our", "comp")
 
 
 def slot_table(pairs: DataFrame, rules=RULES) -> DataFrame:
