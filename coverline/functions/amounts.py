@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from coverline.functions import fixed
+from coverline.functions.bind import let
 from coverline.functions.text import clean, squeeze, strip, text
 
 ENTRY = "struct<condition:string,amount:string,reduction_note:string>"
@@ -95,18 +96,20 @@ def manwon(v: Column) -> Column:
 def display(amount, condition, entries: Column) -> Column:
     """Amounts by short condition (least to greatest), in order of first appearance; without entries the plain amount."""
     keyed = F.filter(F.transform(entries, lambda e: F.struct(F.when(text(e["condition"]) != "", short_condition(e["condition"])).otherwise("").alias("k"), won(e["amount"]).alias("v"))), lambda x: x["v"].isNotNull())
-    groups = F.array_distinct(F.transform(keyed, lambda x: x["k"]))
 
-    def line(k):
-        vals = F.transform(F.filter(keyed, lambda x: x["k"] == k), lambda x: x["v"])
-        lo, hi = F.array_min(vals), F.array_max(vals)
-        span = F.when(lo == hi, manwon(lo)).otherwise(F.concat_ws("~", manwon(lo), manwon(hi)))
-        return F.when(k == "", span).otherwise(F.concat_ws(" ", k, span))
+    def line(k, values):
+        def show(vals):
+            lo, hi = F.array_min(vals), F.array_max(vals)
+            span = F.when(lo == hi, manwon(lo)).otherwise(F.concat_ws("~", manwon(lo), manwon(hi)))
+            return F.when(k == "", span).otherwise(F.concat_ws(" ", k, span))
 
+        return let(F.transform(F.filter(values, lambda x: x["k"] == k), lambda x: x["v"]), show)
+
+    grouped = let(keyed, lambda values: F.array_join(F.transform(F.array_distinct(F.transform(values, lambda x: x["k"])), lambda k: line(k, values)), "\n"))
     a, c = text(amount), text(condition)
     plain = F.when((c != "") & (a != "") & ~a.contains(c), strip(F.concat_ws(" ", F.coalesce(F.nullif(short_condition(c), F.lit("")), c), a))).otherwise(a)
     first = F.coalesce(F.nullif(F.try_element_at(entries, F.lit(1))["amount"], F.lit("")), a)
-    return F.when(F.size(entries) == 0, plain).when(F.size(groups) > 0, F.array_join(F.transform(groups, line), "\n")).otherwise(first)
+    return F.when(F.size(entries) == 0, plain).otherwise(let(grouped, lambda g: F.when(g != "", g).otherwise(first)))
 
 
 def info(amount, condition, entries: Column) -> Column:
@@ -119,9 +122,9 @@ def info(amount, condition, entries: Column) -> Column:
     return F.struct(F.coalesce(F.array_max(F.transform(entries, lambda e: won(e["amount"]))), won(amount)).alias("value"), (several | single).alias("conditional"), note.alias("note"))
 
 
-def similarity(a, b) -> Column:
-    """Share of common characters of two amounts; equal texts 1, one missing 0."""
-    x, y = F.array_distinct(F.split(text(a), "")), F.array_distinct(F.split(text(b), ""))
+def similarity(a, b, characters: tuple[Column, Column] | None = None) -> Column:
+    """Share of common characters of two amounts (their distinct characters may be given); equal texts 1, one missing 0."""
+    x, y = characters or (F.array_distinct(F.split(text(a), "")), F.array_distinct(F.split(text(b), "")))
     share = F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))
     return F.when(text(a) == text(b), 1.0).when((text(a) == "") | (text(b) == ""), 0.0).otherwise(share)
 

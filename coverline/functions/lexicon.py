@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coverline.functions import fixed
+from coverline.functions.bind import let
 from coverline.functions.text import match_text, without_type
 
 #: Spellings a lexicon may hold; more belong into a table joined by operators, not into literals.
 MAX_SPELLINGS = 5_000
-KEY_SLOTS = ("condition", "disease", "action")
 
 
 @dataclass(frozen=True)
@@ -64,8 +64,14 @@ def slot_label(t: Column, lexicon: Lexicon, slot: str) -> Column:
     by_length = sorted(enumerate(lexicon.entries(slot)), key=lambda x: (-len(x[1][0]), x[0]))
     if not by_length:
         return F.lit("")
-    table = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(label).alias("label")) for _, (s, label) in by_length])
-    return F.coalesce(F.try_element_at(F.filter(table, lambda e: t.contains(e["s"])), F.lit(1))["label"], F.lit(""))
+
+    def longest(x: Column) -> Column:
+        out = None
+        for _, (s, label) in by_length:  # the first that is contained ends the search
+            out = F.when(x.contains(s), label) if out is None else out.when(x.contains(s), label)
+        return out.otherwise("")
+
+    return let(t, longest)
 
 
 def masked(t: Column, lexicon: Lexicon, slot: str = "action") -> Column:
@@ -73,26 +79,25 @@ def masked(t: Column, lexicon: Lexicon, slot: str = "action") -> Column:
     words = sorted((s for s, _ in lexicon.entries(slot)), key=len, reverse=True)
     if not words:
         return t
-    return F.aggregate(F.array(*map(F.lit, words)), t, lambda acc, w: F.replace(acc, w, F.repeat(F.lit(" "), F.length(w))))
+    blank = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(" " * len(w)).alias("b")) for w in words])
+    return F.aggregate(blank, t, lambda acc, x: F.replace(acc, x["w"], x["b"]))
 
 
 def canonical_key(name, lexicon: Lexicon = DEFAULT) -> Column:
     """Condition, disease and action of a name joined by "|"; a name without any is its own key, a blank one ""."""
-    whole = match_text(name)
-    bare = without_type(whole)
-    parts = {
-        "condition": slot_label(bare, lexicon, "condition"),
-        "disease": slot_label(masked(bare, lexicon), lexicon, "disease"),
-        "action": F.coalesce(F.nullif(slot_label(bare, lexicon, "action"), F.lit("")), slot_label(whole, lexicon, "action")),
-    }
-    key = F.array_join(F.filter(F.array(*[parts[s] for s in KEY_SLOTS]), lambda p: p != ""), "|")
-    return F.when(whole == "", "").when(key == "", whole).otherwise(key)
+
+    def key_of(whole: Column, bare: Column) -> Column:
+        action = let(slot_label(bare, lexicon, "action"), lambda x: F.when(x != "", x).otherwise(slot_label(whole, lexicon, "action")))
+        parts = F.array(slot_label(bare, lexicon, "condition"), slot_label(masked(bare, lexicon), lexicon, "disease"), action)
+        return let(F.array_join(F.filter(parts, lambda p: p != ""), "|"), lambda key: F.when(key == "", whole).otherwise(key))
+
+    return let(match_text(name), lambda whole: F.when(whole == "", "").otherwise(let(without_type(whole), lambda bare: key_of(whole, bare))))
 
 
 def key_action(key: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """The last part of a key that is an action, else ""."""
-    labels = F.array(*map(F.lit, lexicon.labels("action")))
-    return F.coalesce(F.try_element_at(F.filter(F.split(key, r"\|"), lambda p: F.array_contains(labels, p)), F.lit(-1)), F.lit(""))
+    labels = lexicon.labels("action")
+    return F.coalesce(F.try_element_at(F.filter(F.split(key, r"\|"), lambda p: p.isin(labels)), F.lit(-1)), F.lit(""))
 
 
 def is_raw(name, key: Column) -> Column:

@@ -12,25 +12,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverline.functions.amounts import similarity
+from coverline.functions.bind import let
 from coverline.functions.text import text
 
 
 def grouped(side: DataFrame, name: str) -> DataFrame:
-    """A2: per key the ordered (ord, amount) of one side."""
-    return side.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ord", text("amount").alias("amount")))).alias(name))
+    """A2: per key the ordered (ord, amount, characters of the amount) of one side."""
+    amount = text("amount")
+    return side.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ord", amount.alias("amount"), F.array_distinct(F.split(amount, "")).alias("chars")))).alias(name))
 
 
 def paired(our: DataFrame, comp: DataFrame) -> DataFrame:
     """(key, our_ord, comp_ord, match_type) from two sides of (ord, key, amount)."""
-    item = "struct<ord:bigint,amount:string>"
+    item = "struct<ord:bigint,amount:string,chars:array<string>>"
     both = grouped(our, "ours").join(grouped(comp, "comps"), "key", "full").withColumns({s: F.coalesce(s, F.array().cast(f"array<{item}>")) for s in ("ours", "comps")})
     start = F.struct(F.array().cast("array<struct<our:bigint,comp:bigint>>").alias("pairs"), F.col("comps").cast(f"array<{item}>").alias("free"))
+    score = lambda o, c: similarity(o["amount"], c["amount"], (o["chars"], c["chars"]))
 
     def step(acc, o):
-        best = F.array_max(F.transform(acc["free"], lambda c: F.struct(similarity(o["amount"], c["amount"]).alias("score"), (-c["ord"]).alias("neg"))))
-        taken = -best["neg"]
-        pair = F.struct(o["ord"].alias("our"), taken.alias("comp"))
-        return F.struct(F.concat(acc["pairs"], F.array(pair)).alias("pairs"), F.filter(acc["free"], lambda c: taken.isNull() | (c["ord"] != taken)).alias("free"))
+        best = F.array_max(F.transform(acc["free"], lambda c: F.struct(score(o, c).alias("score"), (-c["ord"]).alias("neg"))))
+
+        def take(taken):
+            pair = F.struct(o["ord"].alias("our"), taken.alias("comp"))
+            return F.struct(F.concat(acc["pairs"], F.array(pair)).alias("pairs"), F.filter(acc["free"], lambda c: taken.isNull() | (c["ord"] != taken)).alias("free"))
+
+        return let(-best["neg"], take)
 
     folded = both.select("key", F.aggregate("ours", start, step).alias("r"))
     left = F.transform("r.free", lambda c: F.struct(F.lit(None).cast("long").alias("our"), c["ord"].alias("comp")))
