@@ -55,14 +55,14 @@ def count_tokens(text: str | None, enc) -> int:
 
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS, name: str = RANKS, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_tokens, …extra) of every document; one narrow pass."""
+    """(doc_id, n_tokens, …extra) of every document that has an id; one narrow pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(folder, name)
         for pdf in batches:
             yield pdf.drop(columns="text").assign(n_tokens=[count_tokens(t, enc) for t in pdf["text"]])
 
-    narrow = documents.select("doc_id", *extra, "text")
+    narrow = documents.where("doc_id is not null").select("doc_id", *extra, "text")
     kinds = dict(narrow.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in ("doc_id", *extra)] + ["n_tokens long"])
     return narrow.mapInPandas(run, schema)
