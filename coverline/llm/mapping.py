@@ -50,7 +50,7 @@ MORE_ACTIONS = {
 # Words around a name that do not change what it means.
 PREFIX_WORDS = r"^(?:\(?신\)|\(무\)|신규\s)"
 SUFFIX_WORDS = r"(?:\s*(?:\(특약\)|\[특약\]|보장특약|특약|담보|지급|등|\(?\s*[1-9]회한\s*\)?|\[\s*[1-9]회한\s*\]|보장|급부))+$"
-INNER_WORDS = r"(?<=\S)(?:\s*에\s*대한|\s*관련|의|시)(?=[\s/·,:_\-\[(])"
+INNER_WORDS = r"(?<=\S)(?:[\s\p{P}]*에[\s\p{P}]*대한|[\s\p{P}]*관련|(?:의|시)(?=[\s/·,:_\-\[(]))"
 #: Values shorter than this many letters are matched within one edit only.
 SHORT = 9
 
@@ -100,7 +100,8 @@ def spellings(text: Column) -> Column:
     keys = F.regexp_replace(text, r"[^A-Za-z]+", "")
     latin = keys.rlike(".") & ~text.rlike(r"[^\p{ASCII}\p{P}\s]")
     typed = [F.when(latin, F.translate(k, _KEYS_FROM, _KEYS_TO)) for k in (keys, F.lower(keys))]
-    return F.array_distinct(F.array_compact(F.array(plain, F.when(F.length(bare) > 0, bare), *typed)))
+    linked = letters(F.regexp_replace(compact(without_fillers(text)), "(?<=.)의", ""))
+    return F.array_distinct(F.array_compact(F.array(plain, F.when(F.length(bare) > 0, bare), F.when(text.contains("의") & (F.length(bare) > 0), linked), *typed)))
 
 
 def slips(t: Column) -> Column:
