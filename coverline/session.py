@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +31,23 @@ def get_session(app: str = "coverline", cores: str = "*", shuffle_partitions: in
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, unless they find it by themselves (working directory or PYTHONPATH)."""
+    root = Path(__file__).resolve().parents[1]
+    sc = spark.sparkContext
+    if getattr(sc, "_coverline_shipped", False) or Path.cwd() == root or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    target = Path(tempfile.mkdtemp(prefix="coverline-package-")) / "coverline.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(Path(__file__).resolve().parent.rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._coverline_shipped = True
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
