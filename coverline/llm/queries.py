@@ -69,5 +69,16 @@ def queries():
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1].isdigit()}
 
 
+# Copies by canonical text, worked out by plain grouping; white space as the engine's expressions know it.
+_P5 = r"""
+WITH c AS (
+  SELECT row_id, lower(regexp_replace(concat_ws(chr(1), {fields}, CASE WHEN json_valid(amount_detail) AND json_type(amount_detail) = 'ARRAY' THEN array_to_string(list_transform(CAST(json_extract(amount_detail, '$[*]') AS JSON[]),
+    lambda o: array_to_string(list_transform(list_sort(json_keys(o)), lambda k: k || chr(2) || coalesce(json_extract_string(o, k), '')), chr(3))), chr(4)) ELSE coalesce(amount_detail, '') END),
+    '[\s\x0b\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\pP]+', '', 'g')) AS t FROM summary_rows)
+SELECT min(row_id) AS keep_row_id, count(*) AS n_copies FROM c GROUP BY t HAVING count(*) >= 2"""
+
+
 def oracle_sql():
-    return {}
+    from coverline.llm.formatting import FIELDS
+
+    return {"p5_found": _P5.replace("{fields}", ", ".join(f"coalesce({f}, '')" for f in FIELDS)).replace("\\\\", "\\")}
