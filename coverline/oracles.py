@@ -250,4 +250,89 @@ def sql() -> dict[str, str]:
         "first_pages": "SELECT doc_id, array_to_string(string_split(text, chr(10) || chr(10))[1:3], chr(10)) AS text FROM documents WHERE text IS NOT NULL",
         "company_keys": f"SELECT contract_id, lower(regexp_replace({strip(q(' ') + ' || insurer || ' + q(' Life　'))}, '[ 　]', '', 'g')) AS key FROM contracts",
     }
-    return out
+    return out | more_sql()
+
+
+def amount_entries_of(e: str) -> str:
+    """A JSON list column as a list of (amount, condition), [] for anything else."""
+    return f"CASE WHEN ltrim({t(e)}) LIKE '[%' AND json_valid({e}) THEN list_transform(CAST(json_extract({e}, '$[*]') AS JSON[]), lambda o: {{'a': coalesce(json_extract_string(o, '$.amount'), ''), 'c': coalesce(json_extract_string(o, '$.condition'), '')}}) ELSE [] END"
+
+
+FLAT = """
+  SELECT c.contract_id, c.insurer, c.product_name, c.contract_name, c.contract_type, coalesce(c.contract_code, '') AS code, c.source_pdf,
+    row_number() OVER (PARTITION BY c.insurer, c.product_name ORDER BY CASE WHEN contract_type = 'main' THEN 0 ELSE 1 END, contract_id) - 1 AS contract_ord
+  FROM contracts c"""
+KEPT = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY insurer, product_name, coalesce(contract_name, ''), code, coalesce(source_pdf, '') ORDER BY contract_ord) AS nth FROM ({FLAT})) WHERE nth = 1"
+ROWS_OF = "SELECT row_id, product_name, contract_name, benefit_name, trigger FROM summary_rows WHERE product_name IS NOT NULL AND contract_name IS NOT NULL"
+
+
+def more_sql() -> dict[str, str]:
+    """SQL of nested and composed queries."""
+    benefits = f"SELECT f.product_name, f.contract_name, row_number() OVER (PARTITION BY f.contract_id ORDER BY b.row_id) - 1 AS benefit_ord, b.row_id, coalesce(b.benefit_name, '') AS benefit_name, coalesce(b.trigger, '') AS trigger, f.insurer, f.source_pdf FROM ({KEPT}) f JOIN ({ROWS_OF}) b ON b.product_name = f.product_name AND b.contract_name = f.contract_name"
+    entries = "SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY entry_no, entry_id) - 1 AS amount_ord, count(*) OVER (PARTITION BY row_id) AS n, coalesce(amount, '') AS amount, coalesce(condition, '') AS amount_condition, coalesce(reduction_note, '') AS reduction_note FROM amount_entries WHERE row_id IS NOT NULL"
+    exported = f"SELECT b.*, coalesce(e.amount_ord, 0) AS amount_ord, coalesce(e.n, 0) AS n, coalesce(e.amount, '') AS amount, coalesce(e.amount_condition, '') AS amount_condition FROM ({benefits}) b LEFT JOIN ({entries}) e USING (row_id)"
+    key = "substr(md5(concat_ws('|', coalesce(insurer,''), coalesce(product_name,''), coalesce(contract_name,''), benefit_name, amount, amount_condition, substr(trigger,1,200), coalesce(source_pdf,''))), 1, 16)"
+    labels = list(dict.fromkeys([*DEFAULT.labels("disease"), *fixed.MORE_COVERED, *fixed.COMPOSITE]))
+    known = "[" + ", ".join(map(q, labels)) + "]"
+    composite = " ".join(f"WHEN d = {q(k)} THEN [{', '.join(map(q, v))}]" for k, v in fixed.COMPOSITE.items())
+    actions = "[" + ", ".join(map(q, DEFAULT.labels("action"))) + "]"
+    lines = "SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split('주) ' || text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)"
+    trimmed = f"SELECT doc_id, line_no, {strip('line')} AS line FROM ({lines})"
+    body = rf"SELECT * FROM ({trimmed}) WHERE line <> '' AND NOT regexp_matches(line, '^\\s*[0-9]+\\s*/\\s*[0-9]+\\s*$')".replace("\\\\", "\\")
+    mark = f"regexp_matches(line, {rx(r'^주\s*\)')})"
+    content = f"CASE WHEN {mark} THEN {strip('regexp_replace(line, ' + rx(r'^주\s*\)\s*') + ', ' + q('') + ')')} ELSE line END"
+    opens = f"({mark} OR regexp_matches(line, {rx(r'^\d{1,2}\.\s')}))"
+    hit = f"regexp_matches(line, {rx(r'\d[\d,]*\s*만?\s*원|\d+회당|\d+%')})"
+    inside = f"SELECT *, max(CASE WHEN {mark} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS inside, {content} AS content FROM ({body})"
+    keys = keyed("SELECT DISTINCT benefit_name FROM summary_rows WHERE coalesce(benefit_name, '') <> ''")
+    ent = amount_entries_of("amount_detail")
+    shorts = f"list_distinct(list_filter(list_transform(list_filter(e, lambda x: {strip('x.c')} <> ''), lambda x: {short_condition('x.c')}), lambda y: y <> ''))"
+    ordered = "list_filter(s, lambda y, i: list_position(s, y) = i)"
+    main = strip("ac")
+    single = f"(len(e) <= 1 AND {main} <> '' AND (regexp_matches({main}, {rx(fixed.PERIOD_LIMIT)}) OR NOT regexp_matches({main}, {rx(fixed.PERIODIC)})))"
+    at = "CAST(CASE WHEN insurer = " + OUR + " THEN 1 ELSE 0 END AS BIGINT)"
+    man = lambda e: f"format('{{:,}}', CAST(floor({e} / 10000.0) AS BIGINT)) || '만원'"
+    note = r"regexp_replace(coalesce(notes_summary, ''), " + rx(r"\n(\d{1,2}\.\s)") + r", ' ' || chr(1) || ' \1', 'g')"
+    for before, after in (("가-힣", "가-힣"), ("가-힣", "A-Za-z0-9"), ("A-Za-z0-9", "가-힣"), ("0-9년개월회%", "이가을를은는의에으"), ("\"')\\]", "가-힣"), ("가-힣", "\"'(\\[")):
+        for _ in range(2):
+            note = f"regexp_replace({note}, {q(f'([{before}])' + chr(10) + f'([{after}])')}, '\\1\\2', 'g')"
+    note = f"replace(regexp_replace({note}, '[ \t\n]+', ' ', 'g'), ' ' || chr(1) || ' ', ' ')"
+    for broken, whole in fixed.BROKEN_PHRASES:
+        note = f"replace({note}, {q(broken)}, {q(whole)})"
+    note = strip(note)
+    cell = "concat_ws(' ', nullif(coalesce(condition,''), ''), nullif(coalesce(amount,''), ''), CASE WHEN coalesce(reduction_note,'') <> '' THEN '(단, 보험계약일부터 1년 ' || reduction_note || ' 지급)' END)"
+    red = strip(f"regexp_extract(x, {rx(fixed.REDUCTION)}, 1)")
+    ratio, periodic, plain = f"regexp_extract(x, {rx(fixed.RATIO)}, 0)", rx(r"^(매월|매년\(매회\)|매년)\s*(\d[\d,]+만원)"), f"regexp_extract(x, {rx(fixed.AMOUNT)}, 0)"
+    rest = f"CASE WHEN regexp_extract(after, {rx(r'\(단[,，]\s*.+?\)')}, 0) <> '' THEN {clean('regexp_extract(after, ' + rx(r'\(단[,，]\s*.+?\)') + ', 0)')} ELSE {clean('substr(after, 1, 200)')} END"
+    years = f"regexp_extract_all(x, {rx(fixed.YEAR_AMOUNT)}, 1)"
+    sums = f"regexp_extract_all(x, {rx(fixed.YEAR_AMOUNT)}, 2)"
+    cells = f"""
+    SELECT entry_id, pos - 1 AS pos, {clean('ys[pos]')} AS condition, {clean('ss[pos]')} AS amount, CASE WHEN pos = len(ys) THEN red ELSE '' END AS reduction_note
+    FROM (SELECT *, unnest(range(1, len(ys) + 1)) AS pos FROM (SELECT entry_id, {years} AS ys, {sums} AS ss, {red} AS red FROM (SELECT entry_id, {clean(cell)} AS x FROM amount_entries)) WHERE len(ys) > 0)
+    UNION ALL
+    SELECT entry_id, 0, CASE WHEN ratio <> '' THEN CASE WHEN regexp_matches(before, '^(매월|매년|매회)') THEN {strip("before || ' ' || rest")} ELSE rest END WHEN regexp_matches(x, {periodic}) THEN regexp_extract(x, {periodic}, 1) WHEN plain <> '' THEN '' ELSE x END,
+      CASE WHEN ratio <> '' THEN regexp_replace({clean('ratio')}, {rx(r'\s+의\s*')}, '의 ', 'g') WHEN regexp_matches(x, {periodic}) THEN regexp_extract(x, {periodic}, 2) ELSE {clean('plain')} END,
+      CASE WHEN ratio <> '' OR regexp_matches(x, {periodic}) OR plain <> '' THEN red ELSE '' END
+    FROM (SELECT *, {rest} AS rest FROM (SELECT *, {strip("substr(x, 1, strpos(x, ratio) - 1)")} AS before, {strip("substr(x, strpos(x, ratio) + length(ratio))")} AS after FROM (SELECT entry_id, x, {ratio} AS ratio, {plain} AS plain, {red} AS red, len({years}) AS ny FROM (SELECT entry_id, {clean(cell)} AS x FROM amount_entries)))) WHERE ny = 0 AND x <> ''"""
+    return {
+        "contracts_flat": f"SELECT f.product_name, coalesce(f.contract_name, '') AS name, f.code, f.contract_ord, (SELECT count(*) FROM ({ROWS_OF}) b WHERE b.product_name = f.product_name AND b.contract_name = f.contract_name) AS n_benefits FROM ({KEPT}) f",
+        "benefits_flat": f"SELECT product_name, contract_name, benefit_ord, 0 AS name_ord, benefit_name, trigger, coalesce(n, 0) AS n_amounts FROM ({benefits}) LEFT JOIN (SELECT row_id, count(*) AS n FROM amount_entries WHERE row_id IS NOT NULL GROUP BY row_id) USING (row_id)",
+        "details_exported": f"SELECT product_name, contract_name, benefit_ord, amount_ord, amount, amount_condition, regexp_extract(contract_name, '갱신형|비갱신형', 0) AS renewal_type, regexp_extract(trigger, {rx(fixed.LIMIT)}, 0) AS coverage_limit, {key} AS dedupe_key, n > 1 AS several FROM ({exported})",
+        "details_distinct": f"SELECT DISTINCT {key} AS dedupe_key, product_name, contract_name, benefit_name FROM ({exported})",
+        "slots_cached": "SELECT row_id, coalesce(slots, c.s) AS slots FROM summary_rows r LEFT JOIN (SELECT insurer, benefit_name, max(slots) AS s FROM summary_rows WHERE slots IS NOT NULL AND insurer IS NOT NULL AND benefit_name IS NOT NULL GROUP BY ALL) c ON c.insurer = r.insurer AND c.benefit_name = r.benefit_name",
+        "slots_enriched": "SELECT row_id, slots FROM summary_rows",
+        "cancer_matrix": f"WITH r AS (SELECT *, {first_of(t('benefit_name'), fixed.CANCER_CLASSES, '')} AS class FROM ({RAW})), n AS (SELECT class, count(DISTINCT benefit_name) FILTER (side = 'our') AS our_n, count(DISTINCT benefit_name) FILTER (side = 'comp') AS comp_n, list_slice(list(DISTINCT (row_id, amount) ORDER BY (row_id, amount)) FILTER (side = 'our' AND coalesce(amount, '') <> ''), 1, 2) AS oa, list_slice(list(DISTINCT (row_id, amount) ORDER BY (row_id, amount)) FILTER (side = 'comp' AND coalesce(amount, '') <> ''), 1, 2) AS ca FROM r WHERE class <> '' GROUP BY class) SELECT class, our_n, comp_n, coalesce(array_to_string(list_transform(oa, lambda x: x[2]), ', '), '') AS our_amounts, coalesce(array_to_string(list_transform(ca, lambda x: x[2]), ', '), '') AS comp_amounts FROM n",
+        "coverage_by_disease": sides() + f", d AS (SELECT *, list_filter(string_split(key, '|'), lambda p: list_contains({known}, p))[1] AS d FROM n), x AS (SELECT o, c, unnest(CASE WHEN d IS NULL THEN ['기타'] {composite} ELSE [d] END) AS disease FROM d) SELECT disease, CAST(sum(o) AS BIGINT) AS our, CAST(sum(c) AS BIGINT) AS comp, CAST(sum(least(o, c)) AS BIGINT) AS matched_pairs, CAST(2 * sum(least(o, c)) AS BIGINT) AS matched FROM x GROUP BY disease",
+        "exclusive_actions": sides() + f", a AS (SELECT o, c, coalesce(list_filter(string_split(key, '|'), lambda p: list_contains({actions}, p))[-1], '기타') AS action FROM n) SELECT 'our' AS side, action, CAST(sum(o - c) AS BIGINT) AS n FROM a WHERE o > c GROUP BY action UNION ALL SELECT 'comp', action, CAST(sum(c - o) AS BIGINT) FROM a WHERE c > o GROUP BY action",
+        "line_notes": f"SELECT doc_id, note_no, note FROM (SELECT doc_id, CAST(g AS BIGINT) AS note_no, string_agg(content, ' ' ORDER BY line_no) AS note FROM (SELECT *, sum(CASE WHEN {opens} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM ({inside}) WHERE inside = 1 AND content <> '') WHERE g > 0 GROUP BY doc_id, g) WHERE length(note) > 5",
+        "text_benefits": f"SELECT doc_id, group_no, name, amount FROM (SELECT doc_id, CAST(g AS BIGINT) AS group_no, arg_min(line, line_no) FILTER (NOT hit) AS name, max(line) FILTER (hit) AS amount FROM (SELECT *, coalesce(sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM (SELECT *, {hit} AS hit FROM ({body})) WHERE hit OR length(line) > 3) GROUP BY doc_id, g) WHERE name IS NOT NULL AND amount IS NOT NULL",
+        "component_riders": f"SELECT product_name AS doc_id, rider, min(line_no) AS line_no FROM (SELECT product_name, {strip('contract_name')} AS rider, row_number() OVER (PARTITION BY product_name ORDER BY contract_id, contract_name) + 2 AS line_no FROM contracts WHERE product_name IS NOT NULL) WHERE rider <> '' GROUP BY ALL",
+        "rider_cells": f"SELECT contract_id, 0 AS pos, {clean('contract_name')} AS rider FROM contracts WHERE length({clean('contract_name')}) > 3 AND NOT regexp_matches(contract_name, ' [+] |[+] [가-힣A-Za-z]') UNION ALL SELECT contract_id, CAST(pos - 1 AS BIGINT), l[pos] FROM (SELECT contract_id, l, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT contract_id, list_filter(list_transform(regexp_split_to_array(contract_name, ' ?[+] +'), lambda p: {clean('p')}), lambda p: length(p) > 3) AS l FROM contracts WHERE regexp_matches(contract_name, ' [+] |[+] [가-힣A-Za-z]')))",
+        "contract_headers": f"SELECT contract_id, CASE WHEN ok THEN {clean('contract_name')} END AS name, CASE WHEN ok THEN contract_code END AS code, CASE WHEN ok THEN '1,000만원' END AS reference, CAST(contract_id AS VARCHAR) AS management_no, {clean(q('무배당 ') + ' || product_name')} AS product FROM (SELECT *, regexp_matches(coalesce(contract_code, ''), '^[A-Za-z0-9]+[.][0-9]+([.][0-9]+)?$') AS ok FROM contracts)",
+        "coordinate_benefits": f"WITH b AS ({BLOCKS}), i AS (SELECT *, CAST(sum(CASE WHEN x0 = 50 AND (pp IS NULL OR pp <> page_idx OR y0 - py > 40) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_idx, y0, x0, block_no) AS BIGINT) AS g FROM (SELECT *, lag(page_idx) OVER w AS pp, lag(y0) OVER w AS py FROM b WHERE x0 = 50 AND NOT regexp_matches({clean('text')}, {rx(r'급\s*부\s*명|지\s*급\s*사\s*유|지\s*급\s*금\s*액')}) WINDOW w AS (PARTITION BY doc_id ORDER BY page_idx, y0, x0, block_no) UNION ALL SELECT *, 0, 0 FROM b WHERE x0 > 50 AND NOT regexp_matches({clean('text')}, {rx(r'급\s*부\s*명|지\s*급\s*사\s*유|지\s*급\s*금\s*액')}))) SELECT doc_id, g AS group_no, string_agg({clean('text')}, ' ' ORDER BY page_idx, y0, x0, block_no) FILTER (x0 = 50) AS name, {clean(f'coalesce(string_agg(text, {q(chr(32))} ORDER BY page_idx, y0, x0, block_no) FILTER (x0 = 200), {q(str())})')} AS trigger, count(*) FILTER (x0 = 400 AND regexp_matches({clean('text')}, {rx(fixed.AMOUNT)})) AS n_amounts FROM i WHERE g > 0 GROUP BY doc_id, g",
+        "rider_directories": f"WITH n AS (SELECT DISTINCT contract_name AS name, {squeeze(t('contract_name'))} AS k FROM contracts), d AS (SELECT DISTINCT disease AS directory, {squeeze(t('disease'))} AS k2 FROM benefit_catalog), j AS (SELECT name, directory, k = k2 AS same FROM n JOIN d ON contains(k, k2) OR contains(k2, k) WHERE k <> '' AND k2 <> '') SELECT name, min(directory) AS directory FROM j WHERE same OR name NOT IN (SELECT name FROM j WHERE same) GROUP BY name",
+        "note_repair": f"SELECT row_id, {note} AS note FROM summary_rows",
+        "amount_cells": cells,
+        "amount_display": f"SELECT row_id, CASE WHEN len(e) = 0 THEN CASE WHEN ac <> '' AND am <> '' AND NOT contains(am, ac) THEN {strip('CASE WHEN sc <> ' + q('') + ' THEN sc ELSE ac END || ' + q(' ') + ' || am')} ELSE am END WHEN len(k) > 0 THEN array_to_string(list_transform(list_filter(list_transform(k, lambda x: x.k), lambda y, i: list_position(list_transform(k, lambda x: x.k), y) = i), lambda g: CASE WHEN g = '' THEN '' ELSE g || ' ' END || CASE WHEN list_min(list_transform(list_filter(k, lambda x: x.k = g), lambda x: x.v)) = list_max(list_transform(list_filter(k, lambda x: x.k = g), lambda x: x.v)) THEN {man('list_min(list_transform(list_filter(k, lambda x: x.k = g), lambda x: x.v))')} ELSE {man('list_min(list_transform(list_filter(k, lambda x: x.k = g), lambda x: x.v))')} || '~' || {man('list_max(list_transform(list_filter(k, lambda x: x.k = g), lambda x: x.v))')} END), chr(10)) ELSE coalesce(nullif(e[1].a, ''), am) END AS shown FROM (SELECT row_id, e, am, ac, {short_condition('ac')} AS sc, list_filter(list_transform(e, lambda x: {{'k': CASE WHEN x.c <> '' THEN {short_condition('x.c')} ELSE '' END, 'v': {won('x.a')}}}), lambda z: z.v IS NOT NULL) AS k FROM (SELECT row_id, {ent} AS e, {t('amount')} AS am, {t('amount_condition')} AS ac FROM summary_rows))",
+        "amount_info": f"SELECT row_id, coalesce(list_max(list_transform(e, lambda x: {won('x.a')})), {won('am')}) AS value, len(e) > 1 OR {single} AS conditional, CASE WHEN len(e) > 1 THEN array_to_string({ordered}, ' / ') WHEN {single} THEN CASE WHEN {short_condition(main)} <> '' THEN {short_condition(main)} ELSE substr({main}, 1, 20) END ELSE '' END AS note FROM (SELECT row_id, e, am, ac, list_filter(list_transform(list_filter(e, lambda x: {strip('x.c')} <> ''), lambda x: {short_condition('x.c')}), lambda y: y <> '') AS s FROM (SELECT row_id, {ent} AS e, {t('amount')} AS am, {t('amount_condition')} AS ac FROM summary_rows))",
+    }
