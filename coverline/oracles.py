@@ -250,7 +250,7 @@ def sql() -> dict[str, str]:
         "first_pages": "SELECT doc_id, array_to_string(string_split(text, chr(10) || chr(10))[1:3], chr(10)) AS text FROM documents WHERE text IS NOT NULL",
         "company_keys": f"SELECT contract_id, lower(regexp_replace({strip(q(' ') + ' || insurer || ' + q(' Life　'))}, '[ 　]', '', 'g')) AS key FROM contracts",
     }
-    return out | more_sql()
+    return out | more_sql() | pair_sql()
 
 
 def amount_entries_of(e: str) -> str:
@@ -336,3 +336,86 @@ def more_sql() -> dict[str, str]:
         "amount_display": f"SELECT row_id, CASE WHEN len(e) = 0 THEN CASE WHEN ac <> '' AND am <> '' AND NOT contains(am, ac) THEN {strip('CASE WHEN sc <> ' + q('') + ' THEN sc ELSE ac END || ' + q(' ') + ' || am')} ELSE am END WHEN len(k) > 0 THEN array_to_string(list_transform(list_filter(list_transform(k, lambda x: x.k), lambda y, i: list_position(list_transform(k, lambda x: x.k), y) = i), lambda g: CASE WHEN g = '' THEN '' ELSE g || ' ' END || CASE WHEN list_min(list_transform(list_filter(k, lambda x: x.k = g), lambda x: x.v)) = list_max(list_transform(list_filter(k, lambda x: x.k = g), lambda x: x.v)) THEN {man('list_min(list_transform(list_filter(k, lambda x: x.k = g), lambda x: x.v))')} ELSE {man('list_min(list_transform(list_filter(k, lambda x: x.k = g), lambda x: x.v))')} || '~' || {man('list_max(list_transform(list_filter(k, lambda x: x.k = g), lambda x: x.v))')} END), chr(10)) ELSE coalesce(nullif(e[1].a, ''), am) END AS shown FROM (SELECT row_id, e, am, ac, {short_condition('ac')} AS sc, list_filter(list_transform(e, lambda x: {{'k': CASE WHEN x.c <> '' THEN {short_condition('x.c')} ELSE '' END, 'v': {won('x.a')}}}), lambda z: z.v IS NOT NULL) AS k FROM (SELECT row_id, {ent} AS e, {t('amount')} AS am, {t('amount_condition')} AS ac FROM summary_rows))",
         "amount_info": f"SELECT row_id, coalesce(list_max(list_transform(e, lambda x: {won('x.a')})), {won('am')}) AS value, len(e) > 1 OR {single} AS conditional, CASE WHEN len(e) > 1 THEN array_to_string({ordered}, ' / ') WHEN {single} THEN CASE WHEN {short_condition(main)} <> '' THEN {short_condition(main)} ELSE substr({main}, 1, 20) END ELSE '' END AS note FROM (SELECT row_id, e, am, ac, list_filter(list_transform(list_filter(e, lambda x: {strip('x.c')} <> ''), lambda x: {short_condition('x.c')}), lambda y: y <> '') AS s FROM (SELECT row_id, {ent} AS e, {t('amount')} AS am, {t('amount_condition')} AS ac FROM summary_rows))",
     }
+
+
+def info_sql(e: str, am: str, ac: str) -> tuple[str, str, str]:
+    """Value, conditionality and note of amounts: e is a list of (a, c)."""
+    main = strip(ac)
+    notes = f"list_filter(list_transform(list_filter({e}, lambda x: {strip('x.c')} <> ''), lambda x: {short_condition('x.c')}), lambda y: y <> '')"
+    ordered = f"list_filter({notes}, lambda y, i: list_position({notes}, y) = i)"
+    single = f"(len({e}) <= 1 AND {main} <> '' AND (regexp_matches({main}, {rx(fixed.PERIOD_LIMIT)}) OR NOT regexp_matches({main}, {rx(fixed.PERIODIC)})))"
+    value = f"coalesce(list_max(list_transform({e}, lambda x: {won('x.a')})), {won(am)})"
+    note = f"CASE WHEN len({e}) > 1 THEN array_to_string({ordered}, ' / ') WHEN {single} THEN CASE WHEN {short_condition(main)} <> '' THEN {short_condition(main)} ELSE substr({main}, 1, 20) END ELSE '' END"
+    return value, f"(len({e}) > 1 OR {single})", note
+
+
+def manwon(e: str) -> str:
+    return f"format('{{:,}}', CAST(floor({e} / 10000.0) AS BIGINT)) || '만원'"
+
+
+def shown_sql(e: str, am: str, ac: str) -> str:
+    """Displayed amounts."""
+    k = f"list_filter(list_transform({e}, lambda x: {{'k': CASE WHEN x.c <> '' THEN {short_condition('x.c')} ELSE '' END, 'v': {won('x.a')}}}), lambda z: z.v IS NOT NULL)"
+    names = f"list_transform({k}, lambda x: x.k)"
+    vals = f"list_transform(list_filter({k}, lambda x: x.k = g), lambda x: x.v)"
+    line = f"CASE WHEN g = '' THEN '' ELSE g || ' ' END || CASE WHEN list_min({vals}) = list_max({vals}) THEN {manwon(f'list_min({vals})')} ELSE {manwon(f'list_min({vals})')} || '~' || {manwon(f'list_max({vals})')} END"
+    plain = f"CASE WHEN {ac} <> '' AND {am} <> '' AND NOT contains({am}, {ac}) THEN {strip(f'CASE WHEN {short_condition(ac)} <> {q(str())} THEN {short_condition(ac)} ELSE {ac} END || {q(chr(32))} || {am}')} ELSE {am} END"
+    return f"CASE WHEN len({e}) = 0 THEN {plain} WHEN len({k}) > 0 THEN array_to_string(list_transform(list_filter({names}, lambda y, i: list_position({names}, y) = i), lambda g: {line}), chr(10)) ELSE coalesce(nullif({e}[1].a, ''), {am}) END"
+
+
+def pairs_cte() -> str:
+    """Greedy pairing as a recursion over the order of our rows, all keys at once; pairs p(key, our_ord, comp_ord, match_type)."""
+    base = f"SELECT row_id, insurer, {GROUPS.replace('AS insurer', 'AS ins')}, coalesce(amount,'') AS amount, coalesce(amount_condition,'') AS amount_condition, coalesce(trigger,'') AS trigger, coalesce(reduction_note,'') AS reduction_note, coalesce(waiting_period,'') AS waiting_period, slots FROM summary_rows WHERE insurer IN ({OUR}, {COMP})"
+    g = "insurer, product_name, contract_name, benefit_name, renewal_type, coverage_limit"
+    return f"""WITH RECURSIVE b AS ({base}),
+    en AS (SELECT {g}, list({{'a': amount, 'c': amount_condition}} ORDER BY o) AS e FROM (SELECT {g}, amount, amount_condition, substr(trigger, 1, 80) AS st, min(row_id) AS o FROM b GROUP BY ALL) GROUP BY ALL),
+    fi AS (SELECT {g}, min(row_id) AS ord, arg_min(amount, row_id) AS am, arg_min(amount_condition, row_id) AS ac, arg_min(reduction_note, row_id) AS rn, arg_min(waiting_period, row_id) AS wp, coalesce(arg_min(trigger, row_id) FILTER (trigger <> ''), '') AS tr, arg_min({{'s': slots}}, row_id).s AS sl FROM b GROUP BY ALL),
+    k AS ({keyed("SELECT DISTINCT benefit_name FROM (SELECT coalesce(benefit_name, '') AS benefit_name FROM summary_rows)")}),
+    c0 AS (SELECT fi.*, CASE WHEN len(en.e) > 1 THEN en.e ELSE [] END AS e, k.key FROM fi JOIN en USING ({g}) JOIN k USING (benefit_name)),
+    c AS (SELECT *, {shown_sql('e', 'am', 'ac')} AS shown, {info_sql('e', 'am', 'ac')[0]} AS val, {info_sql('e', 'am', 'ac')[1]} AS cond, {info_sql('e', 'am', 'ac')[2]} AS note FROM c0),
+    gr AS (SELECT key, coalesce(list({{'ord': ord, 'am': am, 'ch': list_distinct(string_split(am, ''))}} ORDER BY ord) FILTER (insurer = {OUR}), []) AS ours, coalesce(list({{'ord': ord, 'am': am, 'ch': list_distinct(string_split(am, ''))}} ORDER BY ord) FILTER (insurer = {COMP}), []) AS comps FROM c GROUP BY key),
+    r AS (
+      SELECT key, 1 AS i, comps AS free, CAST(NULL AS BIGINT) AS our_ord, CAST(NULL AS BIGINT) AS comp_ord FROM gr
+      UNION ALL
+      SELECT key, i + 1, list_filter(free, lambda x: t IS NULL OR x.ord <> t), o.ord, t FROM (
+        SELECT r.key, r.i, r.free, o, list_sort(list_transform(r.free, lambda x: {{'s': -CASE WHEN x.am = o.am THEN 1.0 WHEN x.am = '' OR o.am = '' THEN 0.0 ELSE len(list_intersect(x.ch, o.ch)) / greatest(len(x.ch), len(o.ch)) END, 'o': x.ord}}))[1].o AS t
+        FROM (SELECT r.*, gr.ours[r.i] AS o FROM r JOIN gr USING (key) WHERE r.i <= len(gr.ours)) r)),
+    p AS (SELECT key, our_ord, comp_ord, CASE WHEN comp_ord IS NULL THEN 'our_only' ELSE 'matched' END AS match_type FROM r WHERE our_ord IS NOT NULL
+      UNION ALL SELECT key, NULL, unnest(list_transform(free, lambda x: x.ord)), 'comp_only' FROM r JOIN gr USING (key) WHERE r.i = len(gr.ours) + 1),
+    v0 AS (SELECT p.*, coalesce(o.benefit_name, '') AS our_name, coalesce(x.benefit_name, '') AS comp_name, coalesce(o.shown, '') AS our_amount, coalesce(x.shown, '') AS comp_amount, o.val AS ov, x.val AS xv, o.cond AS oc, x.cond AS xc, o.note AS ono, x.note AS xno,
+        CASE WHEN o.cond AND o.note <> '' THEN '(' || o.note || ')' ELSE '' END AS os, CASE WHEN x.cond AND x.note <> '' THEN '(' || x.note || ')' ELSE '' END AS xs FROM p LEFT JOIN c o ON o.ord = our_ord LEFT JOIN c x ON x.ord = comp_ord),
+    v AS (SELECT *, CASE WHEN match_type = 'our_only' THEN ['당사단독', ''] WHEN match_type = 'comp_only' THEN ['타사단독', ''] WHEN ov IS NULL AND xv IS NULL THEN ['비교불가', ''] WHEN ov IS NULL THEN ['타사우위', '금액↓'] WHEN xv IS NULL THEN ['당사우위', '금액↑']
+        WHEN ov > xv THEN ['당사우위', '금액↑' || CASE WHEN xc THEN ' · 타사최대' || {manwon('xv')} || xs ELSE '' END] WHEN ov < xv THEN ['타사우위', '금액↓' || CASE WHEN oc THEN ' · 당사최대' || {manwon('ov')} || os ELSE '' END]
+        WHEN oc AND xc THEN CASE WHEN ono <> xno THEN ['조건상이', '당사' || os || ' / 타사' || xs] ELSE ['동일', ''] END WHEN oc THEN ['타사우위', '조건없음 (당사' || os || ')'] WHEN xc THEN ['당사우위', '조건없음 (타사' || xs || ')'] ELSE ['동일', ''] END AS w FROM v0),
+    z AS (SELECT key, match_type, our_ord, comp_ord, our_name, comp_name, our_amount, comp_amount, w[1] AS advantage, w[2] AS rationale FROM v)"""
+
+
+def pair_sql() -> dict[str, str]:
+    """SQL of everything made of the pairs of two products."""
+    actions = "[" + ", ".join(map(q, DEFAULT.labels("action"))) + "]"
+    action = f"coalesce(list_filter(string_split(key, '|'), lambda p: list_contains({actions}, p))[-1], '기타')"
+    dash = lambda c: f"coalesce(nullif({c}, ''), '—') AS {c}"
+    n = lambda cond: f"count(*) FILTER ({cond})"
+    m = "match_type = 'matched'"
+    share = lambda c: f"CASE WHEN matched = 0 THEN 0.0 ELSE {c} * 100.0 / matched END"
+    counts = f"SELECT {n(m)} AS matched, {n(m + chr(32) + 'AND advantage = ' + q('당사우위'))} AS our_adv, {n(m + ' AND advantage = ' + q('타사우위'))} AS comp_adv, {n(m + ' AND advantage = ' + q('동일'))} AS equal, {n(m + ' AND advantage = ' + q('조건상이'))} AS cond_diff, {n('match_type = ' + q('our_only'))} AS our_only, {n('match_type = ' + q('comp_only'))} AS comp_only FROM z"
+    alone = "CASE WHEN our_only > 0 THEN ' · 당사 단독 ' || our_only || '건' ELSE '' END || CASE WHEN comp_only > 0 THEN ' · 타사 단독 ' || comp_only || '건' ELSE '' END"
+    slots = ["('amount_display', 0, '금액')", "('payment_freq', 1, '지급조건')", "('payment_limit', 2, '지급한도')", "('reduction_rule', 3, '감액조건')", "('start_condition', 4, '보장개시')", "('trigger', 5, '지급사유')"]
+    raw = lambda p: f"CASE d WHEN 'amount_display' THEN {p}.shown WHEN 'payment_freq' THEN {p}.ac WHEN 'payment_limit' THEN {p}.coverage_limit WHEN 'reduction_rule' THEN {p}.rn WHEN 'start_condition' THEN {p}.wp ELSE {p}.tr END"
+    filled = lambda p: f"coalesce(nullif(CASE WHEN ltrim(coalesce({p}.sl, '')) LIKE '{{%' AND json_valid({p}.sl) THEN json_extract_string({p}.sl, '$.' || d) END, ''), {raw(p)}, '')"
+    kinds = {"payment_freq": "display_only", "payment_limit": "limit_numeric", "reduction_rule": "none_is_better", "start_condition": "display_only", "trigger": "display_only"}
+    verdicts = "CASE d WHEN 'amount_display' THEN adv " + " ".join(f"WHEN '{d}' THEN {verdict(k, 'v')}" for d, k in kinds.items()) + " END"
+    slot_rows = f"SELECT key, our_ord, comp_ord, our_name, comp_name, slot_ord, d AS dimension, label, v AS our_value, next_v AS comp_value, {verdicts} AS advantage FROM (SELECT z.key, our_ord, comp_ord, our_name, comp_name, z.advantage AS adv, d, slot_ord, label, {filled('o')} AS v, {filled('x')} AS next_v FROM z JOIN c o ON o.ord = our_ord JOIN c x ON x.ord = comp_ord, (VALUES {', '.join(slots)}) AS s(d, slot_ord, label) WHERE {m})"
+    side = lambda s: f"SELECT '{s}' AS side, count(*) AS total, {n('match_type = ' + q(s + '_only'))} AS alone, coalesce(array_to_string(list_slice(list({s}_name ORDER BY {s}_ord, {s}_name) FILTER (match_type = '{s}_only'), 1, 5), ' / '), '') AS names FROM z WHERE match_type IN ('matched', '{s}_only')"
+    w = pairs_cte()
+    return {
+        "match_pairs": f"{w} SELECT * FROM p",
+        "compared_pairs": f"{w} SELECT * FROM z",
+        "amount_table": f"{w} SELECT CASE match_type WHEN 'matched' THEN 0 WHEN 'our_only' THEN 1 ELSE 2 END AS section, key, our_ord, comp_ord, {dash('our_name')}, {dash('comp_name')}, {dash('our_amount')}, {dash('comp_amount')}, advantage, rationale FROM z",
+        "slot_table": f"{w} {slot_rows}",
+        "comparison_summary": f"{w} SELECT {n(m)} AS matched, {n('match_type = ' + q('our_only'))} AS our_only, {n('match_type = ' + q('comp_only'))} AS comp_only, {n(m + ' AND advantage IN (' + ', '.join(map(q, ('당사우위', '타사우위', '조건상이', '비교불가'))) + ')')} AS diff, count(*) AS total FROM z",
+        "action_scores": f"{w} SELECT {action} AS action, {n('advantage = ' + q('당사우위'))} AS win, {n('advantage = ' + q('타사우위'))} AS lose, {n('advantage NOT IN (' + q('당사우위') + ', ' + q('타사우위') + ')')} AS rest FROM z WHERE {m} GROUP BY 1",
+        "position": f"{w}, t AS ({counts}), u AS (SELECT *, CASE WHEN matched = 0 THEN '단독보장중심' WHEN our_adv > comp_adv AND {share('our_adv')} >= 50 THEN '우위' WHEN comp_adv > our_adv AND {share('comp_adv')} >= 50 THEN '열위' ELSE '혼재' END AS position, CAST(round_even({share('our_adv')}, 0) AS BIGINT) AS our_share, CAST(round_even({share('comp_adv')}, 0) AS BIGINT) AS comp_share FROM t) SELECT *, CASE WHEN matched = 0 THEN '매칭 급부 없음 — 당사 ' || our_only || '건 단독 / 타사 ' || comp_only || '건 단독' ELSE '매칭 ' || matched || '건 중 당사우위 ' || our_adv || '건(' || our_share || '%) / 타사우위 ' || comp_adv || '건(' || comp_share || '%)' || {alone} END AS headline FROM u",
+        "top_gaps": f"{w} SELECT our_ord, coalesce(nullif(our_name, ''), comp_name) AS name, {manwon('a')} AS our_amt, {manwon('b')} AS comp_amt, CAST(round_even((a - b) / b * 100, 0) AS BIGINT) AS gap_pct, advantage AS side FROM (SELECT *, {won('our_amount')} AS a, {won('comp_amount')} AS b FROM z WHERE {m} AND advantage IN ('당사우위', '타사우위')) WHERE a > 0 AND b > 0 ORDER BY abs(round_even((a - b) / b * 100, 0)) DESC, our_ord LIMIT 3",
+        "deep_dive": f"{w} {side('our')} UNION ALL {side('comp')}",
+    }

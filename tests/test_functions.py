@@ -104,7 +104,7 @@ def test_terms(spark):
     assert value(spark, X.unspaced("x"), "급 부 명 칭") == "급부명칭"
 
 
-@pytest.mark.parametrize("name,text,kind", [("상품요약서_S.pdf", "", "summary"), ("보통약관.pdf", "", "terms"), ("B00279008_6_S.pdf", None, "summary"), ("document_xyz_123.pdf", "", "unknown"), ("a.pdf", "급부명 지급 사유", "summary"), ("a.pdf", "제1조 제2조 급부명", "terms")])
+@pytest.mark.parametrize("name,text,kind", [("상품요약서_S.pdf", "", "summary"), ("보통약관.pdf", "", "terms"), ("C12_3_S.pdf", None, "summary"), ("plain.pdf", "", "unknown"), ("a.pdf", "급부명 지급 사유", "summary"), ("a.pdf", "제1조 제2조 급부명", "terms")])
 def test_document_type(spark, name, text, kind):
     got = spark.createDataFrame([(name, text)], "n string, t string").select(C.document_type("n", "t")).first()[0]
     assert got == kind

@@ -1,5 +1,6 @@
 """Operators against fixtures and plain models."""
 
+import hashlib
 import json
 import random
 from collections import defaultdict
@@ -34,8 +35,10 @@ def test_flatten_and_export(spark):
 
 
 def test_dedupe_key(spark):
-    df = spark.createDataFrame([("라이나생명", "암보험A", "암진단특약", "진단보험금", "3,000만원", "", "암으로 진단확정", "test.pdf")], ", ".join(f"{c} string" for c in flatten.KEY_FIELDS))
-    assert df.select(flatten.dedupe_key()).first()[0] == "7becc4a5470ad38b"
+    row = ("가생명", "P", "특약", "급부", "3,000만원", None, "사유" * 300, "t.pdf")
+    df = spark.createDataFrame([row], ", ".join(f"{c} string" for c in flatten.KEY_FIELDS))
+    want = hashlib.md5("|".join((x or "")[:200] if i == 6 else x or "" for i, x in enumerate(row)).encode()).hexdigest()[:16]
+    assert df.select(flatten.dedupe_key()).first()[0] == want
 
 
 def test_first_per_is_stable(spark):
@@ -122,8 +125,9 @@ def test_catalog(spark):
     assert sorted(r.i for r in catalog.first_uploads(up, ["i"]).collect()) == [1, 3, 4]
     assert sorted(r.i for r in catalog.unseen(up, up.where("i = 1")).collect()) == [3, 4]
     assert catalog.in_context(a.withColumn("insurer", F.lit("x")), None).count() == 0
-    got = spark.createDataFrame([(bytearray(b"dummy pdf content"),)], "c binary").select(catalog.fingerprint("c")).first()[0]
-    assert got == "26084f449206454b4070d1cb9033dac5"
+    data = bytes(range(256)) * 300
+    got = spark.createDataFrame([(bytearray(data),)], "c binary").select(catalog.fingerprint("c"), catalog.fingerprint("c", None)).first()
+    assert tuple(got) == (hashlib.sha256(data[:65_536]).hexdigest()[:32], hashlib.sha256(data).hexdigest()[:32])
 
 
 def cells(spark, rows):
