@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coverline.functions import fixed
@@ -67,3 +67,18 @@ def benefit_category(name, trigger, kind, categories: dict = fixed.CATEGORIES) -
 def cancer_class(name) -> Column:
     """Class of cancer by ordered keywords, "" for none."""
     return first_of(text(name), fixed.CANCER_CLASSES, "")
+
+
+def filled_categories(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows whose blank category is worked out; what is there stays."""
+    c = benefit_category("benefit_name", "trigger", F.col(kind))
+    blank = text("benefit_category") == ""
+    return rows.withColumn("_c", F.when(blank, c)).withColumns({"benefit_category": F.when(blank, F.col("_c.category")).otherwise(F.col("benefit_category")), "benefit_category_ko": F.when(blank, F.col("_c.label")).otherwise(F.col("benefit_category_ko"))}).drop("_c")
+
+
+def classified_uploads(files: DataFrame) -> DataFrame:
+    """(path, filename, doc_type, label, is_hint_only) of files with the text of their first pages."""
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    typed = files.select("path", name.alias("filename"), document_type(name, "first_pages").alias("doc_type"))
+    label = F.when(F.col("doc_type") == "summary", "상품요약서").when(F.col("doc_type") == "terms", "약관").otherwise("알 수 없음")
+    return typed.select("path", "filename", "doc_type", label.alias("label"), F.lit(True).alias("is_hint_only"))

@@ -6,7 +6,7 @@ pairs. Verdicts are the words the reports print.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverline.functions import amounts as A
@@ -129,6 +129,20 @@ def action_scores(pairs: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     return pairs.where("match_type = 'matched'").groupBy(action.alias("action")).agg(n(adv == OURS).alias("win"), n(adv == THEIRS).alias("lose"), n(~adv.isin(OURS, THEIRS)).alias("rest"))
 
 
+def by_margin(scores: DataFrame) -> DataFrame:
+    """Kinds of benefit by wins minus losses (a table of labels, so one ordering is enough)."""
+    m = scores.withColumn("margin", F.col("win") - F.col("lose"))
+    return m.withColumn("place", F.row_number().over(Window.orderBy(F.col("margin").desc(), "action")))
+
+
+def preferred_order(coverage_table: DataFrame, first: list[str]) -> DataFrame:
+    """Diseases in display order: the listed ones first, the rest by name, what has no disease left out."""
+    listed = F.array(*map(F.lit, first))
+    at = F.nullif(F.array_position(listed, F.col("disease")), F.lit(0).cast("long"))
+    shown = coverage_table.where("disease <> '기타'").withColumn("at", F.coalesce(at, F.lit(len(first) + 1)))
+    return shown.withColumn("place", F.row_number().over(Window.orderBy("at", "disease"))).drop("at")
+
+
 def exclusive_actions(pairs: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """Benefits only one side has, by side and kind of benefit."""
     action = F.coalesce(F.nullif(key_action(F.col("key"), lexicon), F.lit("")), F.lit("기타"))

@@ -30,9 +30,10 @@ def evidence(our: DataFrame, comp: DataFrame, fields: list[str] = FIELDS) -> Dat
     return each.where("c.value <> ''").select("side", "side_ord", "ord", "c.field_ord", "c.field", "benefit", "contract", F.col("c.value").alias("value"))
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "evidence_no", blocks: int = 64) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], name: str = "evidence_no", blocks: int | None = None) -> DataFrame:
     """Running number in an order over all rows, without putting them into one task: rows are split into ranges of the
     order, counted, and numbered within their range from the sum of the ranges before."""
+    blocks = blocks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(blocks, *order).withColumn("_block", F.spark_partition_id())
     from coverline.session import cut
 

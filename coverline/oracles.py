@@ -82,12 +82,6 @@ def masked(e: str) -> str:
     return f"list_reduce(list_prepend({e}, [{', '.join(map(q, words))}]), lambda acc, w: replace(acc, w, repeat(' ', length(w))))"
 
 
-def key_of(e: str) -> tuple[str, str]:
-    """CTE columns: match text and key of a name column, as (select list for names, key expression)."""
-    key = "CASE WHEN m = '' THEN '' WHEN parts = [] THEN m ELSE array_to_string(parts, '|') END"
-    return e, key
-
-
 def keyed(names: str) -> str:
     """A query of (benefit_name, m, key, action) from a query of distinct benefit_name."""
     actions = "[" + ", ".join(map(q, DEFAULT.labels("action"))) + "]"
@@ -215,6 +209,8 @@ def sql() -> dict[str, str]:
         "document_types": f"SELECT doc_id, by_text, by_name, CASE WHEN by_text = 'unknown' THEN 'terms' ELSE by_text END AS resolved FROM (SELECT doc_id, {document_type(q(''), t('text'))} AS by_text, {document_type('fn', t('text'))} AS by_name FROM (SELECT *, 'd' || doc_id || CASE WHEN doc_type = 'terms' THEN '_약관.pdf' ELSE '_S.pdf' END AS fn FROM documents))",
         "insurance_types": f"SELECT contract_id, {kind} AS kind, {first_of(t('contract_name'), fixed.CANCER_CLASSES, '')} AS cancer FROM contracts",
         "benefit_categories": f"SELECT row_id, coalesce({category('bn', 'kind', 0)}, CASE WHEN tr <> '' THEN {category('nt', 'kind', 0)} END, 'other') AS category, coalesce({category('bn', 'kind', 1)}, CASE WHEN tr <> '' THEN {category('nt', 'kind', 1)} END, '기타') AS label FROM (SELECT row_id, {t('benefit_name')} AS bn, {t('trigger')} AS tr, {t('benefit_name')} || ' ' || {t('trigger')} AS nt, {kind} AS kind FROM summary_rows)",
+        "categories_filled": f"SELECT row_id, CASE WHEN cat <> '' THEN cat ELSE coalesce({category('bn', 'kind', 0)}, CASE WHEN tr <> '' THEN {category('nt', 'kind', 0)} END, 'other') END AS benefit_category, CASE WHEN cat <> '' THEN ko ELSE coalesce({category('bn', 'kind', 1)}, CASE WHEN tr <> '' THEN {category('nt', 'kind', 1)} END, '기타') END AS benefit_category_ko FROM (SELECT row_id, CASE WHEN row_id % 3 = 0 THEN '' ELSE coalesce(benefit_category, '') END AS cat, benefit_category_ko AS ko, {t('benefit_name')} AS bn, {t('trigger')} AS tr, {t('benefit_name')} || ' ' || {t('trigger')} AS nt, {kind} AS kind FROM summary_rows)",
+        "upload_types": f"SELECT DISTINCT '/in/' || {t('source_pdf')} AS path, {t('source_pdf')} AS filename, {document_type(t('source_pdf'), q(''))} AS doc_type, CASE {document_type(t('source_pdf'), q(''))} WHEN 'summary' THEN '상품요약서' WHEN 'terms' THEN '약관' ELSE '알 수 없음' END AS label, true AS is_hint_only FROM summary_rows",
         "other_ratio": "SELECT n_rows, n_other, round(n_other / n_rows, 9) AS share, n_other / n_rows > 0.05 AS alert FROM (SELECT count(*) AS n_rows, count(*) FILTER (benefit_category = 'other') AS n_other FROM summary_rows)",
         "category_distribution": "SELECT category, n, first_ord, round(n / sum(n) OVER (), 9) AS share FROM (SELECT coalesce(benefit_category, '') AS category, count(*) AS n, min(row_id) AS first_ord FROM summary_rows GROUP BY 1)",
         "unmapped_names": f"SELECT benefit_name, count(*) AS n_rows, arg_max(coalesce(benefit_category, ''), row_id) AS category FROM summary_rows JOIN ({keyed(NAMES)}) k USING (benefit_name) WHERE k.key = k.m AND NOT contains(k.key, '|') GROUP BY benefit_name",
@@ -290,7 +286,6 @@ def more_sql() -> dict[str, str]:
     ordered = "list_filter(s, lambda y, i: list_position(s, y) = i)"
     main = strip("ac")
     single = f"(len(e) <= 1 AND {main} <> '' AND (regexp_matches({main}, {rx(fixed.PERIOD_LIMIT)}) OR NOT regexp_matches({main}, {rx(fixed.PERIODIC)})))"
-    at = "CAST(CASE WHEN insurer = " + OUR + " THEN 1 ELSE 0 END AS BIGINT)"
     man = lambda e: f"format('{{:,}}', CAST(floor({e} / 10000.0) AS BIGINT)) || '만원'"
     note = r"regexp_replace(coalesce(notes_summary, ''), " + rx(r"\n(\d{1,2}\.\s)") + r", ' ' || chr(1) || ' \1', 'g')"
     for before, after in (("가-힣", "가-힣"), ("가-힣", "A-Za-z0-9"), ("A-Za-z0-9", "가-힣"), ("0-9년개월회%", "이가을를은는의에으"), ("\"')\\]", "가-힣"), ("가-힣", "\"'(\\[")):
@@ -323,6 +318,7 @@ def more_sql() -> dict[str, str]:
         "slots_enriched": "SELECT row_id, slots FROM summary_rows",
         "cancer_matrix": f"WITH r AS (SELECT *, {first_of(t('benefit_name'), fixed.CANCER_CLASSES, '')} AS class FROM ({RAW})), n AS (SELECT class, count(DISTINCT benefit_name) FILTER (side = 'our') AS our_n, count(DISTINCT benefit_name) FILTER (side = 'comp') AS comp_n, list_slice(list(DISTINCT (row_id, amount) ORDER BY (row_id, amount)) FILTER (side = 'our' AND coalesce(amount, '') <> ''), 1, 2) AS oa, list_slice(list(DISTINCT (row_id, amount) ORDER BY (row_id, amount)) FILTER (side = 'comp' AND coalesce(amount, '') <> ''), 1, 2) AS ca FROM r WHERE class <> '' GROUP BY class) SELECT class, our_n, comp_n, coalesce(array_to_string(list_transform(oa, lambda x: x[2]), ', '), '') AS our_amounts, coalesce(array_to_string(list_transform(ca, lambda x: x[2]), ', '), '') AS comp_amounts FROM n",
         "coverage_by_disease": sides() + f", d AS (SELECT *, list_filter(string_split(key, '|'), lambda p: list_contains({known}, p))[1] AS d FROM n), x AS (SELECT o, c, unnest(CASE WHEN d IS NULL THEN ['기타'] {composite} ELSE [d] END) AS disease FROM d) SELECT disease, CAST(sum(o) AS BIGINT) AS our, CAST(sum(c) AS BIGINT) AS comp, CAST(sum(least(o, c)) AS BIGINT) AS matched_pairs, CAST(2 * sum(least(o, c)) AS BIGINT) AS matched FROM x GROUP BY disease",
+        "disease_order": sides() + f", d AS (SELECT DISTINCT unnest(CASE WHEN d IS NULL THEN ['기타'] {composite} ELSE [d] END) AS disease FROM (SELECT *, list_filter(string_split(key, '|'), lambda p: list_contains({known}, p))[1] AS d FROM n)) SELECT disease, row_number() OVER (ORDER BY coalesce(nullif(list_position(['일반암', '고액암', '갑상선암'], disease), 0), 4), disease) AS place FROM d WHERE disease <> '기타'",
         "exclusive_actions": sides() + f", a AS (SELECT o, c, coalesce(list_filter(string_split(key, '|'), lambda p: list_contains({actions}, p))[-1], '기타') AS action FROM n) SELECT 'our' AS side, action, CAST(sum(o - c) AS BIGINT) AS n FROM a WHERE o > c GROUP BY action UNION ALL SELECT 'comp', action, CAST(sum(c - o) AS BIGINT) FROM a WHERE c > o GROUP BY action",
         "line_notes": f"SELECT doc_id, note_no, note FROM (SELECT doc_id, CAST(g AS BIGINT) AS note_no, string_agg(content, ' ' ORDER BY line_no) AS note FROM (SELECT *, sum(CASE WHEN {opens} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM ({inside}) WHERE inside = 1 AND content <> '') WHERE g > 0 GROUP BY doc_id, g) WHERE length(note) > 5",
         "text_benefits": f"SELECT doc_id, group_no, name, amount FROM (SELECT doc_id, CAST(g AS BIGINT) AS group_no, arg_min(line, line_no) FILTER (NOT hit) AS name, max(line) FILTER (hit) AS amount FROM (SELECT *, coalesce(sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM (SELECT *, {hit} AS hit FROM ({body})) WHERE hit OR length(line) > 3) GROUP BY doc_id, g) WHERE name IS NOT NULL AND amount IS NOT NULL",
@@ -415,6 +411,7 @@ def pair_sql() -> dict[str, str]:
         "slot_table": f"{w} {slot_rows}",
         "comparison_summary": f"{w} SELECT {n(m)} AS matched, {n('match_type = ' + q('our_only'))} AS our_only, {n('match_type = ' + q('comp_only'))} AS comp_only, {n(m + ' AND advantage IN (' + ', '.join(map(q, ('당사우위', '타사우위', '조건상이', '비교불가'))) + ')')} AS diff, count(*) AS total FROM z",
         "action_scores": f"{w} SELECT {action} AS action, {n('advantage = ' + q('당사우위'))} AS win, {n('advantage = ' + q('타사우위'))} AS lose, {n('advantage NOT IN (' + q('당사우위') + ', ' + q('타사우위') + ')')} AS rest FROM z WHERE {m} GROUP BY 1",
+        "action_margins": f"{w}, s AS (SELECT {action} AS action, {n('advantage = ' + q('당사우위'))} - {n('advantage = ' + q('타사우위'))} AS margin FROM z WHERE {m} GROUP BY 1) SELECT action, margin, row_number() OVER (ORDER BY margin DESC, action) AS place FROM s",
         "position": f"{w}, t AS ({counts}), u AS (SELECT *, CASE WHEN matched = 0 THEN '단독보장중심' WHEN our_adv > comp_adv AND {share('our_adv')} >= 50 THEN '우위' WHEN comp_adv > our_adv AND {share('comp_adv')} >= 50 THEN '열위' ELSE '혼재' END AS position, CAST(round_even({share('our_adv')}, 0) AS BIGINT) AS our_share, CAST(round_even({share('comp_adv')}, 0) AS BIGINT) AS comp_share FROM t) SELECT *, CASE WHEN matched = 0 THEN '매칭 급부 없음 — 당사 ' || our_only || '건 단독 / 타사 ' || comp_only || '건 단독' ELSE '매칭 ' || matched || '건 중 당사우위 ' || our_adv || '건(' || our_share || '%) / 타사우위 ' || comp_adv || '건(' || comp_share || '%)' || {alone} END AS headline FROM u",
         "top_gaps": f"{w} SELECT our_ord, coalesce(nullif(our_name, ''), comp_name) AS name, {manwon('a')} AS our_amt, {manwon('b')} AS comp_amt, CAST(round_even((a - b) / b * 100, 0) AS BIGINT) AS gap_pct, advantage AS side FROM (SELECT *, {won('our_amount')} AS a, {won('comp_amount')} AS b FROM z WHERE {m} AND advantage IN ('당사우위', '타사우위')) WHERE a > 0 AND b > 0 ORDER BY abs(round_even((a - b) / b * 100, 0)) DESC, our_ord LIMIT 3",
         "deep_dive": f"{w} {side('our')} UNION ALL {side('comp')}",

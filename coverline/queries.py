@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from coverline.functions import amounts as A
 from coverline.functions import classify as C
 from coverline.functions import text as X
-from coverline.functions.lexicon import DEFAULT, Lexicon, canonical_key, is_raw, key_action, masked, slot_label
+from coverline.functions.lexicon import DEFAULT, canonical_key, is_raw, key_action, masked, slot_label
 from coverline.operators import catalog, collapse, compare, flatten, gaps, layout, matching, report
 from coverline.plans.comparison import compare_sides, side
 from coverline.session import table
@@ -22,17 +22,6 @@ def details(spark, d) -> DataFrame:
     return table(spark, d, "summary_rows").withColumn("ord", F.col("row_id"))
 
 
-def _lex(spark, d) -> Lexicon:
-    return DEFAULT.merged(Lexicon.from_table(table(spark, d, "synonyms")).slots and {s: _labels(e) for s, e in Lexicon.from_table(table(spark, d, "synonyms")).slots.items()})
-
-
-def _labels(entries):
-    out: dict[str, list[str]] = {}
-    for spelling, label in entries:
-        out.setdefault(label, []).append(spelling)
-    return out
-
-
 # --- units -----------------------------------------------------------------------------------------------------------
 
 
@@ -162,6 +151,17 @@ def benefit_categories(spark, d):
     return rows.withColumn("c", C.benefit_category("benefit_name", "trigger", F.col("kind"))).select("row_id", F.col("c.category").alias("category"), F.col("c.label").alias("label"))
 
 
+def categories_filled(spark, d):
+    rows = details(spark, d).withColumn("benefit_category", F.when(F.col("row_id") % 3 == 0, "").otherwise(F.col("benefit_category")))
+    got = C.filled_categories(rows.withColumn("kind", C.insurance_type("product_name", "source_pdf")), "kind")
+    return got.select("row_id", "benefit_category", "benefit_category_ko")
+
+
+def upload_types(spark, d):
+    names = details(spark, d).select(F.concat(F.lit("/in/"), X.text("source_pdf")).alias("path")).distinct()
+    return C.classified_uploads(names.withColumn("first_pages", F.lit("")))
+
+
 def other_ratio(spark, d):
     return gaps.other_share(details(spark, d)).select("n_rows", "n_other", F.round("share", 9).alias("share"), "alert")
 
@@ -331,6 +331,14 @@ def action_scores(spark, d):
     return _tables(spark, d)["scores"]
 
 
+def action_margins(spark, d):
+    return compare.by_margin(_tables(spark, d)["scores"]).select("action", BIG("margin"), BIG("place"))
+
+
+def disease_order(spark, d):
+    return compare.preferred_order(_tables(spark, d)["coverage"], ["일반암", "고액암", "갑상선암"]).select("disease", BIG("place"))
+
+
 def exclusive_actions(spark, d):
     return _tables(spark, d)["exclusive"]
 
