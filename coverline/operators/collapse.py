@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverline.functions import text as X
+from coverline.functions.bind import let
 
 GROUP = ("insurer", "product_name", "contract_name", "benefit_name", "renewal_type", "coverage_limit")
 FIRST = ("amount", "amount_condition", "reduction_note", "waiting_period", "benefit_category", "benefit_category_ko", "source_pdf", "dedupe_key", "slots")
@@ -14,29 +15,25 @@ FIRST = ("amount", "amount_condition", "reduction_note", "waiting_period", "bene
 def comparison_rows(details: DataFrame, order: str = "ord", keep: tuple[str, ...] = FIRST) -> DataFrame:
     """A1: group key, first values, ordered distinct triggers and (amount, condition, trigger) entries, number of rows.
 
-    The distinct entries are made before the group collects them, by a partial aggregation, so verbatim repeats (which
-    may be a third of all rows) collapse on the map side and what a group collects is bounded by its different entries.
+    Two aggregations: verbatim repeats (which may be a third of all rows) collapse on the map side of the first, so what a
+    group collects in the second is bounded by its different entries. Of entries whose triggers agree in their first 80
+    characters the first stands.
     """
     keep = tuple(c for c in keep if c in details.columns)
     base = details.select(F.col(order).alias("ord"), *[X.text(c).alias(c) for c in GROUP], X.text("trigger").alias("trigger"), *[(F.col(c) if c == "slots" else X.text(c)).alias(c) for c in keep])
-    entry = ("amount", "amount_condition", "short_trigger")
-    once = base.withColumn("short_trigger", F.substring("trigger", 1, 80)).groupBy(*GROUP, *entry).agg(
-        F.min("ord").alias("entry_ord"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("trigger", "reduction_note"), "ord").alias("e"), F.min_by(F.struct("ord", *[c for c in keep], "trigger"), "ord").alias("f"),
-        F.collect_set(F.struct("trigger")).alias("ts"),
-        F.min(F.when(F.col("trigger") != "", F.col("ord"))).alias("t_ord"),
-    )
-    triggers = base.where("trigger <> ''").groupBy(*GROUP, "trigger").agg(F.min("ord").alias("o")).groupBy(*GROUP).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "trigger"))), lambda x: x["trigger"]).alias("triggers"))
-    groups = once.drop("ts", "t_ord").groupBy(*GROUP).agg(
-        F.sum("n").alias("detail_row_count"), F.min_by("f", F.col("f.ord")).alias("f"),
-        F.array_sort(F.collect_list(F.struct("entry_ord", "amount", F.col("amount_condition").alias("condition"), F.col("e.reduction_note").alias("reduction_note"), F.col("e.trigger").alias("trigger")))).alias("entries"),
-    )
-    all_ = groups.join(triggers, list(GROUP), "left").withColumn("triggers", F.coalesce("triggers", F.array().cast("array<string>")))
+    base = base.withColumns({"_amount": X.text("amount"), "_condition": X.text("amount_condition")})
+    once = base.groupBy(*GROUP, "_amount", "_condition", "trigger").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("ord", *keep), "ord").alias("f"))
+    entry = F.struct(F.col("f.ord").alias("ord"), F.col("_amount").alias("amount"), F.col("_condition").alias("condition"), X.text(F.col("f.reduction_note") if "reduction_note" in keep else F.lit("")).alias("reduction_note"), "trigger")
+    groups = once.groupBy(*GROUP).agg(F.sum("n").cast("long").alias("detail_row_count"), F.min_by("f", "f.ord").alias("f"), F.array_sort(F.collect_list(entry)).alias("all"))
+    key = lambda e: F.struct(e["amount"].alias("a"), e["condition"].alias("c"), F.substring(e["trigger"], 1, 80).alias("t"))
+    distinct = let(F.transform("all", key), lambda keys: F.filter("all", lambda e, i: F.array_position(keys, key(e)) == i + 1))
+    listed = groups.withColumns({"triggers": F.array_distinct(F.filter(F.transform("all", lambda e: e["trigger"]), lambda t: t != "")), "entries": distinct})
     many = F.size("triggers") > 1
     entries = F.transform("entries", lambda e: F.struct(e["amount"].alias("amount"), e["condition"].alias("condition"), e["reduction_note"].alias("reduction_note"), F.when(many, e["trigger"]).otherwise("").alias("trigger")))
-    return all_.select(
+    return listed.select(
         F.col("f.ord").alias("ord"), *GROUP, *[F.col(f"f.{c}").alias(c) for c in keep], F.coalesce(F.try_element_at("triggers", F.lit(1)), F.lit("")).alias("trigger"),
         F.when(many, F.to_json("triggers")).otherwise("").alias("trigger_variants"),
         F.when(F.size("entries") > 1, F.to_json(entries)).otherwise("").alias("amount_detail"),
         F.when(F.size("entries") > 1, entries).otherwise(F.array().cast("array<struct<amount:string,condition:string,reduction_note:string,trigger:string>>")).alias("amounts"),
-        "triggers", F.col("detail_row_count").cast("long").alias("detail_row_count"),
+        "triggers", "detail_row_count",
     )
