@@ -286,18 +286,19 @@ def _longs(values: list) -> pd.Series:
     return pd.Series(values, dtype="Int64")
 
 
-@F.pandas_udf(T.LongType())
-def won(text: pd.Series, hint: pd.Series) -> pd.Series:
-    """``to_won`` over a batch."""
+def _won(text: pd.Series, hint: pd.Series) -> pd.Series:
     return _longs([_memo(to_won, (a, h or None)) if a else None for a, h in zip(text, hint)])
 
 
-@F.pandas_udf(T.LongType())
-def months(text: pd.Series) -> pd.Series:
-    """``to_months`` over a batch."""
+def _months(text: pd.Series) -> pd.Series:
     return _longs([_memo(to_months, (a,)) if a else None for a in text])
 
 
+#: ``to_won`` and ``to_months`` over batches; not deterministic by name only, so that no filter makes Spark run them twice.
+won = F.pandas_udf(_won, T.LongType()).asNondeterministic()
+months = F.pandas_udf(_months, T.LongType()).asNondeterministic()
+
+
 def unit_hint(notes: Column, amount: Column) -> Column:
     """Unit of bare figures stated in the row's notes (``(단위 : 천원)``, ``만원 단위로 표시``, ``원 기준임``); read only for bare figures."""
     flat = F.regexp_replace(notes, r"[-‐]?[ \t]*\n[ \t]*", "")
