@@ -124,12 +124,14 @@ def _remembered(text: str | None) -> str | None:
     return hit
 
 
-@F.pandas_udf(T.StringType())
-def same_look(text: pd.Series) -> pd.Series:
-    """``one_form`` over a batch."""
+def _same_look(text: pd.Series) -> pd.Series:
     return pd.Series([_remembered(x) for x in text], dtype=object)
 
 
+#: ``one_form`` over batches; not deterministic by name only, so that no filter makes Spark run it twice.
+same_look = F.pandas_udf(_same_look, T.StringType()).asNondeterministic()
+
+
 def latin_translate(text: Column) -> Column:
     """Look-alikes and full-width forms to Latin and ASCII with built-in functions only (for SQL-only operators)."""
     wide = [(chr(o + 0xFEE0), chr(o)) for o in range(0x21, 0x7F)]
