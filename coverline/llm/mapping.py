@@ -176,9 +176,9 @@ def _lexicon(synonyms: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def name_references(synonyms: DataFrame, catalog: DataFrame) -> DataFrame:
     """(slot, ref, target_id) of every composition of a disease variant and a kind-of-benefit variant in either order; -1 where the catalogue has no such entry."""
-    lex = _lexicon(synonyms, catalog)
-    variants = lambda slot, name: lex.where(F.col("slot") == slot).groupBy(F.lit(1).alias("one")).agg(F.collect_set(F.struct(F.col("label").alias(name), compact(F.col("variant")).alias("v"))).alias(f"{name}s"))
-    both = variants("disease", "d").join(variants("action", "a"), "one").select(F.explode("ds").alias("x"), "as").select("x", F.explode("as").alias("y"))
+    lex = _lexicon(synonyms, catalog).select("slot", "label", compact(F.col("variant")).alias("v"))
+    of = lambda slot, name: F.collect_set(F.when(F.col("slot") == slot, F.struct(F.col("label").alias(name), "v")))
+    both = lex.agg(of("disease", "d").alias("ds"), of("action", "a").alias("as")).select(F.explode("ds").alias("x"), "as").select("x", F.explode("as").alias("y"))
     entries = catalog.groupBy(F.col("disease"), F.col("action")).agg(F.min("canonical_id").alias("target_id"))
     known = both.join(entries, (F.col("x.d") == entries["disease"]) & (F.col("y.a") == entries["action"]), "left")
     orders = F.array(F.concat("x.v", "y.v"), F.concat("y.v", "x.v"))

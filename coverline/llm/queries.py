@@ -23,6 +23,18 @@ def p4_found(spark, d):
     return defects_found(table(spark, d, "summary_rows"), table(spark, d, "amount_entries"))
 
 
+def p4_repaired(spark, d):
+    from coverline.llm.scans import repaired
+
+    return repaired(table(spark, d, "summary_rows"), table(spark, d, "amount_entries"))
+
+
+def p5_records(spark, d):
+    from coverline.llm.formatting import collapse
+
+    return collapse(table(spark, d, "summary_rows"))
+
+
 def p5_found(spark, d):
     from coverline.llm.formatting import copies_found
 
@@ -35,6 +47,12 @@ def p6_found(spark, d):
     return looks_found(table(spark, d, "summary_rows"), table(spark, d, "benefit_catalog"), table(spark, d, "contracts"))
 
 
+def p6_forms(spark, d):
+    from coverline.llm.confusables import same_look
+
+    return table(spark, d, "summary_rows").select("row_id", same_look("benefit_name").alias("benefit_form"), same_look("contract_name").alias("contract_form"))
+
+
 def p7_containers(spark, d):
     from coverline.llm.packing import containers
 
@@ -81,4 +99,5 @@ SELECT min(row_id) AS keep_row_id, count(*) AS n_copies FROM c GROUP BY t HAVING
 def oracle_sql():
     from coverline.llm.formatting import FIELDS
 
-    return {"p5_found": _P5.replace("{fields}", ", ".join(f"coalesce({f}, '')" for f in FIELDS)).replace("\\\\", "\\")}
+    text = _P5.replace("{fields}", ", ".join(f"coalesce({f}, '')" for f in FIELDS)).replace("\\\\", "\\")
+    return {"p5_found": text, "p5_records": text.replace(" HAVING count(*) >= 2", "")}
