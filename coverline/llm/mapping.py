@@ -10,8 +10,9 @@ edits. The edit steps cut every reference into k+1 positional segments (by the p
 match within k edits is intact, shifted by at most k), join on equality of (length, segment number, segment), and
 verify with ``levenshtein``. What no step matches is found by anti-join and reported with target -1.
 
-Only distinct keys go through the steps; rows whose key is a reference spelling are answered by a broadcast join with
-the (fixed, size-checked) reference list and never shuffle.
+Only distinct values go through the steps, spread over all shuffle partitions (few bytes, much work); the reference
+list is fixed and size-checked before it is broadcast. Rows get their answer by a join on the value, whose hot values AQE
+splits.
 
 Defined results: null, empty and blank names are no cases; a value literally equal to a canonical name is no case;
 names whose disease and kind are known but not in the catalogue together give -1; equally near references give the
@@ -127,7 +128,6 @@ def _segments(refs: DataFrame, k: int) -> DataFrame:
 
 def _probes(values: DataFrame, k: int) -> DataFrame:
     """Substrings of a value that a segment of a reference within k edits could equal: (len, no, seg, key, spelling)."""
-    n = F.length("spelling")
     grid = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("no"), F.lit(s).alias("s")) for d in range(-k, k + 1) for i in range(k + 1) for s in range(-k, k + 1) if abs(d + s) <= k])
     p = values.select("slot", "key", "spelling", F.explode(grid).alias("g")).select("slot", "key", "spelling", (F.length("spelling") + F.col("g.d")).alias("len"), F.col("g.no").alias("no"), F.col("g.s").alias("s"))
     lo, hi = F.floor(F.col("len") * F.col("no") / (k + 1)), F.floor(F.col("len") * (F.col("no") + 1) / (k + 1))

@@ -140,7 +140,7 @@ def _stop_ends(t: str, i: int, end: int, start: int, dates: list[tuple[int, int]
     return True
 
 
-def _goes_on(t: str, close: int, inner_end: str, began: int, opened: int) -> bool:
+def _goes_on(t: str, close: int) -> bool:
     """Whether a sentence goes on after the quotation or bracket that closed at ``close`` with a terminator inside."""
     n, j = len(t), close
     while j < n and t[j].isspace():
@@ -198,7 +198,6 @@ def _paragraph(t: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
     closes = {b: a for a, b in pairs.items()}
     dates = [m.span() for m in _DATE.finditer(text)] if "." in text else []
     n, start, depth, skip = len(text), 0, 0, -1
-    began = 0
 
     def cut(at: int) -> tuple[int, int] | None:
         nonlocal start
@@ -225,7 +224,7 @@ def _paragraph(t: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
                 k = i - 1
                 while k > closes[i] and (text[k].isspace() or text[k] in _CLOSERS or text[k] in "\"'"):
                     k -= 1
-                if (text[k] in ".!?…" or text[k] in _FULL) and not _goes_on(text, i + 1, text[k], start, closes[i]):
+                if (text[k] in ".!?…" or text[k] in _FULL) and not _goes_on(text, i + 1):
                     bracket = text[i] not in _QUOTES
                     if not (bracket and closes[i] > start):
                         if u := cut(i + 1):

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Folder of the tokenizer files (a parameter; nothing is copied from it).
 TOKENIZERS = os.environ.get("COVERLINE_TOKENIZERS", "/opt/tokenizers")
