@@ -280,9 +280,7 @@ def more_sql() -> dict[str, str]:
     opens = f"({mark} OR regexp_matches(line, {rx(r'^\d{1,2}\.\s')}))"
     hit = f"regexp_matches(line, {rx(r'\d[\d,]*\s*만?\s*원|\d+회당|\d+%')})"
     inside = f"SELECT *, max(CASE WHEN {mark} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS inside, {content} AS content FROM ({body})"
-    keys = keyed("SELECT DISTINCT benefit_name FROM summary_rows WHERE coalesce(benefit_name, '') <> ''")
     ent = amount_entries_of("amount_detail")
-    shorts = f"list_distinct(list_filter(list_transform(list_filter(e, lambda x: {strip('x.c')} <> ''), lambda x: {short_condition('x.c')}), lambda y: y <> ''))"
     ordered = "list_filter(s, lambda y, i: list_position(s, y) = i)"
     main = strip("ac")
     single = f"(len(e) <= 1 AND {main} <> '' AND (regexp_matches({main}, {rx(fixed.PERIOD_LIMIT)}) OR NOT regexp_matches({main}, {rx(fixed.PERIODIC)})))"
