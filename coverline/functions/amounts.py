@@ -71,7 +71,7 @@ def folded_amounts(texts: Column) -> Column:
         pre = strip(F.substring(t, F.lit(1), F.instr(t, amount) - 1))
         cond = clean(F.concat_ws(" ", acc["pending"], pre))
         new = F.struct(cond.alias("condition"), clean(amount).alias("amount"), clean(F.regexp_extract(t, r"(?U)" + fixed.REDUCTION, 1)).alias("reduction_note"))
-        last = F.element_at(acc["done"], -1)
+        last = F.try_element_at(acc["done"], F.lit(-1))
         fixed_last = F.concat(F.slice(acc["done"], F.lit(1), F.size(acc["done"]) - 1), F.array(F.struct(last["condition"].alias("condition"), last["amount"].alias("amount"), t.alias("reduction_note"))))
         return (
             F.when(t == "", acc)

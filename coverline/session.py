@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Largest row count of a table that an operator may broadcast or turn into literals.
 MAX_BROADCAST_ROWS = 50_000
+_SCRATCH: list[str] = []
 
 
 def get_session(app: str = "coverline", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -53,7 +54,7 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` if set, else (tests) one is made and set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -63,7 +64,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, for tables an operator writes and reads back."""
-    return f"{shared_dir(spark).rstrip('/')}/coverline-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/coverline-{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Deletes the tables operators wrote in this process; call it when no frame that reads them is needed any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -75,4 +86,4 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
 
 def bounded(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` if it holds at most ``limit`` rows, else ``df`` itself (Spark then shuffles)."""
-    return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1).alias("one")).collect()) <= limit else df
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -203,3 +203,17 @@ def test_streaming(spark, tmp_path):
         write_rows(accepted(read_rows(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
         (tmp_path / "in" / "2.json").write_text(line)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_scratch(spark):
+    import os
+
+    from coverline import session
+
+    df = spark.range(10).withColumnRenamed("id", "v")
+    kept = session.cut(df, "test")
+    assert kept.count() == 10 and session.bounded(df).count() == 10 and session.bounded(df, 3).count() == 10
+    path = session._SCRATCH[-1].removeprefix("file:")
+    assert os.path.exists(path)
+    session.clean_scratch(spark)
+    assert not os.path.exists(path) and not session._SCRATCH
