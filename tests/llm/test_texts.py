@@ -128,6 +128,7 @@ def test_held_out_damage_is_found_and_repaired(model):
 def test_scan_edges(spark, model):
     rows = spark.createDataFrame([(1, "보험기간 중 피보-\n험자가 위암(분류코드 C10) 상태로 인하여 수술을 받았을 때", None), (2, None, ""), (3, "한 줄", "1. 가\n2. 나"), (None, "x", "y"), (4, "가 " * 30_000, "p. 3")], "row_id long, trigger string, notes_summary string")
     entries = spark.createDataFrame([(1, None), (2, "")], "entry_id long, reduction_note string")
+    rows, entries = (df.withColumns({c: F.lit(1) for c in ("field", "text", "defect", "defects", "h")}) for df in (rows, entries))
     found = {tuple(r) for r in S.defects_found(rows, entries, model).collect()}
     assert ("trigger", 1, "split_word") in found and not any(k in (2, 3) for _, k, _ in found)
     texts = {(r.field, r.key_id): r.text for r in S.repaired(rows, entries, model).collect()}
