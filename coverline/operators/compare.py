@@ -108,17 +108,22 @@ def summary(pairs: DataFrame) -> DataFrame:
     return pairs.agg(n(m == "matched").alias("matched"), n(m == "our_only").alias("our_only"), n(m == "comp_only").alias("comp_only"), n(differing).alias("diff"), F.count(F.lit(1)).alias("total"))
 
 
-def coverage(pairs: DataFrame, lexicon: Lexicon = DEFAULT, composite: dict = fixed.COMPOSITE, more: list[str] = fixed.MORE_COVERED) -> DataFrame:
-    """A5: benefits by disease: ours, theirs, matched pairs (``matched`` counts both sides of a pair). A composite label counts for each of its diseases."""
+def counted(pairs: DataFrame) -> DataFrame:
+    """Matched, our_only and comp_only by key of a frame of pairs (the same as ``matching.counts_by_key`` of its sides)."""
+    n = lambda kind: F.count_if(F.col("match_type") == kind).cast("long").alias(kind)
+    return pairs.groupBy("key").agg(n("matched"), n("our_only"), n("comp_only"))
+
+
+def coverage(counts: DataFrame, lexicon: Lexicon = DEFAULT, composite: dict = fixed.COMPOSITE, more: list[str] = fixed.MORE_COVERED) -> DataFrame:
+    """A5: benefits by disease from the counts by key: ours, theirs, matched pairs (``matched`` counts both sides of a pair). A composite label counts for each of its diseases."""
     labels = list(dict.fromkeys([*lexicon.labels("disease"), *more, *composite]))
-    known = F.array(*map(F.lit, labels))
-    first = F.try_element_at(F.filter(F.split("key", r"\|"), lambda p: F.array_contains(known, p)), F.lit(1))
+    first = F.try_element_at(F.filter(F.split("key", r"\|"), lambda p: p.isin(labels)), F.lit(1))
     diseases = F.when(first.isNull(), F.array(F.lit("기타")))
     for label, parts in composite.items():
         diseases = diseases.when(first == label, F.array(*map(F.lit, parts)))
-    each = pairs.select("match_type", F.explode(diseases.otherwise(F.array(first))).alias("disease"))
-    n = lambda *kinds: F.count_if(F.col("match_type").isin(*kinds)).cast("long")
-    return each.groupBy("disease").agg(n("matched", "our_only").alias("our"), n("matched", "comp_only").alias("comp"), n("matched").alias("matched_pairs"), (n("matched") * 2).alias("matched"))
+    each = counts.select("matched", "our_only", "comp_only", F.explode(diseases.otherwise(F.array(first))).alias("disease"))
+    total = lambda c: F.sum(c).cast("long")
+    return each.groupBy("disease").agg(total(F.col("matched") + F.col("our_only")).alias("our"), total(F.col("matched") + F.col("comp_only")).alias("comp"), total("matched").alias("matched_pairs"), (total("matched") * 2).alias("matched"))
 
 
 def action_scores(pairs: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
@@ -143,10 +148,12 @@ def preferred_order(coverage_table: DataFrame, first: list[str]) -> DataFrame:
     return shown.withColumn("place", F.row_number().over(Window.orderBy("at", "disease"))).drop("at")
 
 
-def exclusive_actions(pairs: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """Benefits only one side has, by side and kind of benefit."""
+def exclusive_actions(counts: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """Benefits only one side has, by side and kind of benefit, from the counts by key."""
     action = F.coalesce(F.nullif(key_action(F.col("key"), lexicon), F.lit("")), F.lit("기타"))
-    return pairs.where("match_type <> 'matched'").groupBy(F.when(F.col("match_type") == "our_only", "our").otherwise("comp").alias("side"), action.alias("action")).agg(F.count(F.lit(1)).alias("n"))
+    sides = F.array(F.struct(F.lit("our").alias("side"), F.col("our_only").alias("n")), F.struct(F.lit("comp").alias("side"), F.col("comp_only").alias("n")))
+    each = counts.select(action.alias("action"), F.explode(sides).alias("s")).where("s.n > 0")
+    return each.groupBy("s.side", "action").agg(F.sum("s.n").cast("long").alias("n"))
 
 
 def position(pairs: DataFrame) -> DataFrame:
@@ -181,7 +188,7 @@ def key_points(pairs: DataFrame, slots: DataFrame, lexicon: Lexicon = DEFAULT) -
     p = position(pairs)
     gaps = top_gaps(pairs).groupBy("side").agg(F.max_by(F.format_string("%s (%s vs %s, %+d%%)", "name", "our_amt", "comp_amt", "gap_pct"), F.struct(F.abs("gap_pct"), -F.col("our_ord"))).alias("best"))
     best = gaps.groupBy(F.lit(1).alias("one")).agg(F.max(F.when(F.col("side") == OURS, F.col("best"))).alias("up"), F.max(F.when(F.col("side") == THEIRS, F.col("best"))).alias("down"))
-    ex = exclusive_actions(pairs, lexicon).groupBy("side").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "action", "n"))).alias("l"))
+    ex = exclusive_actions(counted(pairs), lexicon).groupBy("side").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "action", "n"))).alias("l"))
     cats = ex.groupBy(F.lit(1).alias("one")).agg(*[F.max(F.when(F.col("side") == s, F.array_join(F.transform(F.slice("l", 1, k), lambda x: F.format_string("%s %d건", x["action"], x["n"])), " · "))).alias(s) for s, k in (("our", 1000), ("comp", 4))])
     w = slot_wins(slots).groupBy(F.lit(1).alias("one")).agg(*[F.coalesce(F.max(F.when((F.col("dimension") == d) & (F.col("advantage") == v), F.col("n"))), F.lit(0)).alias(a) for d, v, a in (("payment_limit", OURS, "lim_up"), ("payment_limit", THEIRS, "lim_down"), ("reduction_rule", OURS, "red_up"), ("reduction_rule", THEIRS, "red_down"))])
     t = p.withColumn("one", F.lit(1)).join(best, "one", "left").join(cats, "one", "left").join(w, "one", "left").na.fill(0, ["lim_up", "lim_down", "red_up", "red_down"])

@@ -24,7 +24,7 @@ def compare_sides(our: DataFrame, comp: DataFrame, lexicon: Lexicon = DEFAULT) -
     pairs = cut(compare.compared(matching.paired(our, comp), our, comp), "pairs")
     slots = compare.slot_table(pairs)
     return {
-        "pairs": pairs, "slots": slots, "amounts": compare.amount_table(pairs), "summary": compare.summary(pairs), "coverage": compare.coverage(pairs, lexicon),
-        "scores": compare.action_scores(pairs, lexicon), "exclusive": compare.exclusive_actions(pairs, lexicon), "position": compare.position(pairs),
+        "pairs": pairs, "slots": slots, "amounts": compare.amount_table(pairs), "summary": compare.summary(pairs), "coverage": compare.coverage(compare.counted(pairs), lexicon),
+        "scores": compare.action_scores(pairs, lexicon), "exclusive": compare.exclusive_actions(compare.counted(pairs), lexicon), "position": compare.position(pairs),
         "gaps": compare.top_gaps(pairs), "points": compare.key_points(pairs, slots, lexicon), "facts": compare.deep_dive(pairs),
     }

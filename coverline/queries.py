@@ -324,7 +324,7 @@ def comparison_summary(spark, d):
 
 
 def coverage_by_disease(spark, d):
-    return _tables(spark, d)["coverage"]
+    return compare.coverage(matching.counts_by_key(*_sides(spark, d)))
 
 
 def action_scores(spark, d):
@@ -336,11 +336,11 @@ def action_margins(spark, d):
 
 
 def disease_order(spark, d):
-    return compare.preferred_order(_tables(spark, d)["coverage"], ["일반암", "고액암", "갑상선암"]).select("disease", BIG("place"))
+    return compare.preferred_order(coverage_by_disease(spark, d), ["일반암", "고액암", "갑상선암"]).select("disease", BIG("place"))
 
 
 def exclusive_actions(spark, d):
-    return _tables(spark, d)["exclusive"]
+    return compare.exclusive_actions(matching.counts_by_key(*_sides(spark, d)))
 
 
 def position(spark, d):
