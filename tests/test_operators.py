@@ -217,3 +217,19 @@ def test_scratch(spark):
     assert os.path.exists(path)
     session.clean_scratch(spark)
     assert not os.path.exists(path) and not session._SCRATCH
+
+
+def test_better_reading(spark):
+    schema = "doc_id int, name string, amounts array<struct<condition:string,amount:string,reduction_note:string>>"
+    good, bare = [("", "1만원", "")], []
+    tables = spark.createDataFrame([(1, "가", good), (2, "", bare), (3, "나", bare), (3, "다", bare)], schema)
+    coords = spark.createDataFrame([(1, "x", good), (2, "y", good), (3, "", bare), (4, "z", good)], schema)
+    got = {(r.doc_id, r.name) for r in layout.better_reading(tables, coords, ["doc_id"]).collect()}
+    assert got == {(1, "가"), (2, "y"), (3, "나"), (3, "다"), (4, "z")}
+
+
+def test_key_points(spark):
+    pairs = spark.createDataFrame([("가|진단", "matched", 1, 10, "a", "b", "1,000만원", "500만원", "당사우위", ""), ("가|수술", "our_only", 2, None, "c", "", "", "", "당사단독", ""), ("나|입원", "comp_only", None, 11, "", "d", "", "", "타사단독", "")], "key string, match_type string, our_ord long, comp_ord long, our_name string, comp_name string, our_amount string, comp_amount string, advantage string, rationale string")
+    slots = spark.createDataFrame([(1, 10, "a", "payment_limit", "최대 2회", "최대 1회", "당사우위")], "our_ord long, comp_ord long, our_name string, dimension string, our_value string, comp_value string, advantage string")
+    got = {r.ord: (r.type, r.n, r.detail) for r in compare.key_points(pairs, slots).collect()}
+    assert got == {1: ("strength", 1, "a (1,000만원 vs 500만원, +100%)"), 2: ("strength", 1, "수술 1건"), 3: ("strength", 1, "지급한도 1건 / 감액조건 0건"), 6: ("gap", 1, "입원 1건")}
