@@ -262,6 +262,18 @@ KEPT = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY insurer, produ
 ROWS_OF = "SELECT row_id, product_name, contract_name, benefit_name, trigger FROM summary_rows WHERE product_name IS NOT NULL AND contract_name IS NOT NULL"
 
 
+def note_text(e: str) -> str:
+    """Text of a note with line ends inside words removed and known phrases put together."""
+    note = r"regexp_replace(" + e + ", " + rx(r"\n(\d{1,2}\.\s)") + r", ' ' || chr(1) || ' \1', 'g')"
+    for before, after in (("가-힣", "가-힣"), ("가-힣", "A-Za-z0-9"), ("A-Za-z0-9", "가-힣"), ("0-9년개월회%", "이가을를은는의에으"), ("\"')\\]", "가-힣"), ("가-힣", "\"'(\\[")):
+        for _ in range(2):
+            note = f"regexp_replace({note}, {q(f'([{before}])' + chr(10) + f'([{after}])')}, '\\1\\2', 'g')"
+    note = f"replace(regexp_replace({note}, '[ \t\n]+', ' ', 'g'), ' ' || chr(1) || ' ', ' ')"
+    for broken, whole in fixed.BROKEN_PHRASES:
+        note = f"replace({note}, {q(broken)}, {q(whole)})"
+    return strip(note)
+
+
 def more_sql() -> dict[str, str]:
     """SQL of nested and composed queries."""
     benefits = f"SELECT f.product_name, f.contract_name, row_number() OVER (PARTITION BY f.contract_id ORDER BY b.row_id) - 1 AS benefit_ord, b.row_id, coalesce(b.benefit_name, '') AS benefit_name, coalesce(b.trigger, '') AS trigger, f.insurer, f.source_pdf FROM ({KEPT}) f JOIN ({ROWS_OF}) b ON b.product_name = f.product_name AND b.contract_name = f.contract_name"
@@ -285,14 +297,10 @@ def more_sql() -> dict[str, str]:
     main = strip("ac")
     single = f"(len(e) <= 1 AND {main} <> '' AND (regexp_matches({main}, {rx(fixed.PERIOD_LIMIT)}) OR NOT regexp_matches({main}, {rx(fixed.PERIODIC)})))"
     man = lambda e: f"format('{{:,}}', CAST(floor({e} / 10000.0) AS BIGINT)) || '만원'"
-    note = r"regexp_replace(coalesce(notes_summary, ''), " + rx(r"\n(\d{1,2}\.\s)") + r", ' ' || chr(1) || ' \1', 'g')"
-    for before, after in (("가-힣", "가-힣"), ("가-힣", "A-Za-z0-9"), ("A-Za-z0-9", "가-힣"), ("0-9년개월회%", "이가을를은는의에으"), ("\"')\\]", "가-힣"), ("가-힣", "\"'(\\[")):
-        for _ in range(2):
-            note = f"regexp_replace({note}, {q(f'([{before}])' + chr(10) + f'([{after}])')}, '\\1\\2', 'g')"
-    note = f"replace(regexp_replace({note}, '[ \t\n]+', ' ', 'g'), ' ' || chr(1) || ' ', ' ')"
-    for broken, whole in fixed.BROKEN_PHRASES:
-        note = f"replace({note}, {q(broken)}, {q(whole)})"
-    note = strip(note)
+    note = note_text(t("notes_summary"))
+    numbered = note_text(f"replace({t('notes_summary')}, ' | ', chr(10))")
+    for _ in range(2):
+        numbered = f"regexp_replace({numbered}, {q(f'(^|[{_WS}])([{chr(92)}p{{Nd}}]{{1,2}}[.][{_WS}])')}, '\\1' || chr(2) || '\\2', 'g')"
     cell = "concat_ws(' ', nullif(coalesce(condition,''), ''), nullif(coalesce(amount,''), ''), CASE WHEN coalesce(reduction_note,'') <> '' THEN '(단, 보험계약일부터 1년 ' || reduction_note || ' 지급)' END)"
     red = strip(f"regexp_extract(x, {rx(fixed.REDUCTION)}, 1)")
     ratio, periodic, plain = f"regexp_extract(x, {rx(fixed.RATIO)}, 0)", rx(r"^(매월|매년\(매회\)|매년)\s*(\d[\d,]+만원)"), f"regexp_extract(x, {rx(fixed.AMOUNT)}, 0)"
@@ -325,6 +333,7 @@ def more_sql() -> dict[str, str]:
         "contract_headers": f"SELECT contract_id, CASE WHEN ok THEN {clean('contract_name')} END AS name, CASE WHEN ok THEN contract_code END AS code, CASE WHEN ok THEN '1,000만원' END AS reference, CAST(contract_id AS VARCHAR) AS management_no, {clean(q('무배당 ') + ' || product_name')} AS product FROM (SELECT *, regexp_matches(coalesce(contract_code, ''), '^[A-Za-z0-9]+[.][0-9]+([.][0-9]+)?$') AS ok FROM contracts)",
         "coordinate_benefits": f"WITH b AS ({BLOCKS}), i AS (SELECT *, CAST(sum(CASE WHEN x0 = 50 AND (pp IS NULL OR pp <> page_idx OR y0 - py > 40) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_idx, y0, x0, block_no) AS BIGINT) AS g FROM (SELECT *, lag(page_idx) OVER w AS pp, lag(y0) OVER w AS py FROM b WHERE x0 = 50 AND NOT regexp_matches({clean('text')}, {rx(r'급\s*부\s*명|지\s*급\s*사\s*유|지\s*급\s*금\s*액')}) WINDOW w AS (PARTITION BY doc_id ORDER BY page_idx, y0, x0, block_no) UNION ALL SELECT *, 0, 0 FROM b WHERE x0 > 50 AND NOT regexp_matches({clean('text')}, {rx(r'급\s*부\s*명|지\s*급\s*사\s*유|지\s*급\s*금\s*액')}))) SELECT doc_id, g AS group_no, string_agg({clean('text')}, ' ' ORDER BY page_idx, y0, x0, block_no) FILTER (x0 = 50) AS name, {clean(f'coalesce(string_agg(text, {q(chr(32))} ORDER BY page_idx, y0, x0, block_no) FILTER (x0 = 200), {q(str())})')} AS trigger, count(*) FILTER (x0 = 400 AND regexp_matches({clean('text')}, {rx(fixed.AMOUNT)})) AS n_amounts FROM i WHERE g > 0 GROUP BY doc_id, g",
         "rider_directories": f"WITH n AS (SELECT DISTINCT contract_name AS name, {squeeze(t('contract_name'))} AS k FROM contracts), d AS (SELECT DISTINCT disease AS directory, {squeeze(t('disease'))} AS k2 FROM benefit_catalog), j AS (SELECT name, directory, k = k2 AS same FROM n JOIN d ON contains(k, k2) OR contains(k2, k) WHERE k <> '' AND k2 <> '') SELECT name, min(directory) AS directory FROM j WHERE same OR name NOT IN (SELECT name FROM j WHERE same) GROUP BY name",
+        "note_split": f"SELECT row_id, CAST(pos - 1 AS BIGINT) AS pos, l[pos] AS note FROM (SELECT row_id, l, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT row_id, CASE WHEN len(k) > 0 THEN k WHEN w <> '' THEN [w] ELSE [] END AS l FROM (SELECT row_id, list_filter(list_transform(string_split(n, chr(2)), lambda p: {strip('p')}), lambda p: regexp_matches(p, {q(f'^[{chr(92)}p{{Nd}}]{{1,2}}[.]([{_WS}]|$)')})) AS k, {strip('replace(n, chr(2), ' + q('') + ')')} AS w FROM (SELECT row_id, {numbered} AS n FROM summary_rows))))",
         "note_repair": f"SELECT row_id, {note} AS note FROM summary_rows",
         "amount_cells": cells,
         "amount_display": f"SELECT row_id, CASE WHEN len(e) = 0 THEN CASE WHEN ac <> '' AND am <> '' AND NOT contains(am, ac) THEN {strip('CASE WHEN sc <> ' + q('') + ' THEN sc ELSE ac END || ' + q(' ') + ' || am')} ELSE am END WHEN len(k) > 0 THEN array_to_string(list_transform(list_filter(list_transform(k, lambda x: x.k), lambda y, i: list_position(list_transform(k, lambda x: x.k), y) = i), lambda g: CASE WHEN g = '' THEN '' ELSE g || ' ' END || CASE WHEN list_min(list_transform(list_filter(k, lambda x: x.k = g), lambda x: x.v)) = list_max(list_transform(list_filter(k, lambda x: x.k = g), lambda x: x.v)) THEN {man('list_min(list_transform(list_filter(k, lambda x: x.k = g), lambda x: x.v))')} ELSE {man('list_min(list_transform(list_filter(k, lambda x: x.k = g), lambda x: x.v))')} || '~' || {man('list_max(list_transform(list_filter(k, lambda x: x.k = g), lambda x: x.v))')} END), chr(10)) ELSE coalesce(nullif(e[1].a, ''), am) END AS shown FROM (SELECT row_id, e, am, ac, {short_condition('ac')} AS sc, list_filter(list_transform(e, lambda x: {{'k': CASE WHEN x.c <> '' THEN {short_condition('x.c')} ELSE '' END, 'v': {won('x.a')}}}), lambda z: z.v IS NOT NULL) AS k FROM (SELECT row_id, {ent} AS e, {t('amount')} AS am, {t('amount_condition')} AS ac FROM summary_rows))",
