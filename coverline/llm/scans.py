@@ -2,11 +2,16 @@
 
 Two averaged perceptrons do the work. The character editor predicts one operation per character (keep, replace,
 delete, insert) and, at a line end, join or space; its features are the characters around, read with all digits as
-one, and how well the surrounding triple and its look-alike alternatives are known. The line model tells running
+one, and how well the surrounding triple and its look-alike alternatives are known. Where no look-alike explains an
+unknown triple, the editor weighs what is known to stand between the two characters before and the two after: a character
+outside the look-alike table or a digit replaced, an added one deleted, a dropped one inserted, two read for one or one
+for two. This goes over letters and numbers alone, because rows also differ in punctuation, white space and letter case,
+which is formatting. Not seen: a digit read as another digit, digits dropped from or added to a number, marks and brackets
+added or dropped, and two such errors within two characters. The line model tells running
 headers and page numbers from text by the shape of a line and its position (first, inner or last line, blank lines
 around it, the line before it unfinished). Both are trained on the data they are to repair: a bounded sample
 (``SAMPLE`` texts of each field) gives clean texts, on which the damage of scanning is drawn again: every character is
-once replaced by each of its look-alikes, every blank and every place inside a word is once a line end, and headers
+once replaced by each of its look-alikes, characters are dropped, added, replaced at random and doubled, every blank and every place inside a word is once a line end, and headers
 and page numbers of the usual forms are set between the lines. Texts of the sample that hold damage themselves are
 recognised by words with a look-alike word many times as frequent, and are left out of the training.
 
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -33,7 +39,11 @@ from pyspark.sql import functions as F
 SAMPLE = 6_000
 #: A word is taken for damaged if a look-alike word is this many times as frequent in the sample.
 RATIO = 10
+#: What stands in a text is no misreading unless what is meant is this many times as frequent (or it was never seen).
+RARE = 1_000
 EPOCHS = 6
+#: Places of clean text at which dropped, added and foreign characters are drawn.
+PLACES = 3_000
 #: Pieces of clean text that lines are made of for the line model.
 LINES = 1_500
 
@@ -44,6 +54,9 @@ VOWELS_ALIKE = "ㅏㅑ ㅓㅕ ㅗㅛ ㅜㅠ ㅐㅔ ㅔㅖ ㅐㅒ ㅝㅟ ㅘㅚ 
 TAILS_ALIKE = "ㅁㅂ ㅇㄴ ㄱㅇ ㄴㄷ ㄷㄹ ㅇㅁ ㅅㅈ ㅈㅊ ㄱㅋ ㄱㄹ"
 DIGITS_ALIKE = {"0": "OoQD", "1": "lI", "2": "Z", "5": "S", "8": "B"}
 
+# The digit a letter stands for, for letters beyond DIGITS_ALIKE.
+READ_AS = {**{x: d for d, s in DIGITS_ALIKE.items() for x in s}, "b": "6", "G": "6", "g": "9", "q": "9", "z": "2", "s": "5", "|": "1"}
+
 KEEP, REPLACE, DELETE, INSERT, JOIN, SPACE = "keep", "replace", "delete", "insert", "join", "space"
 
 
@@ -154,6 +167,126 @@ def edit_features(t: str, i: int, known: dict[str, int], seen: int = 0) -> list[
     return ["b", "c" + c, "l" + a + c, "r" + c + b, "t" + a + c + b, "k" + k, "m" + k + _bucket(left) + _bucket(right), "n" + _bucket(other) + ("h" if "가" <= c <= "힣" else "d" if c.isdigit() else "x")]
 
 
+Fillings = dict[str, dict[str, int]]
+
+
+def letters(piece: str) -> tuple[str, list[int]]:
+    """The letters and numbers of a masked piece, each number as one 0, between two blanks; and their positions in the piece."""
+    out, at = [], []
+    for i, c in enumerate(piece):
+        if c.isalnum() and not (c == "0" and out and out[-1] == "0"):
+            out.append(u if len(u := c.upper()) == 1 else c)
+            at.append(i)
+    return "  " + "".join(out) + "  ", at
+
+
+def count_fillings(p: str, n: int, fillings: Fillings) -> None:
+    """Adds what stands between two characters and the next two of padded letters: nothing, one character or two."""
+    for size in range(3):
+        for i in range(2, len(p) - 1 - size):
+            row = fillings.setdefault(p[i - 2 : i] + p[i + size : i + size + 2], {})
+            row[p[i : i + size]] = row.get(p[i : i + size], 0) + n
+
+
+def _class(s: str) -> str:
+    return "".join("h" if "가" <= c <= "힣" else "d" if c == "0" else "a" for c in s) or "-"
+
+
+def _same_letter(a: str, b: str) -> bool:
+    return unicodedata.normalize("NFKC", a).casefold() == unicodedata.normalize("NFKC", b).casefold()
+
+
+#: Length read, length meant and the operation: foreign character, added, dropped, two read for one, one read for two.
+SPANS = ((1, 1, REPLACE), (1, 0, DELETE), (0, 1, INSERT), (2, 1, REPLACE), (1, 2, REPLACE))
+
+
+def spans(p: str, i: int, fillings: Fillings, unseen: bool = False) -> list[tuple]:
+    """(operation, characters read, characters meant, features) of what may stand at p[i] instead, best known first.
+
+    ``unseen`` takes what stands there for never seen, as new words of clean text are."""
+    out = []
+    for read, meant, op in SPANS:
+        got, right = p[i : i + read], p[i + read : i + read + 2]
+        if len(right) < 2:
+            continue
+        row = fillings.get(p[i - 2 : i] + right)
+        if not row:
+            continue
+        own = row.get(got, 0)
+        n, best = max(((m, f) for f, m in row.items() if len(f) == meant and f != got and (read + meant < 3 or f not in got and got not in f)), default=(0, ""))
+        if own * RARE > n and not unseen:
+            continue
+        if not n or "0" in (got if op == DELETE else best if op == INSERT else "") or read == meant and _same_letter(got, best) or "0" in best and (meant > 1 or read > 1):
+            continue
+        share = n / (sum(row.values()) - own)
+        size = "0" if n < 3 else "1" if n < 10 else "2" if n < 100 else "3"
+        k = f"S{op}{read}{meant}"
+        sure = "0" if share < 0.5 else "1" if share < 0.9 else "2" if share < 0.99 else "3"
+        edge = str(p[i - 2 : i].count(" ")) + str(right.count(" "))
+        kind = _class(got) + ">" + _class(best)
+        out.append((n, op, got, best, [k, k + "n" + size, k + "s" + sure, k + "ns" + size + sure, k + "e" + edge, k + "c" + kind, k + "ec" + edge + kind, k + "cs" + kind + sure, k + "es" + edge + sure, k + "o" + str(min(len(row), 4)) + sure, "Sf" + op + best, "Sg" + op + got]))
+    out.sort(key=lambda x: -x[0])
+    return [x[1:] for x in out]
+
+
+def span_edits(piece: str, at: list[int], i: int, op: str, got: str, best: str) -> list[tuple]:
+    """The operations by position in the piece that make ``best`` of ``got``, the i-th of its letters."""
+    here = at[i] if i < len(at) else at[-1] + 1
+    if best == "0":
+        best = READ_AS.get(got, got)  # which digit it was can't always be told
+    if got == "0" and (run := len(piece[here:]) - len(piece[here:].lstrip("0"))) > 1:
+        return [(here, REPLACE, best)] + [(here + k, DELETE, "") for k in range(1, run)]
+    if op == INSERT:
+        after = at[i - 1] + 1 if i else 0
+        while i and piece[after : after + 1] == "0" == piece[after - 1]:
+            after += 1
+        if here - after == 1 and piece[after] != " ":
+            return [(after, REPLACE, best)]  # a mark was read for the character
+        return [(here, INSERT, best)]
+    if len(got) == 2:
+        there = at[i + 1]
+        return [(here, REPLACE, best), (there, DELETE, "")]
+    if len(best) == 2:
+        return [(here, REPLACE, best[0]), (here + 1, INSERT, best[1])]
+    return [(here, op, best)]
+
+
+def apply(piece: str, ops) -> str:
+    """The piece after ((position, operation, characters), …)."""
+    chars = [*piece, ""]
+    for i, op, x in ops:
+        chars[i] = x + chars[i] if op == INSERT else x
+    return "".join(chars)
+
+
+def _span_examples(pieces: list[str], fillings: Fillings, rng: random.Random) -> list[tuple]:
+    """Examples of dropped, added, foreign and doubled characters, and of clean text as if it had never been seen."""
+    lines = sorted({letters(p)[0][2:-2] for p in pieces})
+    places = [(p, i) for p in lines for i in range(len(p))]
+    alphabet = sorted({c for p in lines for c in p if c.isalpha()}) or ["가"]
+    out = []
+
+    def add(clean: str, bad: str, i: int) -> None:
+        # the operation that gives the clean text is right, every other one is not
+        bad, at = letters(bad)
+        plain = bad[2:-2]
+        for j in range(max(i - 1, 0), min(i + 2, len(at) + 1)):
+            for op, got, best, features in spans(bad, j + 2, fillings) if at else ():
+                right = plain[:j] + best + plain[j + len(got) :] == clean
+                out.append((features, op if right else KEEP, (KEEP, op)))
+
+    for p, i in rng.sample(places, min(PLACES, len(places))):
+        drawn = lambda: rng.choice(alphabet) if rng.random() < 0.6 else rng.choice("00ABEGLNRT") if rng.random() < 0.7 else chr(0xAC00 + rng.randrange(11172))
+        add(p, p[:i] + p[i + 1 :], i)
+        add(p, p[:i] + drawn() + p[i + 1 :], i)
+        add(p, p[:i] + drawn() + drawn() + p[i + 1 :], i)
+        add(p, p[:i] + drawn() + p[i + 2 :], i)
+        add(p, p[:i] + drawn() + p[i:], i)
+        for op, _, _, features in spans("  " + p + "  ", i + 2, fillings, unseen=True):
+            out.extend([(features, KEEP, (KEEP, op))] * 2)
+    return out
+
+
 def join_features(left: str, right: str, hyphen: bool, indent: bool, words: dict[str, int]) -> list[str]:
     """Features of a line end: the characters on both sides and whether the parts or the whole are known words."""
     a, b = left[-2:], right[:2]
@@ -170,6 +303,7 @@ def join_features(left: str, right: str, hyphen: bool, indent: bool, words: dict
 _PREFIX = "<"
 _TAIL, _HEAD = re.compile(r"[가-힣A-Za-z0-9]*$"), re.compile(r"[가-힣A-Za-z0-9]*")
 _WORD = re.compile(r"[가-힣]{2,}")
+_WORDS = re.compile(r"[가-힣A-Za-z0-9]+")
 
 # Forms of page numbers and running headers; {n} a number, {c} a company, {p} a product.
 PAGE_FORMS = ["{n}", "- {n} -", "p. {n}", "Page {n}", "제{n}쪽", "{n}면", "{n}쪽", "〔{n}〕", "[{n}]", "({n})", "{n} / {n}", "{n}/{n}", "– {n} –", "페이지 {n}", "p.{n}", "{n} 페이지", "{n} of {n}"]
@@ -192,8 +326,8 @@ def line_features(line: str, at: int, n: int, before: str, blank: bool) -> list[
 class Model:
     """Editor, joiner and line model with the statistics of the sample they were fitted on."""
 
-    def __init__(self, editor, joiner, liner, known, words):
-        self.editor, self.joiner, self.liner, self.known, self.words = editor, joiner, liner, known, words
+    def __init__(self, editor, joiner, liner, known, words, fillings):
+        self.editor, self.joiner, self.liner, self.known, self.words, self.fillings = editor, joiner, liner, known, words, fillings
         self.memo: dict[str, tuple] = {}
         self.joins: dict[tuple, str] = {}
         self.lines: dict[tuple, str] = {}
@@ -212,17 +346,46 @@ class Model:
         return hit
 
     def _edits(self, t: str) -> Iterator[tuple]:
-        p = "  " + t + "  "
+        p, changed, odd = "  " + t + "  ", {}, False
         for i in range(2, len(p) - 2):
             c = p[i]
-            if not alike(c) or c == "0":
-                continue
             if self.known.get(p[i - 1 : i + 2], 0) > 2 and self.known.get("<" + p[i - 2 : i + 1], 0) > 2 and self.known.get(">" + p[i : i + 3], 0) > 2:
                 continue
-            if self.editor.best(edit_features(p, i, self.known), (KEEP, REPLACE)) == REPLACE:
+            odd = True
+            if alike(c) and c != "0" and self.editor.best(edit_features(p, i, self.known), (KEEP, REPLACE)) == REPLACE:
                 n, x = _likely(p, i, self.known)
                 if n > 0:
+                    changed[i - 2] = x
                     yield (i - 2, REPLACE, x)
+        if not odd:
+            return
+        # what no look-alike explains, in the text with the look-alikes set right
+        t = "".join(changed.get(i, c) for i, c in enumerate(t)).translate(_DIGIT)
+        q, at = letters(t)
+        after = 2
+        for i in range(2, len(q) - 1 if at else 0):
+            if i < after:
+                continue
+            for op, got, best, features in spans(q, i, self.fillings):
+                if self.editor.best(features, (KEEP, op)) == op:
+                    ops = span_edits(t, at, i - 2, op, got, best)
+                    if not any(k in changed for k, _, _ in ops) and self._unknown(t, ops):
+                        yield from ops
+                        after = i + max(len(got), 1)
+                        break
+
+    def _unknown(self, t: str, ops: list[tuple]) -> bool:
+        """Whether a word that operations change is unknown as it stands; known words in new order are wording, not damage."""
+        lo, hi = ops[0][0], ops[-1][0] + (ops[-1][1] != INSERT)
+        if ops[0][1] == DELETE and not t[lo - 1 : lo].isalnum() and not t[hi : hi + 1].isalnum():
+            return False
+        if ops[0][1] == INSERT:  # it may also have ended the word before
+            while lo and not t[lo - 1].isalnum():
+                lo -= 1
+        left, right = _TAIL.search(t[:lo]).group(), _HEAD.match(t[hi:]).group()
+        became = left + apply(t[lo:hi], [(i - lo, o, x) for i, o, x in ops]) + right
+        meant = max((self.words.get(w.translate(_DIGIT), 0) for w in _WORDS.findall(became)), default=0)
+        return any(self.words.get(w, 0) < 3 or self.words[w] * RARE <= meant for w in _WORDS.findall(left + t[lo:hi] + right))
 
     def line_kind(self, part: str, at: int, n: int, before: str, blank: bool) -> str:
         """text, header or pageno."""
@@ -266,10 +429,7 @@ def repair(text: str | None, model: Model) -> tuple[str | None, list[str]]:
         ops = model.edits(piece) if len(piece) > 1 else ()
         if ops:
             found.add("misread")
-            chars = list(piece)
-            for i, _, x in ops:
-                chars[i] = x
-            piece = "".join(chars)
+            piece = apply(piece, ops)
         out.append(piece)
     return "".join(out), sorted(found)
 
@@ -336,13 +496,15 @@ def train(texts: list[str], seed: int = 7) -> Model:
     pieces = Counter(m.group().translate(_DIGIT) for t in clean for m in _PIECE.finditer(t) if len(m.group()) > 1)
     known: Counter = Counter()
     words: Counter = Counter()
+    fillings: Fillings = {}
     for p, n in pieces.items():
         q = "  " + p + "  "
+        count_fillings(letters(p)[0], n, fillings)
         for i in range(2, len(q) - 2):
             known[q[i - 1 : i + 2]] += n
             known["<" + q[i - 2 : i + 1]] += n
             known[">" + q[i : i + 3]] += n
-        for w in re.findall(r"[가-힣A-Za-z0-9]+", p):
+        for w in _WORDS.findall(p):
             words[w] += n
             for k in range(2, len(w) + 1):
                 words[_PREFIX + w[:k]] += n
@@ -415,7 +577,7 @@ def train(texts: list[str], seed: int = 7) -> Model:
     for num in range(1, 40):
         lines.append((line_features(f"{num}.", 0, 2, "", False), "text", kinds))
         lines.append((line_features(f"{num}회에 한함)", 1, 2, "(최초", False), "text", kinds))
-    return Model(Perceptron().fit(list(edits.values())), Perceptron().fit([*joins.values(), *[(["b", "hTrue"], JOIN, (SPACE, JOIN))] * 100]), Perceptron().fit(lines), dict(known), {w: n for w, n in words.items()})
+    return Model(Perceptron().fit([*edits.values(), *_span_examples(list(pieces), fillings, random.Random(seed))]), Perceptron().fit([*joins.values(), *[(["b", "hTrue"], JOIN, (SPACE, JOIN))] * 100]), Perceptron().fit(lines), dict(known), {w: n for w, n in words.items()}, fillings)
 
 
 def sample_texts(df: DataFrame, key: str, columns: list[str], n: int = SAMPLE) -> list[str]:

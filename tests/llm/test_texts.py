@@ -125,6 +125,23 @@ def test_held_out_damage_is_found_and_repaired(model):
     assert hit / (hit + miss + false) > 0.95 and whole / 300 > 0.85
 
 
+DAMAGE = {  # dropped, added, outside the look-alike table, read as a digit, two for one, one for two
+    "dropped": ("피보험자가", "피보자가"), "added": ("상태로", "상태읗로"), "foreign": ("보험기간", "보줄기간"), "digit": ("인하여", "인7여"), "two for one": ("진료를", "진로뢰를"), "one for two": ("피보험자가", "피봄자가"), "mark": ("피보험자가", "피보.자가"),
+}
+
+
+@pytest.mark.parametrize("kind", DAMAGE)
+def test_editor_replaces_deletes_and_inserts(model, kind):
+    right, wrong = DAMAGE[kind]
+    text = "보험기간 중 피보험자가 위암(분류코드 C16) 상태로 인하여 외래로 통원하여 진료를 받은 경우"
+    assert S.repair(text.replace(right, wrong, 1), model) == (text, ["misread"])
+
+
+def test_formatting_is_no_misreading(model):
+    for text in ("보험기간  중 '피보험자가 위암(분류코드 c16) 상태로, 인하여 외래로통원하여 진료를 받은 경우'", "갱신계약의/보험기간 중 피보험자가 최초로   발생한 골절(질병코드 S12)의 결과로 진단 확정되었을 때;"):
+        assert S.repair(text, model) == (text, [])
+
+
 def test_scan_edges(spark, model):
     rows = spark.createDataFrame([(1, "보험기간 중 피보-\n험자가 위암(분류코드 C10) 상태로 인하여 수술을 받았을 때", None), (2, None, ""), (3, "한 줄", "1. 가\n2. 나"), (None, "x", "y"), (4, "가 " * 30_000, "p. 3")], "row_id long, trigger string, notes_summary string")
     entries = spark.createDataFrame([(1, None), (2, "")], "entry_id long, reduction_note string")
