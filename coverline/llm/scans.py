@@ -7,13 +7,15 @@ unknown triple, the editor weighs what is known to stand between the two charact
 outside the look-alike table or a digit replaced, an added one deleted, a dropped one inserted, two read for one or one
 for two. This goes over letters and numbers alone, because rows also differ in punctuation, white space and letter case,
 which is formatting. Not seen: a digit read as another digit, digits dropped from or added to a number, marks and brackets
-added or dropped, and two such errors within two characters. The line model tells running
+added or dropped, and most cases of two such errors within two characters. The line model tells running
 headers and page numbers from text by the shape of a line and its position (first, inner or last line, blank lines
-around it, the line before it unfinished). Both are trained on the data they are to repair: a bounded sample
-(``SAMPLE`` texts of each field) gives clean texts, on which the damage of scanning is drawn again: every character is
+around it, the line before it unfinished). What is known (triples, words, what stands between two characters and two) is
+counted over all texts without line ends, as pieces with their counts, of which there are few. The perceptrons alone
+are fitted on a bounded sample (``SAMPLE`` texts of each field), which gives clean texts, on which the damage of scanning is drawn again: every character is
 once replaced by each of its look-alikes, characters are dropped, added, replaced at random and doubled, every blank and every place inside a word is once a line end, and headers
-and page numbers of the usual forms are set between the lines. Texts of the sample that hold damage themselves are
-recognised by words with a look-alike word many times as frequent, and are left out of the training.
+and page numbers of the usual forms are set between the lines. Pieces and sample texts that hold damage themselves are
+recognised by words with a look-alike word many times as frequent, and are left out. Words that have lost a blank are no
+known words where the same characters stand with the blank many times as often.
 
 Inference goes over whole texts in one narrow pass; the pieces between brackets and note marks repeat so much that
 most are answered from a bounded memo per worker.
@@ -29,18 +31,20 @@ import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coverline.session import cut
+
 #: Texts of each field the models are fitted on.
 SAMPLE = 6_000
 #: A word is taken for damaged if a look-alike word is this many times as frequent in the sample.
 RATIO = 10
 #: What stands in a text is no misreading unless what is meant is this many times as frequent (or it was never seen).
-RARE = 1_000
+RARE = 100
 EPOCHS = 6
 #: Places of clean text at which dropped, added and foreign characters are drawn.
 PLACES = 3_000
@@ -196,8 +200,8 @@ def _same_letter(a: str, b: str) -> bool:
     return unicodedata.normalize("NFKC", a).casefold() == unicodedata.normalize("NFKC", b).casefold()
 
 
-#: Length read, length meant and the operation: foreign character, added, dropped, two read for one, one read for two.
-SPANS = ((1, 1, REPLACE), (1, 0, DELETE), (0, 1, INSERT), (2, 1, REPLACE), (1, 2, REPLACE))
+#: Length read, length meant and the operation: foreign character, added, dropped, two read for one, one read for two, two foreign characters.
+SPANS = ((1, 1, REPLACE), (1, 0, DELETE), (0, 1, INSERT), (2, 1, REPLACE), (1, 2, REPLACE), (2, 2, REPLACE))
 
 
 def spans(p: str, i: int, fillings: Fillings, unseen: bool = False) -> list[tuple]:
@@ -213,7 +217,7 @@ def spans(p: str, i: int, fillings: Fillings, unseen: bool = False) -> list[tupl
         if not row:
             continue
         own = row.get(got, 0)
-        n, best = max(((m, f) for f, m in row.items() if len(f) == meant and f != got and (read + meant < 3 or f not in got and got not in f)), default=(0, ""))
+        n, best = max(((m, f) for f, m in row.items() if len(f) == meant and f != got and (read + meant < 3 or f not in got and got not in f and (read + meant < 4 or f[0] != got[0] and f[1] != got[1]))), default=(0, ""))
         if own * RARE > n and not unseen:
             continue
         if not n or "0" in (got if op == DELETE else best if op == INSERT else "") or read == meant and _same_letter(got, best) or "0" in best and (meant > 1 or read > 1):
@@ -243,6 +247,8 @@ def span_edits(piece: str, at: list[int], i: int, op: str, got: str, best: str)
         if here - after == 1 and piece[after] != " ":
             return [(after, REPLACE, best)]  # a mark was read for the character
         return [(here, INSERT, best)]
+    if len(got) == len(best) == 2:
+        return [(here, REPLACE, best[0]), (at[i + 1], REPLACE, best[1])]
     if len(got) == 2:
         there = at[i + 1]
         return [(here, REPLACE, best), (there, DELETE, "")]
@@ -281,6 +287,7 @@ def _span_examples(pieces: list[str], fillings: Fillings, rng: random.Random) ->
         add(p, p[:i] + drawn() + p[i + 1 :], i)
         add(p, p[:i] + drawn() + drawn() + p[i + 1 :], i)
         add(p, p[:i] + drawn() + p[i + 2 :], i)
+        add(p, p[:i] + drawn() + drawn() + p[i + 2 :], i)
         add(p, p[:i] + drawn() + p[i:], i)
         for op, _, _, features in spans("  " + p + "  ", i + 2, fillings, unseen=True):
             out.extend([(features, KEEP, (KEEP, op))] * 2)
@@ -324,16 +331,17 @@ def line_features(line: str, at: int, n: int, before: str, blank: bool) -> list[
 
 
 class Model:
-    """Editor, joiner and line model with the statistics of the sample they were fitted on."""
+    """Editor, joiner and line model with what is known of clean text."""
 
-    def __init__(self, editor, joiner, liner, known, words, fillings):
-        self.editor, self.joiner, self.liner, self.known, self.words, self.fillings = editor, joiner, liner, known, words, fillings
+    def __init__(self, editor, joiner, liner, counts):
+        self.editor, self.joiner, self.liner, self.known, self.words, self.fillings = editor, joiner, liner, counts.known, counts.words, counts.fillings
         self.memo: dict[str, tuple] = {}
         self.joins: dict[tuple, str] = {}
         self.lines: dict[tuple, str] = {}
+        self.windows: dict[str, list] = {}
 
     def __getstate__(self):
-        return {k: {} if k in ("memo", "joins", "lines") else v for k, v in self.__dict__.items()}
+        return {k: {} if k in ("memo", "joins", "lines", "windows") else v for k, v in self.__dict__.items()}
 
     def edits(self, piece: str) -> tuple:
         """((position, operation, replacement), …) of a piece of text without line ends."""
@@ -366,13 +374,21 @@ class Model:
         for i in range(2, len(q) - 1 if at else 0):
             if i < after:
                 continue
-            for op, got, best, features in spans(q, i, self.fillings):
-                if self.editor.best(features, (KEEP, op)) == op:
-                    ops = span_edits(t, at, i - 2, op, got, best)
-                    if not any(k in changed for k, _, _ in ops) and self._unknown(t, ops):
-                        yield from ops
-                        after = i + max(len(got), 1)
-                        break
+            for op, got, best in self._span(q[i - 2 : i + 4]):
+                ops = span_edits(t, at, i - 2, op, got, best)
+                if not any(k in changed for k, _, _ in ops) and self._unknown(t, ops):
+                    yield from ops
+                    after = i + max(len(got), 1)
+                    break
+
+    def _span(self, window: str) -> list[tuple]:
+        """(operation, characters read, characters meant) the editor predicts after the second character of a window, which is all that ``spans`` reads."""
+        hit = self.windows.get(window)
+        if hit is None:
+            if len(self.windows) > 300_000:
+                self.windows.clear()
+            hit = self.windows[window] = [(op, got, best) for op, got, best, features in spans(window, 2, self.fillings) if self.editor.best(features, (KEEP, op)) == op]
+        return hit
 
     def _unknown(self, t: str, ops: list[tuple]) -> bool:
         """Whether a word that operations change is unknown as it stands; known words in new order are wording, not damage."""
@@ -471,8 +487,13 @@ def _unwrap(text: str, model: Model, found: set[str]) -> str:
 
 
 def _damaged(words: Counter) -> set[str]:
-    """Words with a look-alike word that is many times as frequent (climbing over several characters)."""
-    bad = set()
+    """Words with a look-alike word that is many times as frequent (climbing over several characters), and long words with one of any other inner character that is ``RARE`` times as frequent."""
+    bad, inner = set(), {}
+    for w, n in words.items():
+        for i in range(len(w) - 1 if len(w) > 4 else 0):
+            k = w[:i] + "?" + w[i + 1 :]
+            inner[k] = max(n, inner.get(k, 0))
+    bad.update(w for w, n in words.items() if len(w) > 4 and any(inner[w[:i] + "?" + w[i + 1 :]] >= RARE * n for i in range(len(w) - 1)))
     for w, n in words.items():
         top, best = w, n
         for _ in range(4):
@@ -485,29 +506,65 @@ def _damaged(words: Counter) -> set[str]:
     return bad
 
 
-def train(texts: list[str], seed: int = 7) -> Model:
-    """Fits the models on sample texts; every example stands once, however often its text occurs."""
-    rng = random.Random(seed)
-    flat = [t for t in texts if t and "\n" not in t]
-    counts = Counter(w for t in flat for w in _WORD.findall(t))
-    bad = _damaged(counts)
-    letters_in_numbers = re.compile(r"\d[OoQDlIZSbGBgq|]+(?=[\d.)~가-힣%\]])|(?<![A-Za-z])[OolISB]\d*[OolISB]일")
-    clean = [t for t in flat if not letters_in_numbers.search(t) and not any(w in bad for w in _WORD.findall(t))]
-    pieces = Counter(m.group().translate(_DIGIT) for t in clean for m in _PIECE.finditer(t) if len(m.group()) > 1)
-    known: Counter = Counter()
-    words: Counter = Counter()
-    fillings: Fillings = {}
-    for p, n in pieces.items():
+_LETTERS_IN_NUMBERS = re.compile(r"\d[OoQDlIZSbGBgq|]+(?=[\d.)~가-힣%\]]|$)|(?<![A-Za-z])[OolISB]\d*[OolISB]일")
+
+
+def count_pieces(pieces: Iterable[tuple[str, int]], bad: set[str]) -> Counter:
+    """Counts of (kind, key, filling) over masked pieces without damaged words: ``known`` contexts, ``word``s, ``fill``ings, and ``open`` and ``shut`` places with and without blank."""
+    out: Counter = Counter()
+    for p, n in pieces:
+        if _LETTERS_IN_NUMBERS.search(p) or any(w in bad for w in _WORD.findall(p)):
+            continue
         q = "  " + p + "  "
-        count_fillings(letters(p)[0], n, fillings)
         for i in range(2, len(q) - 2):
-            known[q[i - 1 : i + 2]] += n
-            known["<" + q[i - 2 : i + 1]] += n
-            known[">" + q[i : i + 3]] += n
+            out["known", q[i - 1 : i + 2], ""] += n
+            out["known", "<" + q[i - 2 : i + 1], ""] += n
+            out["known", ">" + q[i : i + 3], ""] += n
+            if q[i] == " ":
+                out["open", q[i - 2 : i] + q[i + 1 : i + 3], ""] += n
+            else:
+                out["shut", q[i - 2 : i + 2], ""] += n
         for w in _WORDS.findall(p):
-            words[w] += n
-            for k in range(2, len(w) + 1):
-                words[_PREFIX + w[:k]] += n
+            out["word", w, ""] += n
+        fillings: Fillings = {}
+        count_fillings(letters(p)[0], n, fillings)
+        for k, row in fillings.items():
+            for f, m in row.items():
+                out["fill", k, f] += m
+    return out
+
+
+class Counts:
+    """What is known of clean text, from the counts of ``count_pieces``; ``lost`` keeps words that have lost a blank, for the joiner to learn from."""
+
+    def __init__(self, bad: set[str], counts: dict[tuple[str, str, str], int], lost: bool = False):
+        self.bad, self.known, self.words, self.fillings = bad, {}, Counter(), {}
+        spaced = {key: n for (kind, key, _), n in counts.items() if kind == "open"}
+        joined = {key: n for (kind, key, _), n in counts.items() if kind == "shut"}
+        for (kind, key, f), n in counts.items():
+            if kind == "known":
+                self.known[key] = n
+            elif kind == "fill":
+                self.fillings.setdefault(key, {})[f] = n
+            elif kind == "word":
+                w = " " + key + " "
+                if not lost and any((o := spaced.get(w[i - 2 : i + 2], 0)) and o >= RATIO * joined.get(w[i - 2 : i + 2], 0) for i in range(2, len(w) - 1)):
+                    continue
+                self.words[key] += n
+                for k in range(2, len(key) + 1):
+                    self.words[_PREFIX + key[:k]] += n
+        self.words = dict(self.words)
+
+
+def train(texts: list[str], seed: int = 7, everything: Counts | None = None) -> Model:
+    """Fits the models on sample texts; every example stands once, however often its text occurs. The model knows ``everything``, by default what the sample holds."""
+    rng = random.Random(seed)
+    flat = [t for t in texts if t and "\n" not in t]
+    bad = everything.bad if everything else _damaged(Counter(w for t in flat for w in _WORD.findall(t)))
+    clean = [t for t in flat if not _LETTERS_IN_NUMBERS.search(t) and not any(w in bad for w in _WORD.findall(t))]
+    pieces = Counter(m.group().translate(_DIGIT) for t in clean for m in _PIECE.finditer(t) if len(m.group()) > 1)
+    own = Counts(bad, count_pieces(pieces.items(), bad), lost=True)
+    known, words, fillings = own.known, own.words, own.fillings
     edits: dict[str, tuple] = {}
     for p, n in pieces.items():
         q = "  " + p + "  "
@@ -577,7 +634,7 @@ def train(texts: list[str], seed: int = 7) -> Model:
     for num in range(1, 40):
         lines.append((line_features(f"{num}.", 0, 2, "", False), "text", kinds))
         lines.append((line_features(f"{num}회에 한함)", 1, 2, "(최초", False), "text", kinds))
-    return Model(Perceptron().fit([*edits.values(), *_span_examples(list(pieces), fillings, random.Random(seed))]), Perceptron().fit([*joins.values(), *[(["b", "hTrue"], JOIN, (SPACE, JOIN))] * 100]), Perceptron().fit(lines), dict(known), {w: n for w, n in words.items()}, fillings)
+    return Model(Perceptron().fit([*edits.values(), *_span_examples(list(pieces), fillings, random.Random(seed))]), Perceptron().fit([*joins.values(), *[(["b", "hTrue"], JOIN, (SPACE, JOIN))] * 100]), Perceptron().fit(lines), (everything or own))
 
 
 def sample_texts(df: DataFrame, key: str, columns: list[str], n: int = SAMPLE) -> list[str]:
@@ -614,9 +671,36 @@ def _pass(model: Model, fields: list[tuple[str, str]], with_text: bool):
     return run
 
 
+def piece_counts(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """(piece, n): the masked pieces of all texts without line ends. They repeat so much that few are left."""
+    digits = "".join(chr(k) for k in _DIGIT)
+    texts = F.array(F.col("trigger"), F.col("notes_summary"))
+    read = rows.select(F.explode(texts).alias("text")).unionByName(entries.select(F.col("reduction_note").alias("text"))).where("text <> '' and instr(text, '\\n') = 0")
+    masked = F.translate("text", digits, "".join(chr(k).translate(_DIGIT) for k in _DIGIT))
+    pieces = read.select(F.explode(F.regexp_extract_all(masked, F.lit(r"[^|()\[\]]+"), F.lit(0))).alias("piece")).where("length(piece) > 1")
+    return pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_all(rows: DataFrame, entries: DataFrame) -> Counts:
+    """What is known of clean text, counted over all texts; only the counts of words and contexts come to the driver."""
+    pieces = cut(piece_counts(rows, entries), "pieces")
+    words = pieces.select(F.explode(F.regexp_extract_all("piece", F.lit(_WORD.pattern), F.lit(0))).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
+    bad = _damaged(Counter({r.w: r.n for r in words.collect()}))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: Counter = Counter()
+        for pdf in batches:
+            out.update(count_pieces(zip(pdf["piece"], pdf["n"].tolist()), bad))
+        yield pd.DataFrame([(*k, n) for k, n in out.items()], columns=["kind", "k", "f", "n"])
+
+    counted = pieces.mapInPandas(run, "kind string, k string, f string, n long").groupBy("kind", "k", "f").agg(F.sum("n").alias("n"))
+    return Counts(bad, {(r.kind, r.k, r.f): r.n for r in counted.collect()})
+
+
 def fit_model(rows: DataFrame, entries: DataFrame) -> Model:
-    """Model fitted on bounded samples of both tables."""
-    return train(sample_texts(rows, "row_id", ["trigger", "notes_summary"]) + sample_texts(entries, "entry_id", ["reduction_note"]))
+    """Model fitted on bounded samples of both tables, with the counts of all texts."""
+    sample = sample_texts(rows, "row_id", ["trigger", "notes_summary"]) + sample_texts(entries, "entry_id", ["reduction_note"])
+    return train(sample, everything=count_all(rows, entries))
 
 
 def defects_found(rows: DataFrame, entries: DataFrame, model: Model | None = None) -> DataFrame:

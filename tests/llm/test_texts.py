@@ -142,6 +142,24 @@ def test_formatting_is_no_misreading(model):
         assert S.repair(text, model) == (text, [])
 
 
+def test_counts_go_over_all_texts(spark):
+    rare = "보험기간 중 피보험자가 소뇌위축증(질병코드 G{}) 판정을 받은 경우"
+    texts = [*corpus(600, 5), *[rare.format(n) for n in range(10, 30)], "보험기간 중\n피보험자가", "", None]
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "row_id long, trigger string, notes_summary string")
+    entries = spark.createDataFrame([(1, "소뇌위축증 1회")], "entry_id long, reduction_note string")
+    everything = S.count_all(rows.repartition(3), entries)
+    flat = [t for t in [*texts, "소뇌위축증 1회"] if t and "\n" not in t]
+    assert everything.known["위축증"] == 21 and everything.words["피보험자가"] == sum(t.count("피보험자가") for t in flat) and everything.fillings["소뇌축증"] == {"위": 21}
+    only, both = S.train(corpus(600, 5)), S.train(corpus(600, 5), everything=everything)  # the sample lacks the rare texts
+    assert S.repair(rare.format(16).replace("위축", "위죽"), only)[0] != rare.format(16) and S.repair(rare.format(16), both) == (rare.format(16), [])
+    assert S.repair(rare.format(16).replace("위축증", "위증"), both) == (rare.format(16), ["misread"])
+
+
+def test_lost_blanks_are_no_known_words():
+    counts = S.count_pieces([("진단의 결과로 본 때", 500), ("진단의결과로 본 때", 9)], set())
+    assert "진단의결과로" not in S.Counts(set(), counts).words and "결과로" in S.Counts(set(), counts).words
+
+
 def test_scan_edges(spark, model):
     rows = spark.createDataFrame([(1, "보험기간 중 피보-\n험자가 위암(분류코드 C10) 상태로 인하여 수술을 받았을 때", None), (2, None, ""), (3, "한 줄", "1. 가\n2. 나"), (None, "x", "y"), (4, "가 " * 30_000, "p. 3")], "row_id long, trigger string, notes_summary string")
     entries = spark.createDataFrame([(1, None), (2, "")], "entry_id long, reduction_note string")
