@@ -318,6 +318,11 @@ HEADER_FORMS = ["{c} 상품요약서", "《상품요약서》 {c}", "대외비 {
 _PAGE = re.compile(r"\s*(?:[-–—]\s*\d{1,4}\s*[-–—]|(?:p|pp|page|페이지)\.?\s*\d{1,4}|제?\s*\d{1,4}\s*(?:쪽|면|페이지)|[〔\[(]\s*\d{1,4}\s*[〕\])]|\d{1,4}\s*(?:/|of)\s*\d{1,4}|\d{1,4})\s*", re.I)
 
 
+def _unfinished(before: str) -> bool:
+    """Whether a line ends within a sentence."""
+    return re.search(r"[가-힣A-Za-z0-9,]\s*[-‐]?\s*$", before) is not None
+
+
 def line_features(line: str, at: int, n: int, before: str, blank: bool) -> list[str]:
     """Features of a line (or of a part of a line set off by wide blanks): shape, words and position on the page."""
     t = line.strip().translate(_DIGIT)
@@ -326,7 +331,7 @@ def line_features(line: str, at: int, n: int, before: str, blank: bool) -> list[
     words = re.findall(r"[가-힣]+|[A-Za-z]+|[^\s\w]", t)
     place = "only" if n == 1 else "first" if at == 0 else "last" if at == n - 1 else "inner"
     ends = [w[-2:] for w in words if "가" <= w[0] <= "힣"]
-    return ["b", "s" + shape[:24], "p" + place, "z" + str(blank), "u" + str(bool(re.search(r"[가-힣A-Za-z0-9,]\s*[-‐]?\s*$", before))), "n" + str(min(len(words), 8)), "o" + t[:1], "e" + t[-1:],
+    return ["b", "s" + shape[:24], "p" + place, "z" + str(blank), "u" + str(_unfinished(before)), "n" + str(min(len(words), 8)), "o" + t[:1], "e" + t[-1:],
             *("w" + w for w in words), *("y" + e for e in ends), "first" + (words[0] if words else ""), "last" + (words[-1] if words else "")]
 
 
@@ -405,7 +410,7 @@ class Model:
 
     def line_kind(self, part: str, at: int, n: int, before: str, blank: bool) -> str:
         """text, header or pageno."""
-        key = (part.translate(_DIGIT), at == 0, at == n - 1, n == 1, blank, before[-1:])
+        key = (part.translate(_DIGIT), at == 0, at == n - 1, n == 1, blank, _unfinished(before))
         hit = self.lines.get(key)
         if hit is None:
             if len(self.lines) > 300_000:
@@ -419,7 +424,7 @@ class Model:
     def breaks(self, left: str, right: str, hyphen: bool, indent: bool) -> str:
         m = (left.translate(_DIGIT), right.translate(_DIGIT))
         lw, rw = _TAIL.search(m[0]).group(), _HEAD.match(m[1]).group()
-        key = (lw[-12:] or m[0][-2:], rw[:12] or m[1][:2], hyphen, indent)
+        key = (lw, rw, m[0][-2:], m[1][:2], hyphen, indent)
         hit = self.joins.get(key)
         if hit is None:
             if len(self.joins) > 300_000:

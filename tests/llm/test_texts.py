@@ -160,6 +160,17 @@ def test_lost_blanks_are_no_known_words():
     assert "진단의결과로" not in S.Counts(set(), counts).words and "결과로" in S.Counts(set(), counts).words
 
 
+def test_memo_changes_no_answer(model):
+    fresh = lambda: S.Model(model.editor, model.joiner, model.liner, model)
+    sides = [(a, b) for a in ("보험기간중피보험자가외래로통원하여진료", "갱신계약의보험기간중피보험자가외래로통원하여진료", "가", ") 가", "수술을") for b in ("를", "를 받", "를, 받", "의결과로진단확정되었을때또는", "의결과로진단확정되었을때그리고")]
+    assert len({k for a, b in sides for m in [fresh()] if (m.breaks(a, b, False, False) or 1) for k in m.joins}) == len({tuple(S.join_features(a, b, False, False, model.words)) for a, b in sides})
+    memo = fresh()
+    for before in ("끝-", ". -", "끝 ", ". ", "끝"):
+        memo.line_kind("p. 3", 1, 3, before, False)
+    assert len(memo.lines) == len({tuple(S.line_features("p. 3", 1, 3, b, False)) for b in ("끝-", ". -", "끝 ", ". ", "끝")}) == 2
+    assert all(memo.breaks(a, b, False, False) == fresh().breaks(a, b, False, False) for a, b in sides)
+
+
 def test_scan_edges(spark, model):
     rows = spark.createDataFrame([(1, "보험기간 중 피보-\n험자가 위암(분류코드 C10) 상태로 인하여 수술을 받았을 때", None), (2, None, ""), (3, "한 줄", "1. 가\n2. 나"), (None, "x", "y"), (4, "가 " * 30_000, "p. 3")], "row_id long, trigger string, notes_summary string")
     entries = spark.createDataFrame([(1, None), (2, "")], "entry_id long, reduction_note string")
