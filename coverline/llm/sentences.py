@@ -314,7 +314,7 @@ def _block(t: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
             at = lo
             for k, line in enumerate(lines):
                 m = _MARKER.match(line)
-                if k and m and m.lastgroup != "dot" and (k + 1 == len(lines) or (x := _MARKER.match(lines[k + 1])) and x.lastgroup == m.lastgroup):
+                if k and m and m.lastgroup == "dot" and _numbered(lines[k:]) or k and m and m.lastgroup != "dot" and (k + 1 == len(lines) or (x := _MARKER.match(lines[k + 1])) and x.lastgroup == m.lastgroup):
                     yield from _paragraph(t, lo, at - 1)
                     yield from _block(t, at, hi)
                     return
@@ -324,18 +324,50 @@ def _block(t: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
             return
         yield from _paragraph(t, lo, hi)
         return
-    kind, start, at = first.lastgroup, lo, lo
+    start, at, levels = lo, lo, [(first.lastgroup, _indent(t, lo))]
     while at < hi:
         e = t.find("\n", at, hi)
         nxt = hi if e < 0 else e + 1
         m = _MARKER.match(t, at, hi)
-        if at > lo and m is not None and m.lastgroup == kind:
+        if at > lo and m is not None and _level(levels, m.lastgroup, _indent(t, at), m.group().strip()):
             yield from _trimmed(t, start, at)
             start = at
         at = nxt
     yield from _trimmed(t, start, hi)
 
 
+def _indent(t: str, at: int) -> int:
+    n = at
+    while n < len(t) and t[n].isspace() and t[n] != "\n":
+        n += 1
+    return n - at
+
+
+#: Markers a list begins with.
+_FIRST = re.compile(r"\(?(?:1|가|[Aa])[.)]+|[①❶㉠ⓐ⑴]")
+
+
+def _level(levels: list[tuple[str, int]], kind: str, indent: int, marker: str) -> bool:
+    """Whether a marker begins an item: one of an open level (the levels below it are popped), or the first of a deeper or new level, which is pushed."""
+    for k in range(len(levels) - 1, -1, -1):
+        if levels[k][0] == kind and (levels[k][1] <= indent or k == 0):
+            if levels[k][1] < indent and k == len(levels) - 1 and (kind == "bullet" or _FIRST.fullmatch(marker)):
+                levels.append((kind, indent))
+            else:
+                del levels[k + 1 :]
+            return True
+    if kind == "bullet" or indent > levels[-1][1] or _FIRST.fullmatch(marker):
+        levels.append((kind, indent))
+        return True
+    return False
+
+
+def _numbered(lines: list[str]) -> bool:
+    """Whether lines begin with item 1 and go on to item 2; a lone number at a line end may be part of a date."""
+    numbers = [int(m["dot"][:-1]) for m in map(_MARKER.match, lines) if m and m.lastgroup == "dot"]
+    return numbers[:2] == [1, 2]
+
+
 def _trimmed(t: str, a: int, b: int) -> Iterator[tuple[int, int]]:
     while a < b and t[a].isspace():
         a += 1

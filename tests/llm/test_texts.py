@@ -233,6 +233,20 @@ def test_units_cover_all_text(text):
     assert all(i in inside or c.isspace() for i, c in enumerate(text))
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("1. 서류\n  - 진단서\n  - 영수증. 사본\n2. 접수", ["1. 서류", "- 진단서", "- 영수증. 사본", "2. 접수"]),
+        ("1. 서류\n가. 진단서\n   계속\n나. 영수증\n2. 접수\n가. 창구", ["1. 서류", "가. 진단서\n   계속", "나. 영수증", "2. 접수", "가. 창구"]),
+        ("- 가\n  - 나\n    ① 다\n  - 라\n- 마", ["- 가", "- 나", "① 다", "- 라", "- 마"]),
+        ("다음 서류를 냅니다\n1. 진단서\n2. 영수증", ["다음 서류를 냅니다", "1. 진단서", "2. 영수증"]),
+        ("1. 약관\n(3) 항을 따름\n2. 끝", ["1. 약관\n(3) 항을 따름", "2. 끝"]),
+    ],
+)
+def test_list_levels(text, want):
+    assert [text[a:b] for a, b in units(text)] == want
+
+
 def test_sentence_table(spark):
     docs = spark.createDataFrame([(1, "가. 나다 라.", 5), (2, None, 5), (3, "", 5), (4, " \n ", 5), (5, "끝났습니다. " * 5_000, 5), (5, "끝", 5), (None, "x", 5)], "doc_id long, text string, start_char int")
     got = sentence_units(docs)
