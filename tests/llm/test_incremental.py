@@ -56,3 +56,23 @@ def test_history_is_persisted(spark):
     assert {tuple(r) for r in again.accept(batch((4, 7, 0), (5, 7, -1), (6, 9, 5), (7, 7, -1))).collect()} == {(4, 1), (5, 5), (6, 6), (7, 5)}
     last = I.History(spark, h.path, tuple(again.kinds))
     assert {tuple(r) for r in last.accept(batch((8, 7, -1), (9, 9, 5))).collect()} == {(8, 5), (9, 6)}
+
+
+def test_equal_to_brute_force_over_tables(spark, small):
+    t = lambda n: spark.read.parquet(f"{small}/{n}.parquet")
+    tables = [t(n) for n in ("summary_rows", "artifacts", "synonyms", "benefit_catalog")]
+    agree = lambda a, b: sum((a >> 4 * k & 15) == (b >> 4 * k & 15) for k in range(I.BINS))
+    records, members = {}, {}
+    for r in sorted(I.row_features(*tables).collect(), key=lambda r: (r.batch_no, r.row_id)):
+        sig = r.sig & (1 << 64) - 1
+        known = records.setdefault(r.block, [])
+        record = next((i for i, s in known if agree(s, sig) >= I.SIMILAR), None)
+        if record is None:
+            known.append((record := r.row_id, sig))
+        members.setdefault(record, []).append((r.row_id, r.batch_no))
+    want = set()
+    for rows_of in members.values():
+        a = min(rows_of)
+        want |= {(a[0], i) for i, b in rows_of if b > a[1]}
+    got = {(r.id_a, r.id_b) for r in I.repeats_found(*tables).where("kind = 'row'").collect()}
+    assert got == want and len(want) > 10
