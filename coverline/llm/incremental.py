@@ -1,13 +1,15 @@
 """New batches against all accepted history, without going through the history again.
 
-The history is a table of keys with minwise signatures, written into directories by the hash of the key. The first
-record of an exact part (product, contract, meaning of the benefit, worth of the amount, condition, all numbers of the
-trigger) is kept under the key of that part; every further record of the same part, whose trigger reads differently,
-is kept under its minwise band keys. A new batch probes the first kind of key, then, only for what hit a key but
-failed the verification by signature, the band keys; what is found nowhere is grouped within the batch the same way,
-and the keys of new records are appended. A row meets one record under its part and, in crowded parts, those that share
-a band with it, so no group is ever compared all with all. The work for a batch is its own rows plus a read of the
-keys, never a pass over past rows or texts.
+The history is two tables of keys, in directories by bucket of the hash of the key. ``parts`` holds the first record of every
+exact part (product, contract, meaning of the benefit, worth of the amount, condition, all numbers of the trigger) as a
+128-bit hash with a 64-bit check and the minwise signature of its trigger. ``bands`` holds, for every other signature
+accepted under a part, its minwise band keys with the signature and the record it belongs to, one signature for each key
+and record. A batch is brought to its distinct (part, signature) variants; these probe the parts in their own buckets and are
+verified by signature. What hits a part without being similar to its record probes the band keys, of the history and of
+the batch itself, and is linked to the least record it is similar to; links within a batch are followed to their roots until
+nothing changes, so every link ends at a record. Then the keys of what is new are appended. The read of a batch is
+pruned to the buckets its keys fall into, and no past row or text is read. A variant meets one signature of each record that
+shares a band with it, so no group is ever compared all with all; copies of one signature are one variant.
 
 TESTDATA.md defines a record by equal numbers and cause "apart from ... small changes of wording", which five-word
 shingles at 0.8 can't follow in texts of a dozen words; signatures are therefore taken over pairs of syllables, and
@@ -34,9 +36,9 @@ from coverline.llm.mapping import benefit_targets
 from coverline.operators.units import unit_hint, won
 from coverline.session import bounded, cut, scratch_path
 
+#: Values of a signature, of eight bits each; every value is a band of its own.
 BINS = 16
-BANDS = 8
-#: Agreeing values of BINS that verify; two unrelated signatures agree in one, those of a reworded trigger in eight or more.
+#: Agreeing values of BINS that verify; two unrelated signatures agree in none or one, those of a reworded trigger in eight or more.
 SIMILAR = 4
 
 # Lines that scanning adds to a text.
@@ -62,7 +64,7 @@ def trigger_parts(text: str | None) -> tuple[str, str]:
 
 
 def signatures(texts: list[str]) -> np.ndarray:
-    """One-permutation minwise signatures over syllable pairs: BINS values of four bits in one long, empty bins filled from the next full one."""
+    """One-permutation minwise signatures over syllable pairs: BINS values of eight bits in two longs, empty bins filled from the next full one."""
     n = len(texts)
     sig = np.full((n, BINS), 0xFFFFFFFF, dtype=np.uint32)
     joined = "\u0000".join(texts) + "\u0000"
@@ -81,8 +83,7 @@ def signatures(texts: list[str]) -> np.ndarray:
         if not empty.any():
             break
         sig = np.where(empty, np.roll(sig, -1, axis=1), sig)
-    nibbles = (sig >> np.uint32(20)).astype(np.uint64) & np.uint64(15)
-    return (nibbles << (np.arange(BINS, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+    return (sig >> np.uint32(12)).astype(np.uint8).view(np.int64)
 
 
 def _trigger_features(text: pd.Series) -> pd.DataFrame:
@@ -91,10 +92,10 @@ def _trigger_features(text: pd.Series) -> pd.DataFrame:
     parts = [trigger_parts(x) for x in distinct]
     sig = signatures([p[1] for p in parts])
     numbers = np.array([p[0] for p in parts] or [""], dtype=object)
-    return pd.DataFrame({"numbers": numbers[codes], "sig": sig[codes]})
+    return pd.DataFrame({"numbers": numbers[codes], "sa": sig[codes, 0], "sb": sig[codes, 1]})
 
 
-trigger_features = F.pandas_udf(_trigger_features, T.StructType([T.StructField("numbers", T.StringType()), T.StructField("sig", T.LongType())])).asNondeterministic()
+trigger_features = F.pandas_udf(_trigger_features, T.StructType([T.StructField("numbers", T.StringType()), T.StructField("sa", T.LongType()), T.StructField("sb", T.LongType())])).asNondeterministic()
 
 
 def plain(text: Column) -> Column:
@@ -103,93 +104,131 @@ def plain(text: Column) -> Column:
 
 
 def row_features(rows: DataFrame, artifacts: DataFrame, synonyms: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(row_id, batch_no, block, sig, variant): the exact part of the record as a 128-bit hash, and its trigger's signature."""
+    """(row_id, batch_no, part, check, sa, sb): the exact part of the record as a 128-bit hash with a 64-bit check, and its trigger's signature."""
     hint = unit_hint(F.col("notes_summary"), F.col("amount"))
     read = rows.where("row_id is not null").select(
         "row_id", "artifact_id", "benefit_name", plain(F.concat_ws("\u0001", *[F.coalesce(c, F.lit("")) for c in ("product_name", "contract_name", "amount_condition")])).alias("exact"),
         plain(F.col("amount")).alias("amount"), won("amount", hint).alias("won"), trigger_features("trigger").alias("t"),
     )
     worth = F.coalesce(F.col("won").cast("string"), F.col("amount"))
+    whole = F.concat_ws("\u0001", "exact", worth, "t.numbers")
     # only hashes go through the joins
-    narrow = read.select("row_id", "artifact_id", "benefit_name", F.xxhash64(F.concat_ws("\u0001", "exact", worth, "t.numbers")).alias("part"), F.col("t.sig").alias("sig"))
+    narrow = read.select("row_id", "artifact_id", "benefit_name", F.unhex(F.md5(whole)).alias("part"), F.xxhash64(whole).alias("check"), "t.sa", "t.sb")
     batches = artifacts.where("batch_no is not null and artifact_id is not null").select("artifact_id", "batch_no")
     targets = benefit_targets(rows, synonyms, catalog).where("target_id >= 0").withColumnRenamed("name", "benefit_name")
     meant = narrow.join(bounded(batches), "artifact_id").join(targets, "benefit_name", "left")
     benefit = F.coalesce(F.col("target_id").cast("string"), plain(F.col("benefit_name")))
-    return meant.select("row_id", "batch_no", F.xxhash64("part", benefit).alias("block"), "sig")
+    return meant.select("row_id", "batch_no", F.unhex(F.md5(F.concat("part", F.encode(benefit, "UTF-8")))).alias("part"), F.xxhash64("check", benefit).alias("check"), "sa", "sb")
 
 
-def agreement(a: str, b: str) -> Column:
+def agreement(a: tuple[str, str] = ("sa", "sb"), b: tuple[str, str] = ("ra", "rb")) -> Column:
     """Number of agreeing minwise values of two signatures."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    differs = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseAND(F.lit(0x1111111111111111))
-    return F.lit(BINS) - F.bit_count(differs)
 
+    def differing(x: Column) -> Column:
+        for n in (4, 2, 1):  # the eight bits of a value brought together in its lowest
+            x = x.bitwiseOR(F.shiftrightunsigned(x, n))
+        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
-def with_bands(rows: DataFrame) -> DataFrame:
-    """One row per row and band: the exact part with the values of two neighbouring bins."""
-    keys = F.array(*[F.xxhash64("block", F.lit(i), F.shiftrightunsigned("sig", 8 * i).bitwiseAND(F.lit(0xFF))) for i in range(BANDS)])
-    return rows.withColumn("key", F.explode(keys))
+    return F.lit(BINS) - differing(F.col(a[0]).bitwiseXOR(F.col(b[0]))) - differing(F.col(a[1]).bitwiseXOR(F.col(b[1])))
 
 
-class History:
-    """Persisted keys of everything accepted so far, below a folder all executors share.
+def with_bands(variants: DataFrame) -> DataFrame:
+    """One row per variant and band: the exact part with one value of the signature."""
+    keys = F.array(*[F.xxhash64("part", F.lit(8 * j + i), F.shiftrightunsigned(s, 8 * i).bitwiseAND(F.lit(0xFF))) for j, s in enumerate(("sa", "sb")) for i in range(8)])
+    return variants.withColumn("key", F.explode(keys))
 
-    Two tables of (key, record_id, record_sig), each in directories by hash of the key: ``first`` by exact part, ``more``
-    by minwise band.
-    """
 
-    SCHEMA = "key long, record_id long, record_sig long, bucket int"
+VARIANT = ["part", "check", "sa", "sb"]
 
-    def __init__(self, spark, path: str | None = None, kinds: tuple[str, ...] = (), buckets: int | None = None):
-        """``buckets`` must stay the same for as long as a history is kept (give more for histories of billions of records)."""
-        self.spark, self.path, self.kinds = spark, path or scratch_path(spark, "history"), set(kinds)
-        self.buckets = buckets or min(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def keys(self, kind: str) -> DataFrame:
-        if kind not in self.kinds:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/{kind}")
+class History:
+    """Persisted keys of everything accepted so far, below a folder all executors share."""
+
+    SCHEMA = {
+        "parts": "part binary, check long, record long, ra long, rb long, run int, bucket int",
+        "bands": "key long, check long, record long, ra long, rb long, run int, bucket int",
+    }
+
+    def __init__(self, spark, path: str | None = None, runs: int = 0, kinds: tuple[str, ...] = (), buckets: int | None = None):
+        """``buckets`` must stay the same for as long as a history is kept; by default one for every shuffle partition of the session. ``runs`` and ``kinds`` say what is there already."""
+        self.spark, self.path, self.kinds, self.runs = spark, path or scratch_path(spark, "history"), set(kinds), runs
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def bucket(self) -> Column:
+        """Bucket of a key: by its check, which part and band keys share."""
+        return F.pmod(F.col("check"), F.lit(self.buckets)).cast("int")
+
+    def keys(self, kind: str, hit: list[int], run: int | None = None) -> DataFrame:
+        """The keys in the buckets that are hit; other directories are not read."""
+        if kind not in self.kinds or not hit:
+            return self.spark.createDataFrame([], self.SCHEMA[kind])
+        found = self.spark.read.schema(self.SCHEMA[kind]).parquet(f"{self.path}/{kind}")
+        if len(hit) < self.buckets:
+            found = found.where(F.col("bucket").isin(hit))
+        return found if run is None else found.where(F.col("run") == run)
 
     def append(self, kind: str, keys: DataFrame) -> None:
-        bucket = F.pmod(F.col("key"), F.lit(self.buckets)).cast("int")
-        keys.select("key", "record_id", "record_sig").withColumn("bucket", bucket).repartition(self.buckets, "bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{kind}")
+        keys.withColumns({"run": F.lit(self.runs), "bucket": self.bucket()}).repartition("bucket").write.mode("append").partitionBy("run", "bucket").parquet(f"{self.path}/{kind}")
         self.kinds.add(kind)
 
-    def probe(self, kind: str, rows: DataFrame) -> DataFrame:
-        """Rows (with ``key``) against the keys of their own bucket: record_id and record_sig, null where the key is new."""
-        keyed = rows.withColumn("bucket", F.pmod(F.col("key"), F.lit(self.buckets)).cast("int"))
-        return keyed.join(self.keys(kind), ["bucket", "key"], "left").drop("bucket")
-
-    def accept(self, batch: DataFrame) -> DataFrame:
-        """(row_id, record) of a batch of (row_id, block, sig): probe, verify, append the keys of new records."""
-        probed = self.probe("first", batch.withColumn("key", F.col("block"))) if "first" in self.kinds else batch.withColumns({"key": F.col("block"), "record_id": F.lit(None).cast("long"), "record_sig": F.lit(None).cast("long")})
-        probed = cut(probed.withColumn("hit", F.when(F.col("record_id").isNull(), "new").when(agreement("sig", "record_sig") >= SIMILAR, "same").otherwise("other")), "probed")
-        fresh = probed.where("hit = 'new'").select("row_id", "block", "sig")
-        leaders = cut(fresh.groupBy("block").agg(F.min_by(F.struct(F.col("row_id").alias("record_id"), F.col("sig").alias("record_sig")), "row_id").alias("f"), F.count(F.lit(1)).alias("n")).select(F.col("block").alias("key"), "f.record_id", "f.record_sig", "n"), "leaders")
-        self.append("first", leaders)
-        led = fresh.join(leaders.where("n > 1"), F.col("block") == F.col("key"), "left")
-        led = led.select("row_id", "block", "sig", F.when(F.col("n").isNull(), F.col("row_id")).when(agreement("sig", "record_sig") >= SIMILAR, F.col("record_id")).alias("record"))
-        led = cut(led, "led")
-        done = [probed.where("hit = 'same'").select("row_id", F.col("record_id").alias("record")), led.where("record is not null").select("row_id", "record")]
-        crowded = probed.where("hit = 'other'").select("row_id", "block", "sig").unionByName(led.where("record is null").select("row_id", "block", "sig"))
-        if crowded.limit(1).count():
-            done.append(self._crowded(crowded))
-        return reduce(DataFrame.unionByName, done)
-
-    def _crowded(self, rows: DataFrame) -> DataFrame:
-        """The same for rows whose exact part already holds another record: by minwise bands."""
-        variants = rows.groupBy("block", "sig").agg(F.min("row_id").alias("rid"))
-        banded = cut(self.probe("more", with_bands(variants)).withColumn("ok", F.coalesce(agreement("sig", "record_sig") >= SIMILAR, F.lit(False))), "banded")
-        known = banded.where("ok").groupBy("block", "sig").agg(F.min("record_id").alias("record"))
-        fresh = banded.join(known, ["block", "sig"], "left_anti").select("block", "sig", "rid", "key").distinct()
-        firsts = fresh.groupBy("key").agg(F.min(F.struct("rid", "sig")).alias("f"))
-        near = fresh.join(firsts, "key").select("block", "sig", "rid", F.col("f.rid").alias("lead"), F.col("f.sig").alias("lead_sig")).where(agreement("sig", "lead_sig") >= SIMILAR)
-        lead = cut(near.groupBy("block", "sig", "rid").agg(F.min("lead").alias("lead")), "lead")
-        root = lead.join(lead.select(F.col("rid").alias("lead"), F.col("lead").alias("root")), "lead", "left").select("block", "sig", "rid", F.coalesce("root", "lead").alias("record"))
-        self.append("more", with_bands(lead.where("lead = rid").select("block", "sig", "rid")).select("key", F.col("rid").alias("record_id"), F.col("sig").alias("record_sig")))
-        found = known.unionByName(root.select("block", "sig", "record"))
-        return rows.join(found, ["block", "sig"]).select("row_id", "record")
+    def accept(self, batch: DataFrame, hit: list[int] | None = None) -> DataFrame:
+        """(part, check, sa, sb, rid, record) of the variants (part, check, sa, sb, rid) of a batch: probe, verify, append the keys of what is new."""
+        if hit is None:
+            hit = [r[0] for r in batch.select(self.bucket()).distinct().collect()]
+        parts = self.keys("parts", hit).select("part", "check", "record", "ra", "rb")
+        probed = cut(batch.select(*VARIANT, "rid").join(parts, ["part", "check"], "left"), "probed")
+        leaders = probed.where("record is null").groupBy("part", "check").agg(F.min(F.struct("rid", "sa", "sb")).alias("f"))
+        self.append("parts", leaders.select("part", "check", F.col("f.rid").alias("record"), F.col("f.sa").alias("ra"), F.col("f.sb").alias("rb")))
+        led = probed.where("record is null").drop("record", "ra", "rb").join(self.keys("parts", hit, self.runs).select("part", "check", "record", "ra", "rb"), ["part", "check"])
+        met = probed.where("record is not null").unionByName(led)
+        exact = (F.col("sa") == F.col("ra")) & (F.col("sb") == F.col("rb"))
+        met = cut(met.select(*VARIANT, "rid", "record", exact.alias("first"), (agreement() >= SIMILAR).alias("same")), "met")
+        further = met.where("same and not first").select(*VARIANT, "rid", "record")
+        others = met.where("not same").select(*VARIANT, "rid")
+        flags = met.agg(F.coalesce(F.bool_or(~F.col("first")), F.lit(False)), F.coalesce(F.bool_or(~F.col("same")), F.lit(False))).first()
+        if flags[1]:
+            further = further.unionByName(self._linked(others, further, hit))
+        if flags[0]:
+            known = self.keys("bands", hit).select("key", "check", "record").distinct() if "bands" in self.kinds else None
+            each = with_bands(further).groupBy("key", "check", "record").agg(F.min(F.struct("rid", "sa", "sb")).alias("f"))
+            new = each if known is None else each.join(known, ["key", "check", "record"], "left_anti")
+            self.append("bands", new.select("key", "check", "record", F.col("f.sa").alias("ra"), F.col("f.sb").alias("rb")))
+        self.runs += 1
+        return met.where("first").select(*VARIANT, "rid", "record").unionByName(further)
+
+    def _linked(self, others: DataFrame, further: DataFrame, hit: list[int]) -> DataFrame:
+        """Variants unlike the record of their part with the record they belong to, by band keys."""
+        slim = lambda banded: banded.groupBy("key", "check", "record").agg(F.min(F.struct("sa", "sb")).alias("f")).select("key", "check", "record", F.col("f.sa").alias("ra"), F.col("f.sb").alias("rb"))
+        anchors = self.keys("bands", hit).select("key", "check", "record", "ra", "rb").unionByName(slim(with_bands(further)))
+        pending, done = cut(with_bands(others), "pending"), []
+        while True:
+            known = pending.join(anchors, ["key", "check"]).where(agreement() >= SIMILAR).groupBy("rid").agg(F.min("record").alias("known"))
+            leads = pending.groupBy("key", "check").agg(F.min(F.struct("rid", "sa", "sb")).alias("f")).select("key", "check", F.col("f.rid").alias("lead"), F.col("f.sa").alias("ra"), F.col("f.sb").alias("rb"))
+            near = pending.join(leads, ["key", "check"]).select(*VARIANT, "rid", "lead", (agreement() >= SIMILAR).alias("ok"))
+            links = near.groupBy(*VARIANT, "rid").agg(F.coalesce(F.min(F.when(F.col("ok"), F.col("lead"))), F.col("rid")).alias("lead"), F.bool_and("ok").alias("all"))
+            root = F.when((F.col("lead") == F.col("rid")) & F.col("all"), F.col("rid"))
+            links = links.join(known, "rid", "left").select(*VARIANT, "rid", "lead", F.coalesce("known", root).alias("record"))
+            links = self._rooted(cut(links, "links"))
+            decided = links.where("record is not null").select(*VARIANT, "rid", "record")
+            done.append(decided)
+            open_ = links.where("record is null").select("rid")
+            if not open_.limit(1).count():
+                return reduce(DataFrame.unionByName, done)
+            # what hid behind a leader it is unlike meets the others' records, then the next leaders
+            anchors = anchors.unionByName(slim(with_bands(decided)))
+            pending = cut(pending.join(open_, "rid", "left_semi"), "pending")
+
+    @staticmethod
+    def _rooted(links: DataFrame) -> DataFrame:
+        """Links followed until nothing changes: (…, rid, lead, record) with the record at the end of the chain, null if it is still open."""
+        while links.where("record is null and lead <> rid").limit(1).count():
+            up = links.select(F.col("rid").alias("lead"), F.col("record").alias("up_record"), F.col("lead").alias("up_lead"))
+            moved = F.col("record").isNull() & (F.col("up_record").isNotNull() | (F.col("up_lead") != F.col("lead")))
+            links = cut(links.join(up, "lead").select(*VARIANT, "rid", F.col("up_lead").alias("lead"), F.coalesce("record", "up_record").alias("record"), moved.alias("moved")), "links")
+            if not links.where("moved").limit(1).count():
+                break
+            links = links.drop("moved")
+        return links.select(*VARIANT, "rid", "lead", "record")
 
 
 def artifacts_found(artifacts: DataFrame) -> DataFrame:
@@ -201,24 +240,28 @@ def artifacts_found(artifacts: DataFrame) -> DataFrame:
     return pairs.select(F.least("f.artifact_id", "artifact_id").alias("id_a"), F.greatest("f.artifact_id", "artifact_id").alias("id_b"))
 
 
-def row_records(rows: DataFrame, artifacts: DataFrame, synonyms: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(row_id, batch_no, record): batch after batch is accepted into the history in order."""
+def row_records(rows: DataFrame, artifacts: DataFrame, synonyms: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row_id, batch_no, part, check, sa, sb) of all rows, and (batch_no, part, check, sa, sb, rid, record) of their variants: batch after batch is accepted into the history in order."""
     spark = rows.sparkSession
-    path = scratch_path(spark, "features")
-    row_features(rows, artifacts, synonyms, catalog).repartition("batch_no", F.pmod("row_id", F.lit(16))).write.partitionBy("batch_no").parquet(path)
-    features = spark.read.schema("row_id long, block long, sig long, batch_no long").parquet(path)
-    batches = sorted(r[0] for r in features.select("batch_no").distinct().collect())
-    history, out = History(spark), scratch_path(spark, "assigned")
-    if not batches:
-        return features.select("row_id", "batch_no", F.col("row_id").alias("record"))
-    for b in batches:
-        history.accept(features.where(F.col("batch_no") == b).drop("batch_no")).withColumn("batch_no", F.lit(b)).write.mode("append").parquet(out)
-    return spark.read.schema("row_id long, record long, batch_no long").parquet(out)
+    features = cut(row_features(rows, artifacts, synonyms, catalog), "features")
+    history, path, out = History(spark), scratch_path(spark, "variants"), scratch_path(spark, "assigned")
+    variants = features.groupBy("batch_no", *VARIANT).agg(F.min("row_id").alias("rid")).withColumn("bucket", history.bucket())
+    variants.repartition("batch_no", "bucket").write.partitionBy("batch_no").parquet(path)
+    schema = "part binary, check long, sa long, sb long, rid long, "
+    stored = spark.read.schema(schema + "bucket int, batch_no long").parquet(path)
+    batches: dict[int, list[int]] = {}
+    for b, k in stored.select("batch_no", "bucket").distinct().collect():  # a number for every batch and bucket
+        batches.setdefault(b, []).append(k)
+    for b in sorted(batches):
+        history.accept(stored.where(F.col("batch_no") == b), batches[b]).withColumn("batch_no", F.lit(b).cast("long")).write.mode("append").parquet(out)
+    assigned = spark.read.schema(schema + "record long, batch_no long").parquet(out) if batches else spark.createDataFrame([], schema + "record long, batch_no long")
+    return features, assigned
 
 
 def repeats_found(rows: DataFrame, artifacts: DataFrame, synonyms: DataFrame, catalog: DataFrame) -> DataFrame:
     """(kind, id_a, id_b): artifacts and rows of later batches that repeat something accepted before."""
-    records = row_records(rows, artifacts, synonyms, catalog)
-    lowest = records.groupBy("record").agg(F.min(F.struct("row_id", "batch_no")).alias("a"), F.max("batch_no").alias("last")).where("last > a.batch_no")
-    by_row = records.join(lowest, "record").where("batch_no > a.batch_no").select(F.lit("row").alias("kind"), F.col("a.row_id").alias("id_a"), F.col("row_id").alias("id_b"))
+    features, assigned = row_records(rows, artifacts, synonyms, catalog)
+    lowest = assigned.groupBy("record").agg(F.min(F.struct("rid", "batch_no")).alias("a"), F.max("batch_no").alias("last")).where("last > a.batch_no")
+    late = assigned.join(lowest, "record").where("batch_no > a.batch_no").select("batch_no", *VARIANT, F.col("a.rid").alias("id_a"))
+    by_row = features.join(late, ["batch_no", *VARIANT]).select(F.lit("row").alias("kind"), "id_a", F.col("row_id").alias("id_b"))
     return artifacts_found(artifacts).select(F.lit("artifact").alias("kind"), "id_a", "id_b").unionByName(by_row)

@@ -42,33 +42,89 @@ def test_empty_and_single_batch(spark, tables):
 def test_agreement_follows_similarity(spark):
     texts = ["가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허", "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼호", "완전히다른글자들로이루어진문장입니다그렇습니다", "", ""]
     sig = I.signatures(texts)
-    df = spark.createDataFrame([(int(sig[i]), int(sig[j])) for i, j in ((0, 1), (0, 2), (3, 4))], "a long, b long")
-    got = [r[0] for r in df.select(I.agreement("a", "b")).collect()]
+    df = spark.createDataFrame([(*map(int, sig[i]), *map(int, sig[j])) for i, j in ((0, 1), (0, 2), (3, 4))], "sa long, sb long, ra long, rb long")
+    got = [r[0] for r in df.select(I.agreement()).collect()]
     assert got[0] >= 12 and got[1] < I.SIMILAR and got[2] == I.BINS
-    assert I.signatures([]).shape == (0,) and sig.dtype == np.int64
+    assert got == [agree(sig[i], sig[j]) for i, j in ((0, 1), (0, 2), (3, 4))]
+    assert I.signatures([]).shape == (0, 2) and sig.dtype == np.int64
+
+
+def agree(a, b) -> int:
+    return int((np.array(a, dtype=np.int64).view(np.uint8) == np.array(b, dtype=np.int64).view(np.uint8)).sum())
+
+
+def signed(values) -> tuple[int, int]:
+    return tuple(int(x) for x in np.array(values, dtype=np.uint8).view(np.int64))
+
+
+def batch(spark, *variants):
+    """Variants (rid, part, 16 values)."""
+    return spark.createDataFrame([(bytes([p]) * 16, p, *signed(v), i) for i, p, v in variants], "part binary, check long, sa long, sb long, rid long")
+
+
+def accepted(h, df) -> dict:
+    return {r.rid: r.record for r in h.accept(df).collect()}
+
+
+#: Values of which neighbours agree in eight, others in none.
+CHAIN = {k: [20 * k + i for i in range(8)] + [20 * (k + 1) + i for i in range(8)] for k in range(2, 6)}
+CHAIN = {k: v if k % 2 == 0 else v[8:] + v[:8] for k, v in CHAIN.items()}
+FIRST = [200 + i for i in range(16)]
 
 
 def test_history_is_persisted(spark):
-    batch = lambda *r: spark.createDataFrame(list(r), "row_id long, block long, sig long")
     h = I.History(spark)
-    assert {tuple(r) for r in h.accept(batch((1, 7, 0), (2, 7, 0), (3, 8, 0))).collect()} == {(1, 1), (2, 1), (3, 3)}
-    again = I.History(spark, h.path, tuple(h.kinds))
-    assert {tuple(r) for r in again.accept(batch((4, 7, 0), (5, 7, -1), (6, 9, 5), (7, 7, -1))).collect()} == {(4, 1), (5, 5), (6, 6), (7, 5)}
-    last = I.History(spark, h.path, tuple(again.kinds))
-    assert {tuple(r) for r in last.accept(batch((8, 7, -1), (9, 9, 5))).collect()} == {(8, 5), (9, 6)}
+    assert accepted(h, batch(spark, (1, 7, FIRST), (3, 8, FIRST))) == {1: 1, 3: 3}
+    again = I.History(spark, h.path, h.runs, tuple(h.kinds))
+    assert accepted(again, batch(spark, (4, 7, FIRST), (5, 7, CHAIN[2]), (6, 9, FIRST), (7, 7, CHAIN[2][:12] + [1, 2, 3, 4]))) == {4: 1, 5: 5, 6: 6, 7: 5}
+    last = I.History(spark, h.path, again.runs, tuple(again.kinds))
+    assert accepted(last, batch(spark, (8, 7, CHAIN[2]), (9, 9, FIRST))) == {8: 5, 9: 6}
+
+
+def test_chains_are_followed_to_their_record(spark):
+    """Variants of which only neighbours agree, below a first record unlike all of them: in one batch and in a batch each."""
+    assert agree(signed(CHAIN[2]), signed(CHAIN[3])) == 8 and agree(signed(CHAIN[2]), signed(CHAIN[4])) == 0 and agree(signed(FIRST), signed(CHAIN[2])) == 0
+    want = {1: 1, 2: 2, 3: 2, 4: 2, 5: 2}
+    assert accepted(I.History(spark), batch(spark, (1, 7, FIRST), *[(k, 7, CHAIN[k]) for k in (2, 3, 4, 5)])) == want
+    h, got = I.History(spark), {}
+    for df in [batch(spark, (1, 7, FIRST)), *[batch(spark, (k, 7, CHAIN[k])) for k in (2, 3, 4, 5)]]:
+        got |= accepted(h, df)
+    assert got == want
+
+
+def test_variants_behind_an_unlike_leader(spark):
+    """All share one value with the least, which is unlike them; two of them are alike."""
+    one = lambda *xs: [9, *xs]
+    a, b, c = one(*range(30, 45)), one(*range(60, 75)), one(*range(60, 74), 99)
+    assert accepted(I.History(spark), batch(spark, (1, 7, FIRST), (2, 7, a), (3, 7, b), (4, 7, c))) == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
+def test_equal_hash_with_other_check_is_another_part(spark):
+    df = spark.createDataFrame([(b"x" * 16, 1, *signed(FIRST), 1), (b"x" * 16, 2, *signed(FIRST), 2)], "part binary, check long, sa long, sb long, rid long")
+    assert accepted(I.History(spark), df) == {1: 1, 2: 2}
+
+
+def test_only_buckets_that_are_hit_are_read(spark):
+    h = I.History(spark, buckets=16)
+    big = spark.range(2_000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("part"), F.xxhash64("id").alias("check"), F.lit(1).cast("long").alias("sa"), F.lit(2).cast("long").alias("sb"), F.col("id").alias("rid"))
+    h.accept(big)
+    probe = big.where("rid = 5").withColumn("rid", F.lit(9_000).cast("long"))
+    hit = [r[0] for r in probe.select(h.bucket()).collect()]
+    read = h.keys("parts", hit)
+    files = lambda df: df.select(F.input_file_name()).distinct().count()
+    assert read.count() < 250 and files(read) == 1 < files(h.keys("parts", list(range(16))))
+    assert accepted(h, probe) == {9_000: 5}
 
 
 def test_equal_to_brute_force_over_tables(spark, small):
     t = lambda n: spark.read.parquet(f"{small}/{n}.parquet")
     tables = [t(n) for n in ("summary_rows", "artifacts", "synonyms", "benefit_catalog")]
-    agree = lambda a, b: sum((a >> 4 * k & 15) == (b >> 4 * k & 15) for k in range(I.BINS))
-    records, members = {}, {}
+    known, members = {}, {}
     for r in sorted(I.row_features(*tables).collect(), key=lambda r: (r.batch_no, r.row_id)):
-        sig = r.sig & (1 << 64) - 1
-        known = records.setdefault(r.block, [])
-        record = next((i for i, s in known if agree(s, sig) >= I.SIMILAR), None)
-        if record is None:
-            known.append((record := r.row_id, sig))
+        sig = (r.sa, r.sb)
+        seen = known.setdefault((bytes(r.part), r.check), [])
+        record = next((i for i, s in seen if agree(s, sig) >= I.SIMILAR), r.row_id)
+        seen.append((record, sig))
         members.setdefault(record, []).append((r.row_id, r.batch_no))
     want = set()
     for rows_of in members.values():
