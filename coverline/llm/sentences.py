@@ -17,6 +17,8 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -34,7 +36,11 @@ OPENERS = set("The A An This That These Those It He She We You They I If When Wh
 AFTER_QUOTE = re.compile(r"(?:이?라고|이?라는|이?라며|이?라면서|이?란|라|하고|하며|하면서|하는|하였|했|고(?=[\s가-힣])|며|는|은|이|가|을|를|로|으로|에|에서|의|와|과|도|만|조차|처럼|같은)|(?:และ|แล้ว|หรือ|แต่|โดย|ซึ่ง|ก่อน|จาก|เมื่อ|ต่อ|ที่|ใน|ของ)|(?:और|तथा|लेकिन|कहकर|फिर|ऐसा|जैसा|या|के|की|का|को|से|पर|में|ने|था|थी|है|हैं)(?![ऀ-ॿ])")
 THAI_GOES_ON = re.compile(r"แล้ว|และ|หรือ|แต่|โดย|ซึ่ง|เพราะ|จึง|ก่อน|ต่อ|เป็น|คือ|ของ|ใน|ที่|กับ|ถึง")
 THAI_LEADS_IN = re.compile(r"(?:นอกจากนี้|ทั้งนี้|อย่างไรก็ตาม|ดังนั้น|อนึ่ง|เช่น|ได้แก่|คือ|ว่า|และ|หรือ|กรณีนี้|ในกรณีนี้|หมายเหตุ|โปรดทราบ|เพิ่มเติม)$")
-THAI_LABEL = re.compile(r"(?:หมายเลข|ข้อที่|ข้อ|มาตรา|เลขที่|ฉบับที่|หน้า|ส่วนที่|บทที่|ภาคผนวก)\s*[\d.,๐-๙]*$")
+THAI_LABELS = ("หมายเลข", "ข้อที่", "ข้อ", "มาตรา", "เลขที่", "ฉบับที่", "หน้า", "ส่วนที่", "บทที่", "ภาคผนวก")
+#: Longest word of THAI_LEADS_IN.
+_LEADS_IN = 24
+#: Initials are at most so many letters.
+_INITIALS = 16
 
 _PAIRS = {"“": "”", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "{": "}", "《": "》", "〈": "〉", "【": "】", "〔": "〕", "«": "»", "„": "”"}
 _CLOSERS = set(_PAIRS.values()) | {"’"}
@@ -45,8 +51,9 @@ _EVENT_THAI = re.compile(r"[.!?…。！？．।॥؟｡“”‘’「」『
 _THAI = re.compile(r"[฀-๿຀-໿ក-៿က-႟]")
 _BLANK_LINE = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _MARKER = re.compile(r"[^\S\n]*(?:(?P<bullet>[-•*·‣▪◦●○■□◆◇※–—∙])[^\S\n]+|(?P<paren>\(\d{1,3}\))|(?P<dot>\d{1,3}[.)])(?=[^\S\n])|(?P<circle>[①-⑳❶-❿㉠-㉻ⓐ-ⓩ⑴-⒇])|(?P<hangul>[가나다라마바사아자차카타파하][.)])(?=[^\S\n])|(?P<alpha>[A-Za-z][.)])(?=[^\S\n])|(?P<parenh>\([가-하a-z]\)))")
-_DATE = re.compile(r"(?:^|(?<=\D))\d{4}\. ?\d{1,2}\.(?: ?\d{1,2}\.)?|(?:^|(?<=\D))\d{1,2}\.\s\d{1,2}\.(?=[\s가-힣])")
-_WORD_BEFORE = re.compile(r"[^\s()\[\]{}“”‘’「」『』（）\"',;:/]+$")
+_DATE = re.compile(r"(?:^|(?<=\D))\d{4}\.[ \n]?\d{1,2}\.(?:[ \n]?\d{1,2}\.)?|(?:^|(?<=\D))\d{1,2}\.\s\d{1,2}\.(?=[\s가-힣])")
+_WORD_ENDS = set("()[]{}“”‘’「」『』（）\"',;:/")
+_CARRIES_ON = re.compile(r"이?라고|이?라는|이?라며|이?라면서|이?란|하고|하며|하면서|하는|하였|했|고\s|며\s")
 
 
 class Trie:
@@ -85,14 +92,26 @@ def _is_hangul(ch: str) -> bool:
     return "가" <= ch <= "힣"
 
 
-def _stop_ends(t: str, i: int, end: int, start: int, dates: list[tuple[int, int]]) -> bool:
+def _word_before(t: str, start: int, i: int, last: list[int]) -> int:
+    """Start of the word that ends before ``i``; ``last`` holds where the search before ended and what it found, so that a long word is walked over once."""
+    j = i
+    while j > max(start, last[0]) and not t[j - 1].isspace() and t[j - 1] not in _WORD_ENDS:
+        j -= 1
+    if j == last[0] and j > start:
+        j = last[1]
+    last[:] = [i, j]
+    return max(j, start)
+
+
+def _stop_ends(t: str, i: int, end: int, start: int, dates: tuple[list[int], list[int]], last: list[int]) -> bool:
     """Whether the full stop at i (the last of its run before ``end``) ends the unit that began at ``start``."""
     n = len(t)
     prev = t[i - 1] if i > start else ""
     nxt = t[end] if end < n else ""
     if nxt == "":
         return True
-    if any(a <= i < b for a, b in dates):
+    k = bisect_right(dates[0], i) - 1
+    if k >= 0 and i < dates[1][k]:
         return False
     j = end
     while j < n and t[j].isspace():
@@ -104,8 +123,8 @@ def _stop_ends(t: str, i: int, end: int, start: int, dates: list[tuple[int, int]
         return False
     if prev.isdigit() and nxt.isdigit():
         return False
-    word = _WORD_BEFORE.search(t, start, i)
-    w = word.group() if word else ""
+    word = _word_before(t, start, i, last)
+    w = t[word:i]
     if not spaced:
         if nxt.isascii() and (nxt.islower() or nxt.isdigit() or nxt in "@_/-="):
             return (_is_hangul(prev) or prev in _CLOSERS) and nxt.isdigit()
@@ -121,7 +140,7 @@ def _stop_ends(t: str, i: int, end: int, start: int, dates: list[tuple[int, int]
     if kind == "never":
         return False
     if prev.isascii() and prev.isalpha():
-        initials = re.fullmatch(r"(?:[A-Za-z]\.)+[A-Za-z]|[A-Z]", w) is not None
+        initials = len(w) < 2 * _INITIALS and re.fullmatch(r"(?:[A-Za-z]\.)+[A-Za-z]|[A-Z]", w) is not None
         if kind == "may" or initials:
             if not (follow.isupper() and follow.isascii()):
                 return follow in "“\"‘'" and kind == "may"
@@ -130,18 +149,21 @@ def _stop_ends(t: str, i: int, end: int, start: int, dates: list[tuple[int, int]
             return False
         return True
     if prev.isdigit():
-        if w.isdigit() and len(w) <= 3 and word.start() == start:
+        if w.isdigit() and len(w) <= 3 and word == start:
             return False
         return not (follow.isascii() and follow.islower())
-    if w and word.start() == start and re.fullmatch(r"[가-하]|[ivxIVX]{1,4}", w):
+    if w and word == start and re.fullmatch(r"[가-하]|[ivxIVX]{1,4}", w):
         return False
     if follow.isascii() and follow.islower() and not _is_hangul(prev) and not _is_cjk(prev) and prev not in ")]":
         return False
     return True
 
 
-def _goes_on(t: str, close: int) -> bool:
-    """Whether a sentence goes on after the quotation or bracket that closed at ``close`` with a terminator inside."""
+def _goes_on(t: str, close: int, quote: bool) -> bool:
+    """Whether a sentence goes on after the quotation or bracket that closed at ``close`` with a terminator inside.
+
+    Hangul has no capitals that would show a new sentence: what follows a quotation on the same line belongs to it.
+    """
     n, j = len(t), close
     while j < n and t[j].isspace():
         j += 1
@@ -154,38 +176,47 @@ def _goes_on(t: str, close: int) -> bool:
         return not (f.isascii() and f.isupper()) and f not in "“「『‘"
     if f.isascii() and f.isalpha():
         return f.islower()
-    if _is_hangul(f) or "฀" <= f <= "๿" or "ऀ" <= f <= "ॿ":
-        return AFTER_QUOTE.match(t, j) is not None and not (_is_hangul(f) and not re.match(r"(?:이?라고|이?라는|이?라며|이?라면서|이?란|하고|하며|하면서|하는|하였|했|고\s|며\s)", t[j : j + 6]))
+    if _is_hangul(f):
+        return quote or AFTER_QUOTE.match(t, j) is not None and _CARRIES_ON.match(t, j) is not None
+    if "฀" <= f <= "๿" or "ऀ" <= f <= "ॿ":
+        return AFTER_QUOTE.match(t, j) is not None
     return f.isdigit()
 
 
 def _matched(t: str, lo: int, hi: int, events: list[re.Match]) -> dict[int, int]:
     """Partner of every opening mark that is closed inside the paragraph (others are plain characters)."""
     stack: list[tuple[str, int]] = []
+    open_at: dict[str, list[int]] = defaultdict(list)  # places in the stack of every kind of mark
     pairs: dict[int, int] = {}
+
+    def push(mark: str, i: int) -> None:
+        open_at[mark].append(len(stack))
+        stack.append((mark, i))
+
+    def close(mark: str, i: int) -> None:
+        top = open_at[mark][-1]
+        pairs[stack[top][1]] = i
+        while len(stack) > top:
+            open_at[stack.pop()[0]].pop()
+
     for m in events:
         i, c = m.start(), t[m.start()]
         before, after = t[i - 1] if i > lo else " ", t[i + 1] if i + 1 < hi else " "
         if c in "\"'" or c == "’":
             mark = '"' if c == '"' else "'"
-            top = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == mark), None)
             inside = before.isalnum() and before.isascii() and after.isalnum() and after.isascii()
             if c != '"' and inside:
                 continue
-            if top is not None and not (before.isspace() and not after.isspace()):
-                pairs[stack[top][1]] = i
-                del stack[top:]
+            if open_at[mark] and not (before.isspace() and not after.isspace()):
+                close(mark, i)
             elif c != "’" and not after.isspace():
-                stack.append((mark, i))
+                push(mark, i)
         elif c == "‘":
-            stack.append(("'", i))
+            push("'", i)
         elif c in _PAIRS:
-            stack.append((_PAIRS[c], i))
-        elif c in _CLOSERS:
-            top = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c), None)
-            if top is not None:
-                pairs[stack[top][1]] = i
-                del stack[top:]
+            push(_PAIRS[c], i)
+        elif c in _CLOSERS and open_at[c]:
+            close(c, i)
     return pairs
 
 
@@ -196,8 +227,9 @@ def _paragraph(t: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
     events = list((_EVENT_THAI if thai else _EVENT).finditer(text))
     pairs = _matched(text, 0, len(text), events)
     closes = {b: a for a, b in pairs.items()}
-    dates = [m.span() for m in _DATE.finditer(text)] if "." in text else []
-    n, start, depth, skip = len(text), 0, 0, -1
+    spans = [m.span() for m in _DATE.finditer(text)] if "." in text else []
+    dates = ([a for a, _ in spans], [b for _, b in spans])
+    n, start, depth, skip, word = len(text), 0, 0, -1, [0, 0]
 
     def cut(at: int) -> tuple[int, int] | None:
         nonlocal start
@@ -224,7 +256,7 @@ def _paragraph(t: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
                 k = i - 1
                 while k > closes[i] and (text[k].isspace() or text[k] in _CLOSERS or text[k] in "\"'"):
                     k -= 1
-                if (text[k] in ".!?…" or text[k] in _FULL) and not _goes_on(text, i + 1):
+                if (text[k] in ".!?…" or text[k] in _FULL) and not _goes_on(text, i + 1, text[i] in _QUOTES):
                     bracket = text[i] not in _QUOTES
                     if not (bracket and closes[i] > start):
                         if u := cut(i + 1):
@@ -257,7 +289,7 @@ def _paragraph(t: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
             f = text[j] if j < n else ""
             ends = f == "" or (f.isascii() and f.isupper()) or (f in "“「『\"")
         elif c == ".":
-            ends = _stop_ends(text, last, end, start, dates)
+            ends = _stop_ends(text, last, end, start, dates, word)
         else:
             continue
         skip = end
@@ -268,6 +300,16 @@ def _paragraph(t: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
         yield u
 
 
+def _thai_label(t: str, start: int, i: int) -> int | None:
+    """Start of a label with its number that ends before ``i``."""
+    while i > start and (t[i - 1].isdigit() or t[i - 1] in ".,"):
+        i -= 1
+    while i > start and t[i - 1].isspace():
+        i -= 1
+    found = [i - len(w) for w in THAI_LABELS if i - len(w) >= start and t.startswith(w, i - len(w))]
+    return min(found, default=None)
+
+
 def _thai_space(t: str, i: int, j: int, start: int) -> bool:
     """Whether the blank t[i:j] ends a sentence of a script that is written without blanks between words."""
     if i <= start or j >= len(t):
@@ -275,12 +317,12 @@ def _thai_space(t: str, i: int, j: int, start: int) -> bool:
     p, f = t[i - 1], t[j]
     p_thai, f_thai = _THAI.match(p) is not None, _THAI.match(f) is not None
     if p_thai and f_thai:
-        return THAI_LEADS_IN.search(t, start, i) is None and THAI_GOES_ON.match(t, j) is None
+        return THAI_LEADS_IN.search(t, max(start, i - _LEADS_IN), i) is None and THAI_GOES_ON.match(t, j) is None
     if p_thai and f in "“‘\"'(":
         return False
     if f_thai and (p.isdigit() or "๐" <= p <= "๙"):
-        label = THAI_LABEL.search(t, start, i)
-        return label is not None and label.start() > start and THAI_GOES_ON.match(t, j) is None
+        label = _thai_label(t, start, i)
+        return label is not None and label > start and THAI_GOES_ON.match(t, j) is None
     if f_thai and (p in _CLOSERS or p in "\"'"):
         return THAI_GOES_ON.match(t, j) is None
     return False
@@ -319,8 +361,8 @@ def _block(t: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
                     yield from _block(t, at, hi)
                     return
                 at += len(line) + 1
-        elif _THAI.search(lines[0]) and THAI_LABEL.match(lines[0]) and len(lines[0]) < 60:
-            yield (lo + len(lines[0]) - len(lines[0].lstrip()), lo + len(lines[0].rstrip()))
+        elif _THAI.search(lines[0]) and _thai_label(t, lo, hi) == lo:
+            yield (lo, lo + len(lines[0].rstrip()))
             return
         yield from _paragraph(t, lo, hi)
         return

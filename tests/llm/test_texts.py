@@ -186,7 +186,7 @@ def test_scan_edges(spark, model):
 
 SENTENCES = [
     "A.M.L. 점검과 K.Y.C. 확인은 같은 날에 끝납니다.", "상담원은 \"보험금은 17일 안에 지급됩니다.\"라고 안내하였습니다.", "계약자는 '해지하겠습니다. 환급금을 보내 주세요.'라는 메모를 남겼습니다.",
-    "고객은 “정말 3,000만원이 나오나요?” 하고 다시 물었습니다.", "“고객님, 서류를 확인했습니다. 내일 지급됩니다.”", "담당자의 답변은 여기까지였다.", "2024. 1. 22.자로 개정된 약관을 따릅니다.", "글쎄요… 그 부분은 약관을 보아야 합니다.",
+    "고객은 “정말 3,000만원이 나오나요?” 하고 다시 물었습니다.", "“고객님, 서류를 확인했습니다. 내일 지급됩니다.” 담당자의 답변은 여기까지였다.", "2024. 1. 22.자로 개정된 약관을 따릅니다.", "글쎄요… 그 부분은 약관을 보아야 합니다.",
     "약관 제28.2조에 따라 감액 기간에는 50%만 지급합니다(단, 재해로 인한 사고는 감액하지 않습니다.).", "보험료는 2020. 3. 1. 현재 기준으로 계산하였습니다.", "문의는 care.18@example.invalid 로 보내 주세요.", "접수 시각은 오후 8:30 이전이어야 함.",
     "Dr. Hale of the claims desk said, \"We need the original receipt. A copy is not enough.\" before closing the file.", "Mr. and Mrs. Example asked whether St. Orla Hospital is listed.", "We regret the delay... the scan was unreadable.", "Claims over the limit (see Sec. 19.) are reviewed by hand.",
     "\"Will it pay out?\" the caller asked again.", "Ms. Sample, Ph.D., reviewed item 6.9 of the annex.", "Send it to Claims Dept., Bldg. 12, by 5 p.m. sharp.", "The U.S. branch keeps a separate register.", "What is covered, and what is not?",
@@ -252,3 +252,18 @@ def test_sentence_table(spark):
     got = sentence_units(docs)
     assert got.where("doc_id = 5").count() == 5_001 and got.where("doc_id in (2, 3, 4)").count() == 0
     assert sentence_units(docs.limit(0)).count() == 0
+
+
+def test_nested_and_introduced_lists():
+    shown = lambda t: [t[a:b] for a, b in units(t)]
+    assert shown("- a\n1. b\n2. c\n- d") == ["- a", "1. b", "2. c", "- d"]
+    assert shown("Items:\n1. one\n2. two") == ["Items:", "1. one", "2. two"]
+
+
+def test_automaton_takes_linear_time():
+    import time
+
+    for part in ("([{", ")]}", "2024. 1. 2. ", "a.b.", '" a', "ข้อ 12 "):
+        began = time.time()
+        units(part * 20_000)
+        assert time.time() - began < 10
