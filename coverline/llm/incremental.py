@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from coverline.llm.confusables import one_form
 from coverline.llm.mapping import benefit_targets
+from coverline.llm.scans import Model, fit_lines, without_furniture
 from coverline.operators.units import unit_hint, won
 from coverline.session import bounded, cut, scratch_path
 
@@ -41,24 +42,18 @@ BINS = 16
 #: Agreeing values of BINS that verify; two unrelated signatures agree in none or one, those of a reworded trigger in eight or more.
 SIMILAR = 4
 
-# Lines that scanning adds to a text.
-FURNITURE = re.compile(
-    r"^\s*(?:(?:[-–—]\s*\d{1,4}\s*[-–—]|(?:p|pp|page)\.?\s*\d{1,4}|제?\s*\d{1,4}\s*(?:쪽|면|페이지)|[〔\[(]\s*\d{1,4}\s*[〕\])]|\d{1,4}\s*/\s*\d{1,4}|\d{1,4})\s*"
-    r"|.*(?:상품요약서|상품설명자료|준법감시필|내부 검토용|보장내용 안내|약관 요약)[^\n]*|◆.*◆\s*)+$",
-    re.I,
-)
 _DIGIT_RUN = re.compile(r"[0-9OILBSZQ]*\d[0-9OILBSZQ]*")
 _MISREAD = str.maketrans("OQILBSZ", "0011852")
 _ODD = re.compile(r"[^\x00-\x7f가-힣·]")
 _OTHER = re.compile(r"[^가-힣]+")
 
 
-def trigger_parts(text: str | None) -> tuple[str, str]:
-    """(numbers in order, syllables) of a trigger without scanning furniture; misread digits are read as digits."""
+def trigger_parts(text: str | None, model: Model | None = None) -> tuple[str, str]:
+    """(numbers in order, syllables) of a trigger without the headers and page numbers the line model finds; misread digits are read as digits."""
     if not text:
         return "", ""
-    if "\n" in text:
-        text = "\n".join(x for x in text.split("\n") if not FURNITURE.match(x))
+    if model and "\n" in text:
+        text = "\n".join(without_furniture(text, model, set()))
     t = (one_form(text) if _ODD.search(text) else text).upper()
     return " ".join(_DIGIT_RUN.findall(t)).translate(_MISREAD), _OTHER.sub("", t)
 
@@ -86,16 +81,18 @@ def signatures(texts: list[str]) -> np.ndarray:
     return (sig >> np.uint32(12)).astype(np.uint8).view(np.int64)
 
 
-def _trigger_features(text: pd.Series) -> pd.DataFrame:
+def trigger_features(model: Model):
     """Numbers and signature of every trigger of a batch; repeated triggers are computed once."""
-    codes, distinct = pd.factorize(text.fillna(""))
-    parts = [trigger_parts(x) for x in distinct]
-    sig = signatures([p[1] for p in parts])
-    numbers = np.array([p[0] for p in parts] or [""], dtype=object)
-    return pd.DataFrame({"numbers": numbers[codes], "sa": sig[codes, 0], "sb": sig[codes, 1]})
 
+    def run(text: pd.Series) -> pd.DataFrame:
+        codes, distinct = pd.factorize(text.fillna(""))
+        parts = [trigger_parts(x, model) for x in distinct]
+        sig = signatures([p[1] for p in parts])
+        numbers = np.array([p[0] for p in parts] or [""], dtype=object)
+        return pd.DataFrame({"numbers": numbers[codes], "sa": sig[codes, 0], "sb": sig[codes, 1]})
 
-trigger_features = F.pandas_udf(_trigger_features, T.StructType([T.StructField("numbers", T.StringType()), T.StructField("sa", T.LongType()), T.StructField("sb", T.LongType())])).asNondeterministic()
+    kind = T.StructType([T.StructField("numbers", T.StringType()), T.StructField("sa", T.LongType()), T.StructField("sb", T.LongType())])
+    return F.pandas_udf(run, kind).asNondeterministic()
 
 
 def plain(text: Column) -> Column:
@@ -108,7 +105,7 @@ def row_features(rows: DataFrame, artifacts: DataFrame, synonyms: DataFrame, cat
     hint = unit_hint(F.col("notes_summary"), F.col("amount"))
     read = rows.where("row_id is not null").select(
         "row_id", "artifact_id", "benefit_name", plain(F.concat_ws("\u0001", *[F.coalesce(c, F.lit("")) for c in ("product_name", "contract_name", "amount_condition")])).alias("exact"),
-        plain(F.col("amount")).alias("amount"), won("amount", hint).alias("won"), trigger_features("trigger").alias("t"),
+        plain(F.col("amount")).alias("amount"), won("amount", hint).alias("won"), trigger_features(fit_lines(rows, "trigger"))("trigger").alias("t"),
     )
     worth = F.coalesce(F.col("won").cast("string"), F.col("amount"))
     whole = F.concat_ws("\u0001", "exact", worth, "t.numbers")

@@ -8,12 +8,14 @@ outside the look-alike table or a digit replaced, an added one deleted, a droppe
 for two. This goes over letters and numbers alone, because rows also differ in punctuation, white space and letter case,
 which is formatting. Not seen: a digit read as another digit, digits dropped from or added to a number, marks and brackets
 added or dropped, and most cases of two such errors within two characters. The line model tells running
-headers and page numbers from text by the shape of a line and its position (first, inner or last line, blank lines
-around it, the line before it unfinished). What is known (triples, words, what stands between two characters and two) is
+headers and page numbers from text by the position of a line (first, inner or last line, blank lines around it, the line
+before it unfinished), by how well the text goes on through the line and past it, by how much of it is known from running
+text, and by its shape; it knows no wording of headers. What is known (triples, words, what stands between two characters and two) is
 counted over all texts without line ends, as pieces with their counts, of which there are few. The perceptrons alone
 are fitted on a bounded sample (``SAMPLE`` texts of each field), which gives clean texts, on which the damage of scanning is drawn again: every character is
-once replaced by each of its look-alikes, characters are dropped, added, replaced at random and doubled, every blank and every place inside a word is once a line end, and headers
-and page numbers of the usual forms are set between the lines. Pieces and sample texts that hold damage themselves are
+once replaced by each of its look-alikes, characters are dropped, added, replaced at random and doubled, every blank and every place inside a word is once a line end, and
+``LINES`` of the texts are broken into lines with made-up headers (words of drawn letters, and names of the table's insurers
+and products) and page numbers between them. Pieces and sample texts that hold damage themselves are
 recognised by words with a look-alike word many times as frequent, and are left out. Words that have lost a blank are no
 known words where the same characters stand with the blank many times as often.
 
@@ -46,10 +48,14 @@ RATIO = 10
 #: What stands in a text is no misreading unless what is meant is this many times as frequent (or it was never seen).
 RARE = 100
 EPOCHS = 6
+#: By how much the right kind of a line must win in training, so that it also wins with other wording.
+MARGIN = 20.0
 #: Places of clean text at which dropped, added and foreign characters are drawn.
 PLACES = 3_000
-#: Pieces of clean text that lines are made of for the line model.
-LINES = 1_500
+#: Clean texts broken into lines for the line model.
+LINES = 4_000
+#: Names of insurers and products that made-up headers draw from.
+NAMES = 400
 
 # Letters that print alike, as pairs, by their place in a syllable.
 _L, _V, _T = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ", "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ", " ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊㅋㅌㅍㅎ"
@@ -113,7 +119,8 @@ class Perceptron:
         s = self.scores(features)
         return max(ops, key=lambda o: (s.get(o, 0.0), o == ops[0]))
 
-    def fit(self, examples: list[tuple[list, str, tuple[str, ...]]], epochs: int = EPOCHS, seed: int = 7) -> Perceptron:
+    def fit(self, examples: list[tuple[list, str, tuple[str, ...]]], epochs: int = EPOCHS, seed: int = 7, margin: float = 0.0) -> Perceptron:
+        """Fits (features, right operation, operations to choose from); the right one must win by ``margin``."""
         w: dict = defaultdict(lambda: defaultdict(float))
         total: dict = defaultdict(lambda: defaultdict(float))
         stamp: dict = defaultdict(lambda: defaultdict(int))
@@ -129,7 +136,7 @@ class Perceptron:
                     if row:
                         for op, x in row.items():
                             s[op] = s.get(op, 0.0) + x
-                guess = max(ops, key=lambda o: (s.get(o, 0.0), o == ops[0]))
+                guess = max(ops, key=lambda o: (s.get(o, 0.0) + (margin if o != gold else 0.0), o == ops[0]))
                 if guess != gold:
                     wrong += 1
                     for f in features:
@@ -312,10 +319,41 @@ _TAIL, _HEAD = re.compile(r"[가-힣A-Za-z0-9]*$"), re.compile(r"[가-힣A-Za-z0
 _WORD = re.compile(r"[가-힣]{2,}")
 _WORDS = re.compile(r"[가-힣A-Za-z0-9]+")
 
-# Forms of page numbers and running headers; {n} a number, {c} a company, {p} a product.
-PAGE_FORMS = ["{n}", "- {n} -", "p. {n}", "Page {n}", "제{n}쪽", "{n}면", "{n}쪽", "〔{n}〕", "[{n}]", "({n})", "{n} / {n}", "{n}/{n}", "– {n} –", "페이지 {n}", "p.{n}", "{n} 페이지", "{n} of {n}"]
-HEADER_FORMS = ["{c} 상품요약서", "《상품요약서》 {c}", "대외비 {c} 내부 검토용", "{c} | 상품설명자료", "{c} 준법감시필 제{n}호", "{p} 보장내용 안내", "[{p}] 약관 요약", "◆ {p} ◆", "{c} {p}", "{p} 상품설명서", "{c} 약관", "{c} 고객센터 {n}", "{p}", "{c}"]
-_PAGE = re.compile(r"\s*(?:[-–—]\s*\d{1,4}\s*[-–—]|(?:p|pp|page|페이지)\.?\s*\d{1,4}|제?\s*\d{1,4}\s*(?:쪽|면|페이지)|[〔\[(]\s*\d{1,4}\s*[〕\])]|\d{1,4}\s*(?:/|of)\s*\d{1,4}|\d{1,4})\s*", re.I)
+# Forms of page numbers; {n} a number, {w} a word.
+PAGE_FORMS = ["{n}", "- {n} -", "– {n} –", "{n} / {n}", "{n}/{n}", "[{n}]", "({n})", "〔{n}〕", "<{n}>", "{w} {n}", "{w}. {n}", "{w}.{n}", "제{n}{w}", "{n}{w}", "{n} {w}", "{n} of {n}", "{w} {n} {w} {n}", "{w} {n}/{n}", "{w} {n} / {n}"]
+PAGE_WORDS = ["p", "P", "pp", "Page", "page", "PAGE", "페이지", "쪽", "면"]
+HEADER_MARKS = ["{}", "{}", "{}", "{}", "[{}]", "《{}》", "「{}」", "<{}>", "({})", "◆ {} ◆", "■ {}", "- {} -", "* {} *", "— {} —", "| {} |"]
+
+
+def _word(rng: random.Random, least: int = 2, most: int = 6) -> str:
+    """A word of drawn letters."""
+    n = rng.randint(least, most)
+    if rng.random() < 0.6:
+        return "".join(chr(0xAC00 + rng.randrange(11172)) for _ in range(n))
+    w = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéüß") for _ in range(n))
+    return rng.choice((w, w.capitalize(), w.upper()))
+
+
+def furniture(rng: random.Random, names: list[str], known: list[str]) -> tuple[str, str]:
+    """A made-up page number or header and its kind; words of headers are drawn, names, or now and then ``known`` words."""
+    n = lambda: str(rng.randint(1, 9) if rng.random() < 0.4 else rng.randint(10, 400))
+    if rng.random() < 0.5:
+        if rng.random() < 0.08:
+            return "".join(rng.choice(("i", "v", "x", "ii", "iv", "xi")) for _ in range(rng.randint(1, 2))), "pageno"
+        f = rng.choice(PAGE_FORMS)
+        while "{n}" in f or "{w}" in f:
+            f = f.replace("{n}", n(), 1).replace("{w}", rng.choice(PAGE_WORDS) if rng.random() < 0.6 else _word(rng, 1, 5), 1)
+        return f, "pageno"
+    words = [rng.choice(names) if names and rng.random() < 0.35 else rng.choice(known) if known and rng.random() < 0.15 else _word(rng) for _ in range(rng.choice((1, 2, 2, 3, 3, 4, 5)))]
+    if len(words) > 1 and rng.random() < 0.3:
+        words.append(rng.choice((n(), str(rng.randint(1000, 9_999_999)), f"제{n()}{_word(rng, 1, 2)}")))
+    if len(words) > 1 and rng.random() < 0.2:
+        words.insert(rng.randint(1, len(words) - 1), rng.choice("|·:-"))
+    text = " ".join(words)
+    if len(words) > 1 and rng.random() < 0.2:
+        k = len(words[0])
+        return rng.choice(("[{}]{}", "({}){}", "《{}》{}")).format(text[:k], text[k:]), "header"
+    return rng.choice(HEADER_MARKS).format(text), "header"
 
 
 def _unfinished(before: str) -> bool:
@@ -323,16 +361,44 @@ def _unfinished(before: str) -> bool:
     return re.search(r"[가-힣A-Za-z0-9,]\s*[-‐]?\s*$", before) is not None
 
 
-def line_features(line: str, at: int, n: int, before: str, blank: bool) -> list[str]:
-    """Features of a line (or of a part of a line set off by wide blanks): shape, words and position on the page."""
+def _edges(before: str, after: str) -> tuple[str, str]:
+    """The last two characters before a line and the first two after it, which is all that is read of them."""
+    return before.translate(_DIGIT).rstrip(" -‐­")[-2:], after.translate(_DIGIT).lstrip()[:2]
+
+
+def _goes_over(a: str, b: str, known: dict[str, int]) -> str:
+    """How well ``b`` is known to follow ``a``, with or without a blank."""
+    return _bucket(max(known.get(a[-2:] + b[:1], 0), known.get(a[-1:] + b[:2], 0), known.get(a[-1:] + " " + b[:1], 0))) if a and b else "-"
+
+
+def line_features(line: str, place: str, blank: bool, unfinished: bool, before: str, nexts: tuple[str, ...], known: dict[str, int]) -> list[str]:
+    """Features of a line (or of a part of a line set off by wide blanks) between the edges of its neighbours: position, how the text goes on through it and past it, what of it is known, shape."""
     t = line.strip().translate(_DIGIT)
-    t = re.sub(r"0+", "0", t)
-    shape = re.sub(r"[가-힣]+", "가", re.sub(r"[A-Za-zÀ-ÿ]+", "A", t))
-    words = re.findall(r"[가-힣]+|[A-Za-z]+|[^\s\w]", t)
-    place = "only" if n == 1 else "first" if at == 0 else "last" if at == n - 1 else "inner"
-    ends = [w[-2:] for w in words if "가" <= w[0] <= "힣"]
-    return ["b", "s" + shape[:24], "p" + place, "z" + str(blank), "u" + str(_unfinished(before)), "n" + str(min(len(words), 8)), "o" + t[:1], "e" + t[-1:],
-            *("w" + w for w in words), *("y" + e for e in ends), "first" + (words[0] if words else ""), "last" + (words[-1] if words else "")]
+    shape = re.sub(r"0+", "0", t)
+    shape = re.sub(r"[가-힣]+", "가", re.sub(r"[A-Za-zÀ-ÿ]+", "A", shape))
+    tokens = re.findall(r"[가A0]|[^\s가A0]", shape)
+    letters_, numbers = len(re.findall(r"[^\W\d_]", t)), shape.count("0")
+    triples = [t[i : i + 3] for i in range(len(t) - 2)]
+    share = sum(known.get(x, 0) > 2 for x in triples) / len(triples) if triples else -1
+    k = "-" if share < 0 else "0" if share < 0.2 else "1" if share < 0.5 else "2" if share < 0.85 else "3"
+    into, past = _goes_over(before, t[:2], known), max((_goes_over(before, x, known) for x in nexts), default="-")
+    out = max((_goes_over(t[-2:], x, known) for x in nexts), default="-")
+    size = "0" if letters_ == 0 else "1" if letters_ < 2 else "2" if letters_ < 5 else "3" if letters_ < 12 else "4"
+    roman = "r" if re.fullmatch(r"(?i)[ivxlc]+", t) else "n"
+    words = str(min(len(tokens), 6))
+    return [
+        "b", "p" + place, "z" + place + str(blank), "u" + place + str(unfinished), "k" + k, "kp" + k + place, "i" + into, "o" + out, "x" + past, "io" + into + out, "iox" + into + out + past, "kio" + k + into + out, "kx" + k + past,
+        "n" + words, "d" + str(min(numbers, 3)) + size, "dk" + str(min(numbers, 3)) + size + k, "dn" + str(min(numbers, 3)) + words, roman, roman + place, "a" + shape[:1], "e" + shape[-1:], "ae" + shape[:1] + shape[-1:] + k,
+        "dx" + str(min(numbers, 3)) + size + past, "dkx" + str(min(numbers, 3)) + size + k + past, *(["s" + shape, "sp" + shape + place, "sx" + shape + past] if len(tokens) <= 6 else []),
+    ]
+
+
+def line_contexts(raw: list[str], kept) -> Iterator[tuple[int, str, str, bool, str, tuple[str, ...]]]:
+    """(index, line, place, blank, line before, lines after) of the lines with text; ``kept`` gives the last line that was taken for text so far."""
+    full = [i for i, x in enumerate(raw) if x.strip()]
+    for at, i in enumerate(full):
+        place = "only" if len(full) == 1 else "first" if at == 0 else "last" if at == len(full) - 1 else "inner"
+        yield i, raw[i], place, i + 1 < len(raw) and not raw[i + 1].strip(), kept(), tuple(raw[j] for j in full[at + 1 : at + 3])
 
 
 class Model:
@@ -408,17 +474,15 @@ class Model:
         meant = max((self.words.get(w.translate(_DIGIT), 0) for w in _WORDS.findall(became)), default=0)
         return any(self.words.get(w, 0) < 3 or self.words[w] * RARE <= meant for w in _WORDS.findall(left + t[lo:hi] + right))
 
-    def line_kind(self, part: str, at: int, n: int, before: str, blank: bool) -> str:
+    def line_kind(self, part: str, place: str, blank: bool, before: str, nexts: tuple[str, ...]) -> str:
         """text, header or pageno."""
-        key = (part.translate(_DIGIT), at == 0, at == n - 1, n == 1, blank, _unfinished(before))
+        left = _edges(before, "")[0]
+        key = (part.strip().translate(_DIGIT), place, blank, _unfinished(before), left, tuple(_edges("", x)[1] for x in nexts))
         hit = self.lines.get(key)
         if hit is None:
             if len(self.lines) > 300_000:
                 self.lines.clear()
-            hit = self.liner.best(line_features(part, at, n, before, blank), ("text", "header", "pageno"))
-            if hit == "pageno" and not _PAGE.fullmatch(part):
-                hit = self.liner.best(line_features(part, at, n, before, blank), ("text", "header"))
-            self.lines[key] = hit
+            hit = self.lines[key] = self.liner.best(line_features(*key, self.known), ("text", "header", "pageno"))
         return hit
 
     def breaks(self, left: str, right: str, hyphen: bool, indent: bool) -> str:
@@ -455,24 +519,22 @@ def repair(text: str | None, model: Model) -> tuple[str | None, list[str]]:
     return "".join(out), sorted(found)
 
 
-def _unwrap(text: str, model: Model, found: set[str]) -> str:
-    """Takes out furniture lines and joins the rest, noting header, pageno and split_word."""
-    raw = text.split("\n")
-    lines = [x for x in raw if x.strip()]
+def without_furniture(text: str, model: Model, found: set[str]) -> list[str]:
+    """The lines of a text that are neither headers nor page numbers, noting these."""
     kept: list[str] = []
-    at, n = 0, len(lines)
-    for k, line in enumerate(raw):
-        if not line.strip():
-            continue
-        blank = k + 1 < len(raw) and not raw[k + 1].strip()
-        before = kept[-1] if kept else ""
+    for _, line, place, blank, before, nexts in line_contexts(text.split("\n"), lambda: kept[-1] if kept else ""):
         parts = [x for x in re.split(r"\s{3,}", line.strip()) if x] if re.search(r"\S\s{3,}\S", line) else [line]
-        kinds = [model.line_kind(p, at, n, before, blank) for p in parts]
-        at += 1
+        kinds = [model.line_kind(p, place, blank, before, nexts) for p in parts]
         if all(x != "text" for x in kinds):
             found.update(kinds)
             continue
         kept.append(line)
+    return kept
+
+
+def _unwrap(text: str, model: Model, found: set[str]) -> str:
+    """Takes out furniture lines and joins the rest, noting header, pageno and split_word."""
+    kept = without_furniture(text, model, found)
     if not kept:
         return ""
     out = kept[0].rstrip() if len(kept) > 1 else kept[0]
@@ -561,7 +623,44 @@ class Counts:
         self.words = dict(self.words)
 
 
-def train(texts: list[str], seed: int = 7, everything: Counts | None = None) -> Model:
+def _line_examples(clean: list[str], names: list[str], counts: Counts, rng: random.Random) -> list[tuple]:
+    """Examples of lines: clean texts broken at random with furniture between the lines."""
+    kinds = ("text", "header", "pageno")
+    out: list[tuple] = []
+    vocabulary = sorted(w for w in counts.words if not w.startswith(_PREFIX) and w.isalpha())
+    for t in rng.sample(clean, min(LINES, len(clean))):
+        inner = [k for k in range(2, len(t) - 1) if (t[k].isalnum() or t[k] in "(\"'") and not t[k - 1].isdigit()]
+        if not inner:
+            continue
+        number = [m.end() for m in re.finditer(r"(?:^|\| ?)\d{1,2}\.(?= )", t)]
+        digits = [k for k in inner if t[k].isdigit() and not t[k - 1].isalnum()]
+        some = lambda x: number if number and x < 0.12 else digits if digits and x < 0.3 else inner
+        cuts = sorted({rng.choice(some(rng.random())) for _ in range(rng.randint(1, 4))})
+        raw: list[str] = []
+        gold: list[str] = []
+        for a, b in zip([0, *cuts], [*cuts, len(t)]):
+            line = t[a:b]
+            if b < len(t) and line[-1:].isalnum() and rng.random() < 0.2:
+                line += rng.choice(("-", "- ", "‐"))
+            raw.append(line.strip(" ") if rng.random() < 0.9 else "  " + line)
+            gold.append("text")
+            for _ in range(rng.choice((0, 0, 1, 1, 1, 2)) if b < len(t) else 0):
+                f, kind = furniture(rng, names, vocabulary)
+                raw.append(f)
+                gold.append(kind)
+                if rng.random() < 0.3:
+                    raw.append("")
+                    gold.append("")
+        last = [""]
+        for i, line, place, blank, before, nexts in line_contexts(raw, lambda: last[0]):
+            left, rights = _edges(before, "")[0], tuple(_edges("", x)[1] for x in nexts)
+            out.append((line_features(line, place, blank, _unfinished(before), left, rights, counts.known), gold[i], kinds))
+            if gold[i] == "text":
+                last[0] = line
+    return out
+
+
+def train(texts: list[str], seed: int = 7, everything: Counts | None = None, names: list[str] = ()) -> Model:
     """Fits the models on sample texts; every example stands once, however often its text occurs. The model knows ``everything``, by default what the sample holds."""
     rng = random.Random(seed)
     flat = [t for t in texts if t and "\n" not in t]
@@ -615,31 +714,8 @@ def train(texts: list[str], seed: int = 7, everything: Counts | None = None) ->
                 v = w[:i] + rng.choice(alike(w[i])) + w[i + 1 :]
                 x, y = (left[: len(left) - len(w)] + v, right) if side == 0 else (left, v + right[len(w) :])
                 joins.setdefault((x[-4:], y[:4], "spoiled"), (join_features(x, y, False, False, words), gold, (SPACE, JOIN)))
-    lines: list[tuple] = []
-    kinds = ("text", "header", "pageno")
-    companies, products = [a + b for a in ("해솔빛", "가온누리", "달무리", "한빛", "두레") for b in ("생명", "화재", "손해보험")], [f"{a}{b} {c}보험 {n:07d}" for a in ("", "(무)", "무배당 ", "新") for b in ("ACE", "든든", "Plus", "햇살", "Élan", "OK안심", "Care+") for c in ("종합", "건강", "암", "어린이", "치매간병", "뇌심장") for n in (7, 1491)]
-    body = [p for p in pieces if len(p) > 12]
-    rng.shuffle(body)
-    for p in body[:LINES]:
-        tokens = p.split(" ")
-        n = rng.randint(2, 5)
-        for inside in (False, True, True):
-            k = rng.randint(1, len(p) - 1) if inside else len(" ".join(tokens[: rng.randint(0, len(tokens))]))
-            before, rest, blank = p[:k], p[k:].strip(), rng.random() < 0.15
-            some = p[rng.randint(0, len(p) // 2) : rng.randint(len(p) // 2, len(p))]
-            for part, at in ((before, 0), (rest, n - 1), (" ".join(rest.split(" ")[: rng.randint(1, 4)]), rng.randint(1, n - 1)), (some, rng.randint(1, n - 1))):
-                if part.strip():
-                    lines.append((line_features(part + rng.choice(("", "", "-", "- ", "‐")), at, n, before if at else "", blank), "text", kinds))
-        for forms, kind in ((PAGE_FORMS, "pageno"), (HEADER_FORMS, "header")) * 2:
-            f = rng.choice(forms)
-            while "{n}" in f:
-                f = f.replace("{n}", str(rng.randint(1, 120)), 1)
-            f = f.replace("{c}", rng.choice(companies)).replace("{p}", rng.choice(products))
-            lines.append((line_features(f, rng.randint(1, n - 1), n + 1, before + rng.choice(("", "", "-", "- ")), rng.random() < 0.4), kind, kinds))
-    for num in range(1, 40):
-        lines.append((line_features(f"{num}.", 0, 2, "", False), "text", kinds))
-        lines.append((line_features(f"{num}회에 한함)", 1, 2, "(최초", False), "text", kinds))
-    return Model(Perceptron().fit([*edits.values(), *_span_examples(list(pieces), fillings, random.Random(seed))]), Perceptron().fit([*joins.values(), *[(["b", "hTrue"], JOIN, (SPACE, JOIN))] * 100]), Perceptron().fit(lines), (everything or own))
+    lines = _line_examples(clean, list(names), everything or own, random.Random(seed))
+    return Model(Perceptron().fit([*edits.values(), *_span_examples(list(pieces), fillings, random.Random(seed))]), Perceptron().fit([*joins.values(), *[(["b", "hTrue"], JOIN, (SPACE, JOIN))] * 100]), Perceptron().fit(lines, margin=MARGIN), (everything or own))
 
 
 def sample_texts(df: DataFrame, key: str, columns: list[str], n: int = SAMPLE) -> list[str]:
@@ -650,6 +726,13 @@ def sample_texts(df: DataFrame, key: str, columns: list[str], n: int = SAMPLE) -
     return [r[c] for r in rows for c in columns if r[c]]
 
 
+def sample_names(rows: DataFrame, n: int = NAMES) -> list[str]:
+    """Names of insurers and products of at most ``n`` rows, chosen by the hash of their key."""
+    columns = [c for c in ("insurer", "product_name") if c in rows.columns]
+    got = rows.select(*columns).distinct().orderBy(F.xxhash64(*columns)).limit(n).collect() if columns else []
+    return sorted({r[c] for r in got for c in columns if r[c]})
+
+
 def _pass(model: Model, fields: list[tuple[str, str]], with_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, tuple] = {}
@@ -676,19 +759,23 @@ def _pass(model: Model, fields: list[tuple[str, str]], with_text: bool):
     return run
 
 
-def piece_counts(rows: DataFrame, entries: DataFrame) -> DataFrame:
+def running_texts(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """(text): the three fields of both tables."""
+    return rows.select(F.explode(F.array(F.col("trigger"), F.col("notes_summary"))).alias("text")).unionByName(entries.select(F.col("reduction_note").alias("text")))
+
+
+def piece_counts(texts: DataFrame) -> DataFrame:
     """(piece, n): the masked pieces of all texts without line ends. They repeat so much that few are left."""
     digits = "".join(chr(k) for k in _DIGIT)
-    texts = F.array(F.col("trigger"), F.col("notes_summary"))
-    read = rows.select(F.explode(texts).alias("text")).unionByName(entries.select(F.col("reduction_note").alias("text"))).where("text <> '' and instr(text, '\\n') = 0")
     masked = F.translate("text", digits, "".join(chr(k).translate(_DIGIT) for k in _DIGIT))
-    pieces = read.select(F.explode(F.regexp_extract_all(masked, F.lit(r"[^|()\[\]]+"), F.lit(0))).alias("piece")).where("length(piece) > 1")
+    flat = texts.where("text <> '' and instr(text, '\\n') = 0")
+    pieces = flat.select(F.explode(F.regexp_extract_all(masked, F.lit(r"[^|()\[\]]+"), F.lit(0))).alias("piece")).where("length(piece) > 1")
     return pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
 
-def count_all(rows: DataFrame, entries: DataFrame) -> Counts:
+def count_all(texts: DataFrame, kinds: tuple[str, ...] = ("known", "word", "fill", "open", "shut")) -> Counts:
     """What is known of clean text, counted over all texts; only the counts of words and contexts come to the driver."""
-    pieces = cut(piece_counts(rows, entries), "pieces")
+    pieces = cut(piece_counts(texts), "pieces")
     words = pieces.select(F.explode(F.regexp_extract_all("piece", F.lit(_WORD.pattern), F.lit(0))).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
     bad = _damaged(Counter({r.w: r.n for r in words.collect()}))
 
@@ -696,7 +783,7 @@ def count_all(rows: DataFrame, entries: DataFrame) -> Counts:
         out: Counter = Counter()
         for pdf in batches:
             out.update(count_pieces(zip(pdf["piece"], pdf["n"].tolist()), bad))
-        yield pd.DataFrame([(*k, n) for k, n in out.items()], columns=["kind", "k", "f", "n"])
+        yield pd.DataFrame([(*k, n) for k, n in out.items() if k[0] in kinds], columns=["kind", "k", "f", "n"])
 
     counted = pieces.mapInPandas(run, "kind string, k string, f string, n long").groupBy("kind", "k", "f").agg(F.sum("n").alias("n"))
     return Counts(bad, {(r.kind, r.k, r.f): r.n for r in counted.collect()})
@@ -705,7 +792,16 @@ def count_all(rows: DataFrame, entries: DataFrame) -> Counts:
 def fit_model(rows: DataFrame, entries: DataFrame) -> Model:
     """Model fitted on bounded samples of both tables, with the counts of all texts."""
     sample = sample_texts(rows, "row_id", ["trigger", "notes_summary"]) + sample_texts(entries, "entry_id", ["reduction_note"])
-    return train(sample, everything=count_all(rows, entries))
+    return train(sample, everything=count_all(running_texts(rows, entries)), names=sample_names(rows))
+
+
+def fit_lines(rows: DataFrame, column: str, seed: int = 7) -> Model:
+    """Line model of one column alone, for ``without_furniture``."""
+    counts = count_all(rows.select(F.col(column).alias("text")), ("known", "word"))
+    clean = [t for t in sample_texts(rows, "row_id", [column]) if "\n" not in t and not _LETTERS_IN_NUMBERS.search(t) and not any(w in counts.bad for w in _WORD.findall(t))]
+    liner = Perceptron().fit(_line_examples(clean, sample_names(rows), counts, random.Random(seed)), margin=MARGIN)
+    counts.words, counts.bad = {}, set()
+    return Model(None, None, liner, counts)
 
 
 def defects_found(rows: DataFrame, entries: DataFrame, model: Model | None = None) -> DataFrame:

@@ -114,7 +114,7 @@ def test_held_out_damage_is_found_and_repaired(model):
                 continue
             bad, want = " ".join([*words[:k], words[k][:c] + rng.choice(S.alike(words[k][c])) + words[k][c + 1 :], *words[k + 1 :]]), ["misread"]
         else:
-            line = {"page": rng.choice(["- 12 -", "p. 7", "제3쪽", "3 / 40", "〔9〕"]), "header": rng.choice(["한빛생명 상품요약서", "[무배당 든든 암보험 0000012] 약관 요약"]), "space": None}[kind]
+            line = {"page": rng.choice(["- 12 -", "p. 7", "제3쪽", "3 / 40", "〔9〕", "Seite 12 von 30", "xii"]), "header": rng.choice(["무지개생명 안내문 2024", "[가나다 건강플랜 0000012] 주요 내용", "ABC Life Product Guide", "대외비"]), "space": None}[kind]
             bad = " ".join(words[:i]) + "\n" + (line + "\n" if line else "") + " ".join(words[i:])
             want = {"page": ["pageno"], "header": ["header"], "space": []}[kind]
         fixed, got = S.repair(bad, model)
@@ -147,7 +147,7 @@ def test_counts_go_over_all_texts(spark):
     texts = [*corpus(600, 5), *[rare.format(n) for n in range(10, 30)], "보험기간 중\n피보험자가", "", None]
     rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "row_id long, trigger string, notes_summary string")
     entries = spark.createDataFrame([(1, "소뇌위축증 1회")], "entry_id long, reduction_note string")
-    everything = S.count_all(rows.repartition(3), entries)
+    everything = S.count_all(S.running_texts(rows.repartition(3), entries))
     flat = [t for t in [*texts, "소뇌위축증 1회"] if t and "\n" not in t]
     assert everything.known["위축증"] == 21 and everything.words["피보험자가"] == sum(t.count("피보험자가") for t in flat) and everything.fillings["소뇌축증"] == {"위": 21}
     only, both = S.train(corpus(600, 5)), S.train(corpus(600, 5), everything=everything)  # the sample lacks the rare texts
@@ -165,9 +165,12 @@ def test_memo_changes_no_answer(model):
     sides = [(a, b) for a in ("보험기간중피보험자가외래로통원하여진료", "갱신계약의보험기간중피보험자가외래로통원하여진료", "가", ") 가", "수술을") for b in ("를", "를 받", "를, 받", "의결과로진단확정되었을때또는", "의결과로진단확정되었을때그리고")]
     assert len({k for a, b in sides for m in [fresh()] if (m.breaks(a, b, False, False) or 1) for k in m.joins}) == len({tuple(S.join_features(a, b, False, False, model.words)) for a, b in sides})
     memo = fresh()
-    for before in ("끝-", ". -", "끝 ", ". ", "끝"):
-        memo.line_kind("p. 3", 1, 3, before, False)
-    assert len(memo.lines) == len({tuple(S.line_features("p. 3", 1, 3, b, False)) for b in ("끝-", ". -", "끝 ", ". ", "끝")}) == 2
+    befores = ("끝-", ". -", "끝 ", ". ", "끝", "(최초")
+    asked = [(b, x) for b in befores for x in (("회에 한함",), ("회에는 지급", "다음"), ())]
+    for b, x in asked:
+        memo.line_kind("p. 3", "inner", False, b, x)
+    read = {tuple(S.line_features("p. 3", "inner", False, S._unfinished(b), S._edges(b, "")[0], tuple(S._edges("", y)[1] for y in x), model.known)) for b, x in asked}
+    assert len(read) <= len(memo.lines) < len(asked) and all(memo.line_kind("p. 3", "inner", False, b, x) == fresh().line_kind("p. 3", "inner", False, b, x) for b, x in asked)
     assert all(memo.breaks(a, b, False, False) == fresh().breaks(a, b, False, False) for a, b in sides)
 
 
