@@ -5,10 +5,10 @@ array; an item of size s goes to the level l that makes the sum of squares of th
 N[l+s] - N[l] is least (a new container is level 0, a full one leaves the array). Documents longer than a container
 are cut into full containers and one rest, all others stay whole.
 
-Documents are spread over shards by hash and each shard packs its own, by descending size class within the shard (the
-order is free, as all documents of a shard are known). The containers that a shard leaves less than ``WELL_FILLED``
-full are opened again and their documents packed together in a second round over fewer, larger shards, so that the
-loss of sharding does not add up. Only (doc, tokens) pairs are shuffled, never texts.
+Documents are spread over shards by hash, ``SHARD`` of them on average, and each shard places its own one after another in
+the order of a second hash, as they would arrive. The containers that a shard leaves less than ``WELL_FILLED``
+full are opened again and their documents placed in a second round, in shards of the same size over the documents left
+of all shards, so that the loss of sharding does not add up. Only (doc, tokens) pairs are shuffled, never texts.
 
 Defined results: documents without tokens (null or empty text) are in no container; a document of exactly the capacity
 fills one; repeated documents are items of their own; an empty table gives no containers; a non-positive or null
@@ -30,12 +30,13 @@ SHARD = 20_000
 #: Containers filled below this share are packed again in the second round.
 WELL_FILLED = 0.98
 
-SCHEMA = "pack_id long, shard long, container long, doc_id long, piece_no long, n_tokens long, capacity long"
+SCHEMA = "pack_id long, shard long, container long, doc_id long, piece_no long, n_tokens long, capacity long, arrival long"
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Container number of every item (all at most the capacity), by the sum-of-squares rule in the order given."""
     levels = np.zeros(capacity + 1, dtype=np.int64)
+    active = np.zeros(capacity, dtype=bool)  # levels that have an open container
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
     out = np.empty(len(sizes), dtype=np.int64)
     made = 0
@@ -44,23 +45,21 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
             out[i] = made
             made += 1
             continue
-        # gain of moving a container from level l to l + s: 2 * (N[l+s] - N[l]) + 2, a full container counts nothing
-        after = levels[s : capacity + 1].copy()
-        after[-1] = 0
-        before = levels[: capacity + 1 - s]
-        gain = after - before
-        gain[before == 0] = 1 << 60
-        gain[-1] -= 1  # on ties rather close a container
-        best = int(gain.argmin())
-        new = levels[s] + 1 if s < capacity else 0
-        if gain[best] >= (1 << 59) or gain[best] > new:
+        # gain of moving a container from level l to l + s: 2 * (N[l+s] - N[l]) + 2; a full container counts nothing and is taken on ties
+        at = np.flatnonzero(active[: capacity + 1 - s])
+        gain = np.where(at + s == capacity, -1, levels[at + s]) - levels[at] if len(at) else at
+        best = int(gain.argmin()) if len(at) else -1
+        if best < 0 or gain[best] > levels[s] + 1:
             c, level = made, s
             made += 1
         else:
-            c, level = open_at[best].pop(), best + s
-            levels[best] -= 1
+            old = int(at[best])
+            c, level = open_at[old].pop(), old + s
+            levels[old] -= 1
+            active[old] = levels[old] > 0
         if level < capacity:
             levels[level] += 1
+            active[level] = True
             open_at[level].append(c)
         out[i] = c
     return out
@@ -68,9 +67,9 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def _pack_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     cap = int(pdf["capacity"].iat[0])
-    pdf = pdf.sort_values(["n_tokens", "doc_id", "piece_no"], ascending=[False, True, True], kind="stable")
+    pdf = pdf.sort_values(["arrival", "doc_id", "piece_no"], kind="stable")
     pdf["container"] = pack(pdf["n_tokens"].to_numpy(), cap)
-    return pdf[["pack_id", "shard", "container", "doc_id", "piece_no", "n_tokens", "capacity"]]
+    return pdf[["pack_id", "shard", "container", "doc_id", "piece_no", "n_tokens", "capacity", "arrival"]]
 
 
 def pieces(tokens: DataFrame, packs: list[tuple[int, int]]) -> DataFrame:
@@ -95,18 +94,14 @@ def containers(documents: DataFrame, pack_sizes: DataFrame, shard: int = SHARD)
     shards = max(1, -(-tokens.count() // shard))
     items = pieces(tokens, packs)
     whole = items.where("n_tokens = capacity").select("pack_id", "capacity", F.concat_ws("-", F.lit("w"), "doc_id", "piece_no").alias("container_id"), "doc_id", "piece_no", "n_tokens")
-    rest = items.where("n_tokens < capacity").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long"))
+    rest = items.where("n_tokens < capacity").withColumns({"shard": F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long"), "arrival": F.xxhash64(F.lit("arrival"), "doc_id")})
     first = cut(rest.groupBy("pack_id", "shard").applyInPandas(_pack_shard, SCHEMA), "packed")
-    if shards == 1:
-        done, again = first, None
-    else:
-        fill = first.groupBy("pack_id", "shard", "container").agg((F.sum("n_tokens") >= F.first("capacity") * WELL_FILLED).alias("good"))
-        marked = first.join(fill, ["pack_id", "shard", "container"])
-        done = marked.where("good").drop("good")
-        wide = max(1, shards // 32)
-        left = marked.where("not good").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(wide)).cast("long") + F.lit(shards))
-        again = left.groupBy("pack_id", "shard").applyInPandas(_pack_shard, SCHEMA)
-    packed = done if again is None else done.unionByName(again)
+    fill = first.groupBy("pack_id", "shard", "container").agg((F.sum("n_tokens") >= F.first("capacity") * WELL_FILLED).alias("good"))
+    marked = cut(first.join(fill, ["pack_id", "shard", "container"]), "marked")
+    left = marked.where("not good").drop("good", "container")
+    again = max(1, -(-(left.groupBy("pack_id").count().agg(F.max("count")).first()[0] or 0) // shard))
+    second = left.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(again)).cast("long") + F.lit(shards)).groupBy("pack_id", "shard").applyInPandas(_pack_shard, SCHEMA)
+    packed = marked.where("good").select(*second.columns).unionByName(second)
     return whole.unionByName(packed.select("pack_id", "capacity", F.concat_ws("-", "shard", "container").alias("container_id"), "doc_id", "piece_no", "n_tokens"))
 
 

@@ -87,10 +87,26 @@ def test_tokens_of_long_texts_are_whole(spark):
     assert count_tokens(None, enc) == 0 and count_tokens("가" * 50_000, enc) > 0
 
 
-def test_deal_is_exact_and_disjoint():
-    rng = np.random.default_rng(1)
-    out = X.deal(np.array([13, 0, 40]), 7, rng)
-    assert out.sum(axis=0).tolist() == [13, 0, 40] and max(out.sum(axis=1)) - min(out.sum(axis=1)) <= 3
+@pytest.mark.parametrize("shards", [1, 7, 200])
+def test_deal_is_exact_and_disjoint(shards):
+    out = X.deal(np.array([1300, 0, 4000]), shards, 1)
+    assert out.sum(axis=0).tolist() == [1300, 0, 4000] and max(out.sum(axis=1)) - min(out.sum(axis=1)) <= 9
+    assert (out == X.deal(np.array([1300, 0, 4000]), shards, 1)).all()
+
+
+def test_ten_thousand_shards_are_dealt_in_executors(spark):
+    got = X.dealt_blocks(spark, {1: {"a": 25_000, "b": 5_000}, 2: {"a": 3}}, {1: 10_000, 2: 2}, 5)
+    assert len(X.subtrees(np.array([25_000, 5_000]), 10_000, 6)) <= 2**X.TOP
+    rows = got.toPandas()
+    assert {k: sorted(v) == list(range(1, n + 1)) for (k, v), n in zip(rows.groupby(["mix_id", "source"])["rank"], (25_000, 5_000, 3))} == {(1, "a"): True, (1, "b"): True, (2, "a"): True}
+    per = rows[rows.mix_id == 1].groupby("shard").size()
+    assert rows[rows.mix_id == 1].shard.nunique() > 9_900 and per.max() <= 12
+
+
+def test_running_sums_over_ranges(spark):
+    df = spark.range(1_000).select((F.col("id") % 3).alias("k"), F.xxhash64("id").alias("h"), F.col("id").alias("v"))
+    got = X.running(df, ["k"], ["h"], "v", "s").toPandas().sort_values(["k", "h"])
+    assert (got.groupby("k").v.cumsum() == got.s).all()
 
 
 def test_mix(spark):
@@ -110,4 +126,6 @@ def test_mix(spark):
     assert not p.duplicated(["mix_id", "doc_id", "repeat_no"]).any()
     assert (p.groupby(["mix_id", "shard"]).position.max() == p.groupby(["mix_id", "shard"]).size()).all()
     assert sorted(map(tuple, sel.collect())) == sorted(map(tuple, X.mixed(small, t).collect()))
+    many = X.mixed(small, t, shard_tokens=200, block_docs=5)
+    assert many.select("shard").distinct().count() > 20 and not many.toPandas().duplicated(["mix_id", "doc_id", "repeat_no"]).any()
     assert X.mixed(small.limit(0), t).count() == 0 and X.mixed(small, t.limit(0)).count() == 0
