@@ -9,8 +9,8 @@ typed on the wrong keyboard layout is the same sequence again.
 A value is answered by the pigeonhole join: a reference is cut into k+1 positional segments, of which one is intact in
 every value within k edits; segments and the substrings of a value they may equal are joined on (length, k, number,
 segment), and ``levenshtein`` verifies. It runs twice: with k = 0 (one segment, the whole reference) for the value as
-written and with one syllable repeated or two exchanged, and for what is left with ``budget`` edits, one for every
-``LETTERS_PER_EDIT`` letters of the reference and two at most. What stays unanswered is reported through an anti-join.
+written, and for what is left both with k = 0 for the value with one syllable repeated or two exchanged (which comes first) and
+with ``budget`` edits, one for every ``LETTERS_PER_EDIT`` letters of the reference and two at most. What stays unanswered is reported through an anti-join.
 
 Words the lexicon lacks (foreign names, Chinese characters, new coinages) can't be found by spelling. They are learned from
 the rows at hand: where a name that found no reference consists of a known word of one slot and an unknown one, the
@@ -141,12 +141,16 @@ def _probes(values: DataFrame, edits: Column | None = None, most: int = MOST_EDI
     return p.where((F.col("from") >= 1) & (F.col("many") > 0) & (F.col("from") + F.col("many") - 1 <= F.length("spelling"))).select("slot", "len", "k", "no", F.expr("substring(spelling, from, many)").alias("seg"), "key", "spelling", "slip")
 
 
-def nearest(values: DataFrame, refs: DataFrame, edits: Column | None = None, most: int = MOST_EDITS, few: bool = False) -> DataFrame:
-    """(slot, key, target_id) of (slot, key, spelling, slip) values within the edits of a reference, by the pigeonhole join on k+1 segments; ``few`` references have been counted and are broadcast."""
-    segments = _segments(refs, edits)
-    pairs = _probes(values, edits, most).join(F.broadcast(segments) if few else segments, ["slot", "len", "k", "no", "seg"]).select("slot", "key", "spelling", "slip", "ref", "target_id", "k").distinct()
+def nearest(values: DataFrame, refs: DataFrame, edits: Column | None = None, most: int = MOST_EDITS, few: bool = False, slipped: DataFrame | None = None) -> DataFrame:
+    """(slot, key, target_id) of (slot, key, spelling, slip) values within the edits of a reference, by the pigeonhole join on k+1 segments.
+
+    ``slipped`` values take part with no edit. ``few`` references have been counted and are broadcast."""
+    segments, probes = _segments(refs, edits), _probes(values, edits, most)
+    if slipped is not None:
+        segments, probes = segments.unionByName(_segments(refs, F.lit(0))).distinct(), probes.unionByName(_probes(slipped, F.lit(0), 0))
+    pairs = probes.join(F.broadcast(segments) if few else segments, ["slot", "len", "k", "no", "seg"]).select("slot", "key", "spelling", "slip", "ref", "target_id", "k").distinct()
     near = pairs.select("slot", "key", "slip", "target_id", F.levenshtein("spelling", "ref", most).alias("d"), "k").where("d >= 0 and d <= k")
-    return near.groupBy("slot", "key").agg(F.min(F.struct("slip", "d", (F.col("target_id") < 0).alias("none"), "target_id")).alias("m")).select("slot", "key", F.col("m.target_id").alias("target_id"))
+    return near.groupBy("slot", "key").agg(F.min(F.struct((-F.col("slip")).alias("slip"), "d", (F.col("target_id") < 0).alias("none"), "target_id")).alias("m")).select("slot", "key", F.col("m.target_id").alias("target_id"))
 
 
 #: References of one list that may be broadcast.
@@ -161,13 +165,13 @@ def match(values: DataFrame, refs: DataFrame) -> DataFrame:
     width = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)  # few bytes, much work: no coalescing
     text = F.col("text")
     shapes = F.array(compact(text), compact(without_fillers(text)))
-    slipped = F.array_distinct(F.flatten(F.transform(F.filter(shapes, lambda t: F.length(t) <= longest + 1), slips)))
-    form = lambda slip: lambda x: F.struct(x.alias("spelling"), F.lit(slip).alias("slip"))
-    forms = F.concat(F.transform(spellings(text), form(0)), F.transform(slipped, form(1)))
-    spelled = cut(values.repartition(width, F.xxhash64("key")).select("slot", "key", F.explode(forms).alias("f")).select("slot", "key", "f.*").where((F.length("spelling") > 0) & (F.length("spelling") <= longest)), "spelled")
+    swapped = F.array_distinct(F.flatten(F.transform(F.filter(shapes, lambda t: F.length(t) <= longest + 1), slips)))
+    spell = lambda df, forms, slip: df.select("slot", "key", F.explode(forms).alias("spelling"), F.lit(slip).alias("slip")).where((F.length("spelling") > 0) & (F.length("spelling") <= longest))
+    spread = cut(values.repartition(width, F.xxhash64("key")), "values")
+    spelled = cut(spell(spread, spellings(text), 0), "spelled")
     whole = cut(nearest(spelled, refs, F.lit(0), 0, few), "whole")
-    rest = spelled.where("slip = 0").join(whole, ["slot", "key"], "left_anti").repartition(width, F.xxhash64("key"))
-    return cut(whole.unionByName(nearest(rest, refs, few=few)), "matched")
+    rest = lambda df: df.join(whole, ["slot", "key"], "left_anti").repartition(width, F.xxhash64("key"))
+    return cut(whole.unionByName(nearest(rest(spelled), refs, few=few, slipped=spell(rest(spread), swapped, 1))), "matched")
 
 
 def lexicon(synonyms: DataFrame, catalog: DataFrame) -> DataFrame:
