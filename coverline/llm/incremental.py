@@ -129,10 +129,19 @@ def agreement(a: tuple[str, str] = ("sa", "sb"), b: tuple[str, str] = ("ra", "rb
     return F.lit(BINS) - differing(F.col(a[0]).bitwiseXOR(F.col(b[0]))) - differing(F.col(a[1]).bitwiseXOR(F.col(b[1])))
 
 
-def with_bands(variants: DataFrame) -> DataFrame:
-    """One row per variant and band: the exact part with one value of the signature."""
-    keys = F.array(*[F.xxhash64("part", F.lit(8 * j + i), F.shiftrightunsigned(s, 8 * i).bitwiseAND(F.lit(0xFF))) for j, s in enumerate(("sa", "sb")) for i in range(8)])
-    return variants.withColumn("key", F.explode(keys))
+def with_bands(variants: DataFrame, unlike: tuple[str, str] | None = None) -> DataFrame:
+    """One row per variant and band: the exact part with one value of the signature; only the values in which it differs from the signature ``unlike``, if given."""
+    value = lambda s, i: F.shiftrightunsigned(s, 8 * i).bitwiseAND(F.lit(0xFF))
+    places = [(j, s, i) for j, s in enumerate(("sa", "sb")) for i in range(8)]
+    keys = [F.xxhash64("part", F.lit(8 * j + i), value(s, i)) for j, s, i in places]
+    if unlike:
+        keys = [F.when(value(s, i) != value(unlike[j], i), k) for k, (j, s, i) in zip(keys, places)]
+    return variants.withColumn("key", F.explode(F.array_compact(F.array(*keys)) if unlike else F.array(*keys)))
+
+
+def least(groups) -> DataFrame:
+    """(…, rid, ra, rb) of the variant with the least rid of each group (plain longs, so that they are aggregated by hash)."""
+    return groups.agg(F.min_by("sa", "rid").alias("ra"), F.min_by("sb", "rid").alias("rb"), F.min("rid").alias("rid"))
 
 
 VARIANT = ["part", "check", "sa", "sb"]
@@ -174,33 +183,36 @@ class History:
             hit = [r[0] for r in batch.select(self.bucket()).distinct().collect()]
         parts = self.keys("parts", hit).select("part", "check", "record", "ra", "rb")
         probed = cut(batch.select(*VARIANT, "rid").join(parts, ["part", "check"], "left"), "probed")
-        leaders = probed.where("record is null").groupBy("part", "check").agg(F.min(F.struct("rid", "sa", "sb")).alias("f"))
-        self.append("parts", leaders.select("part", "check", F.col("f.rid").alias("record"), F.col("f.sa").alias("ra"), F.col("f.sb").alias("rb")))
+        leaders = least(probed.where("record is null").groupBy("part", "check"))
+        self.append("parts", leaders.select("part", "check", F.col("rid").alias("record"), "ra", "rb"))
         led = probed.where("record is null").drop("record", "ra", "rb").join(self.keys("parts", hit, self.runs).select("part", "check", "record", "ra", "rb"), ["part", "check"])
         met = probed.where("record is not null").unionByName(led)
         exact = (F.col("sa") == F.col("ra")) & (F.col("sb") == F.col("rb"))
-        met = cut(met.select(*VARIANT, "rid", "record", exact.alias("first"), (agreement() >= SIMILAR).alias("same")), "met")
+        met = cut(met.select(*VARIANT, "rid", "record", "ra", "rb", exact.alias("first"), (agreement() >= SIMILAR).alias("same")), "met")
         further = met.where("same and not first").select(*VARIANT, "rid", "record")
+        # what is like one of these but not like the first record shares a value with it in which it differs from the first
+        banded = with_bands(met.where("same and not first"), ("ra", "rb")).select("key", "check", "record", "rid", "sa", "sb")
         others = met.where("not same").select(*VARIANT, "rid")
         flags = met.agg(F.coalesce(F.bool_or(~F.col("first")), F.lit(False)), F.coalesce(F.bool_or(~F.col("same")), F.lit(False))).first()
         if flags[1]:
-            further = further.unionByName(self._linked(others, further, hit))
+            linked = self._linked(others, banded, hit)
+            further, banded = further.unionByName(linked), banded.unionByName(with_bands(linked).select(banded.columns))
         if flags[0]:
             known = self.keys("bands", hit).select("key", "check", "record").distinct() if "bands" in self.kinds else None
-            each = with_bands(further).groupBy("key", "check", "record").agg(F.min(F.struct("rid", "sa", "sb")).alias("f"))
+            each = least(banded.groupBy("key", "check", "record"))
             new = each if known is None else each.join(known, ["key", "check", "record"], "left_anti")
-            self.append("bands", new.select("key", "check", "record", F.col("f.sa").alias("ra"), F.col("f.sb").alias("rb")))
+            self.append("bands", new.select("key", "check", "record", "ra", "rb"))
         self.runs += 1
         return met.where("first").select(*VARIANT, "rid", "record").unionByName(further)
 
-    def _linked(self, others: DataFrame, further: DataFrame, hit: list[int]) -> DataFrame:
+    def _linked(self, others: DataFrame, banded: DataFrame, hit: list[int]) -> DataFrame:
         """Variants unlike the record of their part with the record they belong to, by band keys."""
-        slim = lambda banded: banded.groupBy("key", "check", "record").agg(F.min(F.struct("sa", "sb")).alias("f")).select("key", "check", "record", F.col("f.sa").alias("ra"), F.col("f.sb").alias("rb"))
-        anchors = self.keys("bands", hit).select("key", "check", "record", "ra", "rb").unionByName(slim(with_bands(further)))
+        slim = lambda banded: least(banded.groupBy("key", "check", "record")).drop("rid")
+        anchors = self.keys("bands", hit).select("key", "check", "record", "ra", "rb").unionByName(slim(banded))
         pending, done = cut(with_bands(others), "pending"), []
         while True:
             known = pending.join(anchors, ["key", "check"]).where(agreement() >= SIMILAR).groupBy("rid").agg(F.min("record").alias("known"))
-            leads = pending.groupBy("key", "check").agg(F.min(F.struct("rid", "sa", "sb")).alias("f")).select("key", "check", F.col("f.rid").alias("lead"), F.col("f.sa").alias("ra"), F.col("f.sb").alias("rb"))
+            leads = least(pending.groupBy("key", "check")).withColumnRenamed("rid", "lead")
             near = pending.join(leads, ["key", "check"]).select(*VARIANT, "rid", "lead", (agreement() >= SIMILAR).alias("ok"))
             links = near.groupBy(*VARIANT, "rid").agg(F.coalesce(F.min(F.when(F.col("ok"), F.col("lead"))), F.col("rid")).alias("lead"), F.bool_and("ok").alias("all"))
             root = F.when((F.col("lead") == F.col("rid")) & F.col("all"), F.col("rid"))

@@ -576,13 +576,22 @@ def _damaged(words: Counter) -> set[str]:
 _LETTERS_IN_NUMBERS = re.compile(r"\d[OoQDlIZSbGBgq|]+(?=[\d.)~가-힣%\]]|$)|(?<![A-Za-z])[OolISB]\d*[OolISB]일")
 
 
-def count_pieces(pieces: Iterable[tuple[str, int]], bad: set[str]) -> Counter:
+KINDS = ("known", "word", "fill", "open", "shut")
+
+
+def count_pieces(pieces: Iterable[tuple[str, int]], bad: set[str], kinds: tuple[str, ...] = KINDS) -> Counter:
     """Counts of (kind, key, filling) over masked pieces without damaged words: ``known`` contexts, ``word``s, ``fill``ings, and ``open`` and ``shut`` places with and without blank."""
     out: Counter = Counter()
     for p, n in pieces:
         if _LETTERS_IN_NUMBERS.search(p) or any(w in bad for w in _WORD.findall(p)):
             continue
         q = "  " + p + "  "
+        for w in _WORDS.findall(p) if "word" in kinds else ():
+            out["word", w, ""] += n
+        if "fill" not in kinds:
+            for i in range(1, len(q) - 1):
+                out["known", q[i - 1 : i + 2], ""] += n
+            continue
         for i in range(2, len(q) - 2):
             out["known", q[i - 1 : i + 2], ""] += n
             out["known", "<" + q[i - 2 : i + 1], ""] += n
@@ -591,8 +600,6 @@ def count_pieces(pieces: Iterable[tuple[str, int]], bad: set[str]) -> Counter:
                 out["open", q[i - 2 : i] + q[i + 1 : i + 3], ""] += n
             else:
                 out["shut", q[i - 2 : i + 2], ""] += n
-        for w in _WORDS.findall(p):
-            out["word", w, ""] += n
         fillings: Fillings = {}
         count_fillings(letters(p)[0], n, fillings)
         for k, row in fillings.items():
@@ -773,7 +780,7 @@ def piece_counts(texts: DataFrame) -> DataFrame:
     return pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
 
-def count_all(texts: DataFrame, kinds: tuple[str, ...] = ("known", "word", "fill", "open", "shut")) -> Counts:
+def count_all(texts: DataFrame, kinds: tuple[str, ...] = KINDS) -> Counts:
     """What is known of clean text, counted over all texts; only the counts of words and contexts come to the driver."""
     pieces = cut(piece_counts(texts), "pieces")
     words = pieces.select(F.explode(F.regexp_extract_all("piece", F.lit(_WORD.pattern), F.lit(0))).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
@@ -782,8 +789,8 @@ def count_all(texts: DataFrame, kinds: tuple[str, ...] = ("known", "word", "fill
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: Counter = Counter()
         for pdf in batches:
-            out.update(count_pieces(zip(pdf["piece"], pdf["n"].tolist()), bad))
-        yield pd.DataFrame([(*k, n) for k, n in out.items() if k[0] in kinds], columns=["kind", "k", "f", "n"])
+            out.update(count_pieces(zip(pdf["piece"], pdf["n"].tolist()), bad, kinds))
+        yield pd.DataFrame([(*k, n) for k, n in out.items()], columns=["kind", "k", "f", "n"])
 
     counted = pieces.mapInPandas(run, "kind string, k string, f string, n long").groupBy("kind", "k", "f").agg(F.sum("n").alias("n"))
     return Counts(bad, {(r.kind, r.k, r.f): r.n for r in counted.collect()})
