@@ -189,7 +189,7 @@ def key_points(pairs: DataFrame, slots: DataFrame, lexicon: Lexicon = DEFAULT) -
     gaps = top_gaps(pairs).groupBy("side").agg(F.max_by(F.format_string("%s (%s vs %s, %+d%%)", "name", "our_amt", "comp_amt", "gap_pct"), F.struct(F.abs("gap_pct"), -F.col("our_ord"))).alias("best"))
     best = gaps.groupBy(F.lit(1).alias("one")).agg(F.max(F.when(F.col("side") == OURS, F.col("best"))).alias("up"), F.max(F.when(F.col("side") == THEIRS, F.col("best"))).alias("down"))
     ex = exclusive_actions(counted(pairs), lexicon).groupBy("side").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "action", "n"))).alias("l"))
-    cats = ex.groupBy(F.lit(1).alias("one")).agg(*[F.max(F.when(F.col("side") == s, F.array_join(F.transform(F.slice("l", 1, k), lambda x: F.format_string("%s %d건", x["action"], x["n"])), " · "))).alias(s) for s, k in (("our", 1000), ("comp", 4))])
+    cats = ex.groupBy(F.lit(1).alias("one")).agg(*[F.max(F.when(F.col("side") == s, F.array_join(F.transform(F.slice("l", F.lit(1), F.size("l") if k is None else F.lit(k)), lambda x: F.format_string("%s %d건", x["action"], x["n"])), " · "))).alias(s) for s, k in (("our", None), ("comp", 4))])
     w = slot_wins(slots).groupBy(F.lit(1).alias("one")).agg(*[F.coalesce(F.max(F.when((F.col("dimension") == d) & (F.col("advantage") == v), F.col("n"))), F.lit(0)).alias(a) for d, v, a in (("payment_limit", OURS, "lim_up"), ("payment_limit", THEIRS, "lim_down"), ("reduction_rule", OURS, "red_up"), ("reduction_rule", THEIRS, "red_down"))])
     t = p.withColumn("one", F.lit(1)).join(best, "one", "left").join(cats, "one", "left").join(w, "one", "left").na.fill(0, ["lim_up", "lim_down", "red_up", "red_down"])
     point = lambda o, kind, label, n, d: F.struct(F.lit(o).alias("ord"), F.lit(kind).alias("type"), F.lit(label).alias("label"), n.cast("long").alias("n"), F.coalesce(d, F.lit("")).alias("detail"))
@@ -200,5 +200,12 @@ def key_points(pairs: DataFrame, slots: DataFrame, lexicon: Lexicon = DEFAULT) -
 
 def deep_dive(pairs: DataFrame, top: int = 5) -> DataFrame:
     """Facts on both sides: benefits in all, alone, and the first names alone."""
-    side = lambda s, kind: pairs.where(F.col("match_type").isin("matched", kind)).agg(F.lit(s).alias("side"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("match_type") == kind).cast("long").alias("alone"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("match_type") == kind, F.struct(f"{s}_ord", f"{s}_name")))), 1, top), lambda x: x[f"{s}_name"]), " / ").alias("names"))
+
+    def side(s: str, kind: str) -> DataFrame:
+        one = F.lit(1).alias("one")
+        n = pairs.where(F.col("match_type").isin("matched", kind)).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("match_type") == kind).cast("long").alias("alone")).select(one, "total", "alone")
+        first = pairs.where(F.col("match_type") == kind).select(F.col(f"{s}_ord").alias("o"), F.col(f"{s}_name").alias("name")).orderBy("o").limit(top)
+        names = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "name"))), lambda x: x["name"]), " / ").alias("names")).select(one, "names")
+        return n.join(names, "one").select(F.lit(s).alias("side"), "total", "alone", "names")
+
     return side("our", "our_only").unionByName(side("comp", "comp_only"))

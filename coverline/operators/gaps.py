@@ -20,8 +20,8 @@ def other_share(rows: DataFrame, threshold: float = 0.05) -> DataFrame:
 def category_distribution(rows: DataFrame) -> DataFrame:
     """Rows by category with their share and the place of the first."""
     n = rows.groupBy(text("benefit_category").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
-    listed = n.agg(F.sum("n").alias("total"), F.collect_list(F.struct("category", "n", "first_ord")).alias("l"))  # one row per category, of which there are few
-    return listed.select(F.explode("l").alias("c"), "total").select("c.category", "c.n", "c.first_ord", (F.col("c.n") / F.col("total")).alias("share"))
+    total = rows.agg(F.count(F.lit(1)).alias("total")).select(F.lit(1).alias("one"), "total")
+    return n.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("category", "n", "first_ord", (F.col("n") / F.col("total")).alias("share"))
 
 
 def keyed_names(rows: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:

@@ -184,7 +184,7 @@ def text_benefits(pages: DataFrame) -> DataFrame:
     each = lines.withColumn("group_no", F.coalesce(F.sum(hit.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     got = each.groupBy("doc_id", "page_idx", "group_no").agg(F.transform(F.array_sort(F.collect_list(F.when(~hit, F.struct("line_no", "line")))), lambda x: x["line"]).alias("buffer"), F.max(F.when(hit, F.col("line"))).alias("amount"))
     done = got.where((F.size("buffer") > 0) & F.col("amount").isNotNull())
-    return done.select("doc_id", "page_idx", "group_no", F.try_element_at("buffer", F.lit(1)).alias("name"), F.array_join(F.slice("buffer", 2, 10_000), " ").alias("trigger"), "amount")
+    return done.select("doc_id", "page_idx", "group_no", F.try_element_at("buffer", F.lit(1)).alias("name"), F.array_join(F.slice("buffer", F.lit(2), F.size("buffer")), " ").alias("trigger"), "amount")
 
 
 def first_pages(pages: DataFrame, n: int = 3) -> DataFrame:

@@ -1,48 +1,81 @@
 """Benefits of two products matched one to one within a canonical key.
 
 Within a key each of our benefits, in order, takes the unused benefit of the other side whose amount text is most
-similar (ties: the earlier). Both sides are grouped by key into ordered arrays and paired by a fold, so the only shuffle is by key;
-products are collapsed to comparison rows before, and the arrays hold what the pairing needs (order and amount) only.
-Blank names share the key "" and match each other.
+similar (ties: the earlier). Amounts made of the same characters are most similar, so as long as no such class of
+amounts of a key has run out, the nth benefit of a class takes the nth of the same class, which is a join on (key, class,
+number). Only from the first benefit on that finds its class used up (``late``) one choice depends on another; these are folded
+in order by queues of the classes that are left, of which there are few. Blank names share the key "" and match each other.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverline.functions.amounts import similarity
-from coverline.functions.bind import let
 from coverline.functions.text import text
-
-
-def grouped(side: DataFrame, name: str) -> DataFrame:
-    """A2: per key the ordered (ord, amount, characters of the amount) of one side."""
-    amount = text("amount")
-    return side.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ord", amount.alias("amount"), F.array_distinct(F.split(amount, "")).alias("chars")))).alias(name))
+from coverline.operators.ranges import running
+from coverline.session import cut
+
+PAIR = "key string, our_ord long, comp_ord long"
+
+
+def classed(side: DataFrame) -> DataFrame:
+    """A2: (key, ord, class, nth): the characters of the amount, and the place among those of the key that are made of them."""
+    characters = F.array_join(F.array_sort(F.array_distinct(F.split(text("amount"), ""))), "")
+    rows = side.select("key", F.col("ord").cast("long").alias("ord"), characters.alias("class"), F.lit(1).cast("long").alias("one"))
+    return running(rows, ["key", "class"], ["ord"], "one", "nth").drop("one")
+
+
+def _likeness(a: str, b: str) -> float:
+    return len(set(a) & set(b)) / max(len(a), len(b)) if a and b else float(a == b)
+
+
+def _fold(ours: pd.DataFrame, comps: pd.DataFrame) -> pd.DataFrame:
+    """Late benefits of a key in order, each with the most similar one that is left."""
+    queues: dict[str, deque] = {}
+    for c, o in comps.sort_values("ord")[["class", "ord"]].itertuples(index=False):
+        queues.setdefault(c, deque()).append(o)
+    out, likeness = [], {}
+    for c, o in ours.sort_values("ord")[["class", "ord"]].itertuples(index=False):
+        if c in queues:
+            best = c
+        else:
+            score = lambda x: likeness.setdefault((c, x), _likeness(c, x))
+            best = min(queues, key=lambda x: (-score(x), queues[x][0]), default=None)
+        if best is None:
+            out.append((o, None))
+            continue
+        out.append((o, queues[best].popleft()))
+        if not queues[best]:
+            del queues[best]
+    out += [(None, o) for q in queues.values() for o in q]
+    key = (ours if len(ours) else comps)["key"].iat[0]
+    return pd.DataFrame({"key": key, "our_ord": pd.array([a for a, _ in out], dtype="Int64"), "comp_ord": pd.array([b for _, b in out], dtype="Int64")})
 
 
 def paired(our: DataFrame, comp: DataFrame) -> DataFrame:
     """(key, our_ord, comp_ord, match_type) from two sides of (ord, key, amount)."""
-    item = "struct<ord:bigint,amount:string,chars:array<string>>"
-    both = grouped(our, "ours").join(grouped(comp, "comps"), "key", "full").withColumns({s: F.coalesce(s, F.array().cast(f"array<{item}>")) for s in ("ours", "comps")})
-    start = F.struct(F.array().cast("array<struct<our:bigint,comp:bigint>>").alias("pairs"), F.col("comps").cast(f"array<{item}>").alias("free"))
-    score = lambda o, c: similarity(o["amount"], c["amount"], (o["chars"], c["chars"]))
-
-    def step(acc, o):
-        best = F.array_max(F.transform(acc["free"], lambda c: F.struct(score(o, c).alias("score"), (-c["ord"]).alias("neg"))))
-
-        def take(taken):
-            pair = F.struct(o["ord"].alias("our"), taken.alias("comp"))
-            return F.struct(F.concat(acc["pairs"], F.array(pair)).alias("pairs"), F.filter(acc["free"], lambda c: taken.isNull() | (c["ord"] != taken)).alias("free"))
-
-        return let(-best["neg"], take)
-
-    folded = both.select("key", F.aggregate("ours", start, step).alias("r"))
-    left = F.transform("r.free", lambda c: F.struct(F.lit(None).cast("long").alias("our"), c["ord"].alias("comp")))
-    each = folded.select("key", F.explode(F.concat("r.pairs", left)).alias("p"))
-    kind = F.when(F.col("p.our").isNull(), "comp_only").when(F.col("p.comp").isNull(), "our_only").otherwise("matched")
-    return each.select("key", F.col("p.our").alias("our_ord"), F.col("p.comp").alias("comp_ord"), kind.alias("match_type"))
+    comps = cut(classed(comp), "comps")
+    there = comps.groupBy("key", "class").agg(F.count(F.lit(1)).alias("m"))
+    ours = classed(our).join(there, ["key", "class"], "left").withColumn("lacks", F.col("nth") > F.coalesce("m", F.lit(0)))
+    ours = cut(ours, "ours")
+    late_from = ours.where("lacks").groupBy("key").agg(F.min("ord").alias("from"))
+    ours = ours.join(late_from, "key", "left").withColumn("late", F.coalesce(F.col("ord") >= F.col("from"), F.lit(False)))
+    early = ours.where("not late").select("key", "class", "nth", F.col("ord").alias("our_ord")).join(comps.withColumnRenamed("ord", "comp_ord"), ["key", "class", "nth"])
+    early = cut(early.select("key", "our_ord", "comp_ord"), "early")
+    left = comps.join(early.select(F.col("comp_ord").alias("ord")), "ord", "left_anti")
+    waiting = ours.where("late").select("key", "ord", "class")
+    alone = left.join(late_from, "key", "left_anti").select("key", F.lit(None).cast("long").alias("our_ord"), F.col("ord").alias("comp_ord"))
+    contested = left.join(late_from, "key", "left_semi").select("key", "ord", "class")
+    # a key that has nothing left on the other side needs no fold
+    nothing = waiting.join(contested.select("key").distinct(), "key", "left_anti").select("key", F.col("ord").alias("our_ord"), F.lit(None).cast("long").alias("comp_ord"))
+    some = waiting.join(contested.select("key").distinct(), "key", "left_semi")
+    folded = some.groupBy("key").cogroup(contested.groupBy("key")).applyInPandas(_fold, PAIR)
+    kind = F.when(F.col("our_ord").isNull(), "comp_only").when(F.col("comp_ord").isNull(), "our_only").otherwise("matched")
+    return early.unionByName(alone).unionByName(nothing).unionByName(folded).select("key", "our_ord", "comp_ord", kind.alias("match_type"))
 
 
 def counts_by_key(our: DataFrame, comp: DataFrame) -> DataFrame:

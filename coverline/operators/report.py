@@ -62,7 +62,11 @@ def cell(value: Column, evidence_no: Column | None = None) -> Column:
 def cancer_matrix(our: DataFrame, comp: DataFrame) -> DataFrame:
     """By class of cancer: benefits of both sides and the first two amounts of each in order."""
     rows = both_sides(our, comp).withColumn("class", cancer_class("benefit_name")).where("class <> ''")
-    one = rows.groupBy("class", "side").agg(F.count_distinct("benefit_name").alias("n"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_set(F.when(text("amount") != "", F.struct("ord", "amount")))), 1, 2), lambda x: x["amount"]), ", ").alias("amounts"))
+    n = rows.groupBy("class", "side").agg(F.count_distinct("benefit_name").alias("n"))
+    place = F.row_number().over(Window.partitionBy("class", "side").orderBy("ord", "amount"))  # limited to two before the shuffle
+    two = rows.where(text("amount") != "").select("class", "side", "ord", "amount").withColumn("place", place).where("place <= 2")
+    amounts = two.groupBy("class", "side").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "amount"))), lambda x: x["amount"]), ", ").alias("amounts"))
+    one = n.join(amounts, ["class", "side"], "left")
     side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
     return one.groupBy("class").agg(F.coalesce(side("our", "n"), F.lit(0)).alias("our_n"), F.coalesce(side("comp", "n"), F.lit(0)).alias("comp_n"), F.coalesce(side("our", "amounts"), F.lit("")).alias("our_amounts"), F.coalesce(side("comp", "amounts"), F.lit("")).alias("comp_amounts"))
 

@@ -101,12 +101,54 @@ def first_of(e: str, lists, otherwise: str) -> str:
     return f"CASE {whens} ELSE {q(otherwise)} END"
 
 
+# Fixed values, written down for the check on their own: kind of insurance: category label keyword/keyword/...
+CATEGORY_WORDS = {
+    "암보험": """
+        diagnosis 진단 암으로 진단/악성신생물/진단확정/고액암/특정암/제자리암/상피내암/경계성종양/갑상선암진단/기타피부암진단/유방암진단/전립선암진단
+        surgery 수술 암수술/암으로 수술/로봇수술/다빈치/레보아이/직접적인 목적으로 수술/절제/적출
+        treatment 치료 항암약물치료/항암방사선치료/암직접치료/직접치료급여금/암의 직접적인 치료/항암/방사선치료/면역치료
+        hospitalization 입원 입원/입원일당/입원급여금
+        living_benefit 생활비 생활자금/암생활자금/생존한 경우/매월/매년 진단확정일
+        death 사망 사망/사망보험금/암으로 사망/암사망
+        premium_waiver 납입면제 보험료 납입을 면제/납입면제
+        examination 검사 검사비/검사비용/검사자금/PET/NGS/유전자패널/바늘생검/조직병리/양전자단층/PSMA/주요검사/기타검사
+        icu 중환자실 중환자실
+        consultation 다학제진료 다학제
+        supportive_care 지지요법 통증완화/항구토/영양치료/집중영양/재활치료/특정재활
+        disability 장해 장해보험금/장해급여금/장해자금/장해분류표/질병장해
+        outpatient 통원 통원/외래
+        nursing_hospital 요양병원 요양병원입원/요양병원암입원
+        male_infertility 기타 남성난임/정자채취""",
+    "치매보험": """
+        diagnosis 진단 치매로 진단/알츠하이머/CDR/경증치매/중증치매/치매진단/뇌혈관성치매/치매등급
+        nursing 간병 장기요양/요양병원/간병비/간병인/노인장기요양보험/요양급여
+        living_benefit 생활비 생활자금/생활비/매월/생존한 경우
+        premium_waiver 납입면제 보험료 납입을 면제/납입면제""",
+    "치아보험": """
+        prosthetics 보철 임플란트/브리지/틀니/보철/크라운
+        treatment 치료 충치/레진/인레이/신경치료/치주/스케일링/치료
+        accident 사고 사고/파절/외상""",
+    "뇌심장보험": """
+        diagnosis 진단 뇌졸중/뇌경색/뇌출혈/급성심근경색/협심증/심부전/부정맥/관상동맥
+        surgery 수술 수술/스텐트/관상동맥우회
+        hospitalization 입원 입원/입원일당""",
+    "default": """
+        diagnosis 진단 진단확정/진단보험금/진단자금
+        surgery 수술 수술/수술보험금/수술자금
+        hospitalization 입원 입원/입원일당/입원보험금
+        death 사망 사망/사망보험금
+        premium_waiver 납입면제 납입면제/보험료 면제
+        examination 검사 검사비/검사비용/검사자금
+        disability 장해 장해보험금/장해급여금/장해자금/장해분류표""",
+}
+
+
 def category(e: str, kind: str, what: int) -> str:
     def section(name):
-        rows = fixed.CATEGORIES[name]
+        rows = [(c, label, words.split("/")) for c, label, words in (x.strip().split(" ", 2) for x in CATEGORY_WORDS[name].strip().split("\n"))]
         return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({e}, {q(w)})" for w in r[2]) + f" THEN {q(r[what])}" for r in rows) + " END"
 
-    by_kind = "CASE " + " ".join(f"WHEN {kind} = {q(k)} THEN {section(k)}" for k in fixed.CATEGORIES if k != "default") + " END"
+    by_kind = "CASE " + " ".join(f"WHEN {kind} = {q(k)} THEN {section(k)}" for k in CATEGORY_WORDS if k != "default") + " END"
     return f"coalesce({by_kind}, {section('default')})"
 
 

@@ -5,6 +5,7 @@ import json
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from coverline.functions.lexicon import canonical_key
@@ -233,3 +234,43 @@ def test_key_points(spark):
     slots = spark.createDataFrame([(1, 10, "a", "payment_limit", "최대 2회", "최대 1회", "당사우위")], "our_ord long, comp_ord long, our_name string, dimension string, our_value string, comp_value string, advantage string")
     got = {r.ord: (r.type, r.n, r.detail) for r in compare.key_points(pairs, slots).collect()}
     assert got == {1: ("strength", 1, "a (1,000만원 vs 500만원, +100%)"), 2: ("strength", 1, "수술 1건"), 3: ("strength", 1, "지급한도 1건 / 감액조건 0건"), 6: ("gap", 1, "입원 1건")}
+
+
+def _greedy(ours, comps):
+    """Each of ours in order takes the unused one with the most similar amount, worked out pair by pair."""
+    free, out = sorted(comps), []
+    like = lambda a, b: 1.0 if a == b else 0.0 if not a or not b else len(set(a) & set(b)) / max(len(set(a)), len(set(b)))
+    for o, amount in sorted(ours):
+        best = max(free, key=lambda c: (like(amount, c[1]), -c[0]), default=None)
+        if best:
+            free.remove(best)
+        out.append((o, best and best[0]))
+    return set(out) | {(None, c[0]) for c in free}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pairing_equals_the_plain_greedy_choice(spark, seed):
+
+    rng = random.Random(seed)
+    draw = lambda n: [(i, rng.choice(["", "100만원", "10만원", "1,000만원", "500만원", "30%", "50만원"])) for i in rng.sample(range(1_000), n)]
+    sides = {k: (draw(rng.randint(0, 40)), draw(rng.randint(0, 40))) for k in "abcdef"}
+    frame = lambda j: spark.createDataFrame([(1_000 * n + i, k, a) for n, (k, s) in enumerate(sides.items()) for i, a in s[j]], "ord long, key string, amount string")
+    got = {(r.key, r.our_ord, r.comp_ord) for r in matching.paired(frame(0), frame(1)).collect()}
+    at = lambda n, x: None if x is None else 1_000 * n + x
+    assert got == {(k, at(n, o), at(n, c)) for n, (k, s) in enumerate(sides.items()) for o, c in _greedy(*s)}
+
+
+def test_pairing_of_one_hot_key(spark):
+    side = lambda n, shift: spark.range(n).select(F.col("id").alias("ord"), F.lit("k").alias("key"), F.concat(((F.col("id") + shift) % 7 + 1).cast("string"), F.lit("만원")).alias("amount"))
+    got = matching.match_counters(side(100_000, 0), side(90_000, 3)).first()
+    assert (got.matched, got.our_only, got.comp_only) == (90_000, 10_000, 0)
+    pairs = matching.paired(side(100_000, 0), side(90_000, 3)).groupBy("match_type").count().collect()
+    assert {r.match_type: r["count"] for r in pairs} == {"matched": 90_000, "our_only": 10_000}
+
+
+@pytest.mark.parametrize("name,kind,want", [("일반암수술급여금", "암보험", "surgery"), ("갑상선암진단비", "암보험", "diagnosis"), ("갑상선암 진단비", "암보험", "other"), ("보험료 면제", "default", "premium_waiver")])
+def test_category_keywords(spark, name, kind, want):
+    from coverline.functions.classify import benefit_category
+
+    df = spark.createDataFrame([(name, "", kind)], "n string, t string, k string")
+    assert df.select(benefit_category("n", "t", F.col("k"))["category"]).first()[0] == want
