@@ -33,7 +33,6 @@ from pyspark.sql import types as T
 
 from coverline.llm.confusables import one_form
 from coverline.llm.mapping import benefit_targets
-from coverline.llm.scans import Model, fit_lines, without_furniture
 from coverline.operators.units import unit_hint, won
 from coverline.session import bounded, cut, scratch_path
 
@@ -48,12 +47,25 @@ _ODD = re.compile(r"[^\x00-\x7f가-힣·]")
 _OTHER = re.compile(r"[^가-힣]+")
 
 
-def trigger_parts(text: str | None, model: Model | None = None) -> tuple[str, str]:
-    """(numbers in order, syllables) of a trigger without the headers and page numbers the line model finds; misread digits are read as digits."""
+#: A line that holds nothing but a page number: a number, marks and at most one short word on either side.
+_PAGE = re.compile(r"\s*(?:[-–—]\s*\d{1,4}\s*[-–—]|[〔\[(<]\s*\d{1,4}\s*[〕\])>]|(?:[^\W\d]{1,4}\.?\s*)?\d{1,4}(?:\s*(?:/|of)\s*\d{1,4})?(?:쪽|면|\s*페이지)?)\s*")
+_NOT_LETTERS = re.compile(r"\W+")
+
+
+def without_furniture(text: str, names: tuple[str | None, ...]) -> str:
+    """The text without inner lines that hold nothing but a page number or that name the record's own insurer or product, as running headers do."""
+    lines = text.split("\n")
+    own = [n for n in (_NOT_LETTERS.sub("", x) for x in names if x) if n]
+    furniture = lambda x: _PAGE.fullmatch(x) is not None or any(n in (t := _NOT_LETTERS.sub("", x)) for n in own)
+    return "\n".join(x for i, x in enumerate(lines) if i == 0 or not furniture(x))
+
+
+def trigger_parts(text: str | None, names: tuple[str | None, ...] = ()) -> tuple[str, str]:
+    """(numbers in order, syllables) of a trigger without headers and page numbers; misread digits are read as digits."""
     if not text:
         return "", ""
-    if model and "\n" in text:
-        text = "\n".join(without_furniture(text, model, set()))
+    if "\n" in text:
+        text = without_furniture(text, names)
     t = (one_form(text) if _ODD.search(text) else text).upper()
     return " ".join(_DIGIT_RUN.findall(t)).translate(_MISREAD), _OTHER.sub("", t)
 
@@ -81,18 +93,17 @@ def signatures(texts: list[str]) -> np.ndarray:
     return (sig >> np.uint32(12)).astype(np.uint8).view(np.int64)
 
 
-def trigger_features(model: Model):
-    """Numbers and signature of every trigger of a batch; repeated triggers are computed once."""
+def _trigger_features(text: pd.Series, insurer: pd.Series, product: pd.Series) -> pd.DataFrame:
+    """Numbers and signature of every trigger of a batch; repeated triggers of one line are computed once."""
+    several = text.fillna("").str.contains("\n", regex=False)
+    codes, distinct = pd.factorize(text.fillna("").where(~several, text.fillna("") + "\u0001" + insurer.fillna("") + "\u0001" + product.fillna("")))
+    parts = [trigger_parts(x, tuple(more)) for x, *more in (d.split("\u0001") for d in distinct)]
+    sig = signatures([p[1] for p in parts])
+    numbers = np.array([p[0] for p in parts] or [""], dtype=object)
+    return pd.DataFrame({"numbers": numbers[codes], "sa": sig[codes, 0], "sb": sig[codes, 1]})
 
-    def run(text: pd.Series) -> pd.DataFrame:
-        codes, distinct = pd.factorize(text.fillna(""))
-        parts = [trigger_parts(x, model) for x in distinct]
-        sig = signatures([p[1] for p in parts])
-        numbers = np.array([p[0] for p in parts] or [""], dtype=object)
-        return pd.DataFrame({"numbers": numbers[codes], "sa": sig[codes, 0], "sb": sig[codes, 1]})
 
-    kind = T.StructType([T.StructField("numbers", T.StringType()), T.StructField("sa", T.LongType()), T.StructField("sb", T.LongType())])
-    return F.pandas_udf(run, kind).asNondeterministic()
+trigger_features = F.pandas_udf(_trigger_features, T.StructType([T.StructField("numbers", T.StringType()), T.StructField("sa", T.LongType()), T.StructField("sb", T.LongType())])).asNondeterministic()
 
 
 def plain(text: Column) -> Column:
@@ -103,9 +114,10 @@ def plain(text: Column) -> Column:
 def row_features(rows: DataFrame, artifacts: DataFrame, synonyms: DataFrame, catalog: DataFrame) -> DataFrame:
     """(row_id, batch_no, part, check, sa, sb): the exact part of the record as a 128-bit hash with a 64-bit check, and its trigger's signature."""
     hint = unit_hint(F.col("notes_summary"), F.col("amount"))
+    insurer = F.col("insurer") if "insurer" in rows.columns else F.lit(None).cast("string")
     read = rows.where("row_id is not null").select(
         "row_id", "artifact_id", "benefit_name", plain(F.concat_ws("\u0001", *[F.coalesce(c, F.lit("")) for c in ("product_name", "contract_name", "amount_condition")])).alias("exact"),
-        plain(F.col("amount")).alias("amount"), won("amount", hint).alias("won"), trigger_features(fit_lines(rows, "trigger"))("trigger").alias("t"),
+        plain(F.col("amount")).alias("amount"), won("amount", hint).alias("won"), trigger_features(F.replace(F.col("trigger"), F.lit("\u0001"), F.lit(" ")), insurer, "product_name").alias("t"),
     )
     worth = F.coalesce(F.col("won").cast("string"), F.col("amount"))
     whole = F.concat_ws("\u0001", "exact", worth, "t.numbers")

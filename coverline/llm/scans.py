@@ -802,15 +802,6 @@ def fit_model(rows: DataFrame, entries: DataFrame) -> Model:
     return train(sample, everything=count_all(running_texts(rows, entries)), names=sample_names(rows))
 
 
-def fit_lines(rows: DataFrame, column: str, seed: int = 7) -> Model:
-    """Line model of one column alone, for ``without_furniture``."""
-    counts = count_all(rows.select(F.col(column).alias("text")), ("known", "word"))
-    clean = [t for t in sample_texts(rows, "row_id", [column]) if "\n" not in t and not _LETTERS_IN_NUMBERS.search(t) and not any(w in counts.bad for w in _WORD.findall(t))]
-    liner = Perceptron().fit(_line_examples(clean, sample_names(rows), counts, random.Random(seed)), margin=MARGIN)
-    counts.words, counts.bad = {}, set()
-    return Model(None, None, liner, counts)
-
-
 def defects_found(rows: DataFrame, entries: DataFrame, model: Model | None = None) -> DataFrame:
     """(field, key_id, defect), one row per damaged text and kind of damage."""
     model = model or fit_model(rows, entries)
