@@ -1,29 +1,30 @@
 """New batches against all accepted history, without going through the history again.
 
-The history is two tables of keys, in directories by bucket of the hash of the key. ``parts`` holds the first record of every
+The history is two tables in directories by bucket of the exact part. ``parts`` holds the first record of every
 exact part (product, contract, meaning of the benefit, worth of the amount, condition, all numbers of the trigger) as a
-128-bit hash with a 64-bit check and the minwise signature of its trigger. ``bands`` holds, for every other signature
-accepted under a part, its minwise band keys with the signature and the record it belongs to, one signature for each key
-and record. A batch is brought to its distinct (part, signature) variants; these probe the parts in their own buckets and are
-verified by signature. What hits a part without being similar to its record probes the band keys, of the history and of
-the batch itself, and is linked to the least record it is similar to; links within a batch are followed to their roots until
-nothing changes, so every link ends at a record. Then the keys of what is new are appended. The read of a batch is
-pruned to the buckets its keys fall into, and no past row or text is read. A variant meets one signature of each record that
-shares a band with it, so no group is ever compared all with all; copies of one signature are one variant.
+128-bit hash with a 64-bit check and the minwise signature of its trigger; ``variants`` holds every other signature accepted
+under a part with its record and its place in the order of arrival. A batch probes the parts in its own buckets and is verified by
+signature. What hits a part without being similar to its first record meets the signatures of that part that came before it,
+of the history and of the batch itself, and belongs to the record of the earliest one it is similar to. Then what is new is
+appended. The read of a batch is pruned to the buckets its parts fall into, and no past row or text is read.
+
+Everything is decided within a part and by what arrived before (batch by batch, within one by id). Batches that are there together
+are therefore accepted together, in a constant number of steps, with the answer of one after another. A part's
+signatures are compared only where they share one of ``PAIRS``, which by the pigeonhole principle loses no similar pair.
 
 TESTDATA.md defines a record by equal numbers and cause "apart from ... small changes of wording", which five-word
 shingles at 0.8 can't follow in texts of a dozen words; signatures are therefore taken over pairs of syllables, and
 ``SIMILAR`` agreeing values of ``BINS`` verify (within equal exact parts, other causes lie far below).
 
 Defined results: null and "" are the same value; rows without id or of an unknown artifact belong to no batch and are left out;
-blank file hashes never count; repeated rows of one batch are one variant, and only rows of a later batch than the
+blank file hashes never count; equal signatures of a part are one variant, and only rows of a later batch than the
 record's lowest row are reported; an empty table gives an empty result; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ from coverline.llm.mapping import benefit_targets
 from coverline.operators.units import unit_hint, won
 from coverline.session import bounded, cut, scratch_path
 
-#: Values of a signature, of eight bits each; every value is a band of its own.
+#: Values of a signature, of eight bits each.
 BINS = 16
 #: Agreeing values of BINS that verify; two unrelated signatures agree in none or one, those of a reworded trigger in eight or more.
 SIMILAR = 4
@@ -141,30 +142,48 @@ def agreement(a: tuple[str, str] = ("sa", "sb"), b: tuple[str, str] = ("ra", "rb
     return F.lit(BINS) - differing(F.col(a[0]).bitwiseXOR(F.col(b[0]))) - differing(F.col(a[1]).bitwiseXOR(F.col(b[1])))
 
 
-def with_bands(variants: DataFrame, unlike: tuple[str, str] | None = None) -> DataFrame:
-    """One row per variant and band: the exact part with one value of the signature; only the values in which it differs from the signature ``unlike``, if given."""
-    value = lambda s, i: F.shiftrightunsigned(s, 8 * i).bitwiseAND(F.lit(0xFF))
-    places = [(j, s, i) for j, s in enumerate(("sa", "sb")) for i in range(8)]
-    keys = [F.xxhash64("part", F.lit(8 * j + i), value(s, i)) for j, s, i in places]
-    if unlike:
-        keys = [F.when(value(s, i) != value(unlike[j], i), k) for k, (j, s, i) in zip(keys, places)]
-    return variants.withColumn("key", F.explode(F.array_compact(F.array(*keys)) if unlike else F.array(*keys)))
-
+#: Pairs of values of which two signatures that agree in SIMILAR values share one at least: of SIMILAR - 1 groups of places, two of these lie in one.
+PAIRS = [p for places in np.array_split(np.arange(BINS), SIMILAR - 1) for p in combinations(places.tolist(), 2)]
 
-def least(groups) -> DataFrame:
-    """(…, rid, ra, rb) of the variant with the least rid of each group (plain longs, so that they are aggregated by hash)."""
-    return groups.agg(F.min_by("sa", "rid").alias("ra"), F.min_by("sb", "rid").alias("rb"), F.min("rid").alias("rid"))
+VARIANT = ["part", "check", "sa", "sb"]
 
 
-VARIANT = ["part", "check", "sa", "sb"]
+def earliest_alike(group: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """For rows in order of arrival: the first row before each of ``asked`` in its group that agrees in SIMILAR values; the row itself if there is none."""
+    best = np.arange(len(values))
+    for j, k in PAIRS:
+        key = (group.astype(np.int64) << 16) | (values[:, j].astype(np.int64) << 8) | values[:, k]
+        order = np.argsort(key, kind="stable")
+        rows, at = asked, np.searchsorted(key[order], key[asked])
+        while len(rows):  # the rows of equal key one after another, as far as the earliest found so far
+            other = order[at]
+            before = other < best[rows]
+            rows, at, other = rows[before], at[before], other[before]
+            alike = (values[rows] == values[other]).sum(axis=1) >= SIMILAR
+            best[rows[alike]] = other[alike]
+            rows, at = rows[~alike], at[~alike] + 1
+    return best[asked]
+
+
+def _linked(members: pd.DataFrame) -> pd.DataFrame:
+    """Open signatures with the record of the earliest signature they are like, which may be open itself; else their own."""
+    members = members.sort_values(["part", "check", "run", "batch_no", "rid"], ignore_index=True)
+    group = ((members["part"] != members["part"].shift()) | (members["check"] != members["check"].shift())).cumsum().to_numpy()
+    values = np.ascontiguousarray(members[["sa", "sb"]].to_numpy(dtype=np.int64)).view(np.uint8)
+    lead, asked = np.arange(len(members)), np.flatnonzero(members["open"].to_numpy())
+    lead[asked] = earliest_alike(group, values, asked)
+    while ((up := lead[lead]) != lead).any():
+        lead = up
+    members["record"] = members["record"].to_numpy()[lead]
+    return members.loc[asked, [*VARIANT, "record"]]
 
 
 class History:
-    """Persisted keys of everything accepted so far, below a folder all executors share."""
+    """Persisted signatures of everything accepted so far, below a folder all executors share."""
 
     SCHEMA = {
         "parts": "part binary, check long, record long, ra long, rb long, run int, bucket int",
-        "bands": "key long, check long, record long, ra long, rb long, run int, bucket int",
+        "variants": "part binary, check long, sa long, sb long, record long, batch_no long, rid long, run int, bucket int",
     }
 
     def __init__(self, spark, path: str | None = None, runs: int = 0, kinds: tuple[str, ...] = (), buckets: int | None = None):
@@ -173,83 +192,58 @@ class History:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def bucket(self) -> Column:
-        """Bucket of a key: by its check, which part and band keys share."""
-        return F.pmod(F.col("check"), F.lit(self.buckets)).cast("int")
+        """Bucket of a part: by the hash that also deals it to a shuffle partition, so that a bucket is written by one task."""
+        return F.pmod(F.hash("part", "check"), F.lit(self.buckets)).cast("int")
 
-    def keys(self, kind: str, hit: list[int], run: int | None = None) -> DataFrame:
-        """The keys in the buckets that are hit; other directories are not read."""
+    def keys(self, kind: str, hit: list[int]) -> DataFrame:
+        """The signatures in the buckets that are hit; other directories are not read."""
         if kind not in self.kinds or not hit:
             return self.spark.createDataFrame([], self.SCHEMA[kind])
         found = self.spark.read.schema(self.SCHEMA[kind]).parquet(f"{self.path}/{kind}")
-        if len(hit) < self.buckets:
-            found = found.where(F.col("bucket").isin(hit))
-        return found if run is None else found.where(F.col("run") == run)
+        return found.where(F.col("bucket").isin(hit)) if len(hit) < self.buckets else found
 
     def append(self, kind: str, keys: DataFrame) -> None:
-        keys.withColumns({"run": F.lit(self.runs), "bucket": self.bucket()}).repartition("bucket").write.mode("append").partitionBy("run", "bucket").parquet(f"{self.path}/{kind}")
+        keys.withColumns({"run": F.lit(self.runs), "bucket": self.bucket()}).write.mode("append").partitionBy("run", "bucket").parquet(f"{self.path}/{kind}")
         self.kinds.add(kind)
 
-    def accept(self, batch: DataFrame, hit: list[int] | None = None) -> DataFrame:
-        """(part, check, sa, sb, rid, record) of the variants (part, check, sa, sb, rid) of a batch: probe, verify, append the keys of what is new."""
+    def accept(self, rows: DataFrame, hit: list[int] | None = None) -> DataFrame:
+        """(batch_no, rid, record) of the rows (part, check, sa, sb, rid) of a batch: probe, verify, append what is new.
+
+        Several batches at once have a ``batch_no``; they get the answer of one after another."""
+        if "batch_no" not in rows.columns:
+            rows = rows.withColumn("batch_no", F.lit(0).cast("long"))
         if hit is None:
-            hit = [r[0] for r in batch.select(self.bucket()).distinct().collect()]
-        parts = self.keys("parts", hit).select("part", "check", "record", "ra", "rb")
-        probed = cut(batch.select(*VARIANT, "rid").join(parts, ["part", "check"], "left"), "probed")
-        leaders = least(probed.where("record is null").groupBy("part", "check"))
-        self.append("parts", leaders.select("part", "check", F.col("rid").alias("record"), "ra", "rb"))
-        led = probed.where("record is null").drop("record", "ra", "rb").join(self.keys("parts", hit, self.runs).select("part", "check", "record", "ra", "rb"), ["part", "check"])
-        met = probed.where("record is not null").unionByName(led)
-        exact = (F.col("sa") == F.col("ra")) & (F.col("sb") == F.col("rb"))
-        met = cut(met.select(*VARIANT, "rid", "record", "ra", "rb", exact.alias("first"), (agreement() >= SIMILAR).alias("same")), "met")
-        further = met.where("same and not first").select(*VARIANT, "rid", "record")
-        # what is like one of these but not like the first record shares a value with it in which it differs from the first
-        banded = with_bands(met.where("same and not first"), ("ra", "rb")).select("key", "check", "record", "rid", "sa", "sb")
-        others = met.where("not same").select(*VARIANT, "rid")
-        flags = met.agg(F.coalesce(F.bool_or(~F.col("first")), F.lit(False)), F.coalesce(F.bool_or(~F.col("same")), F.lit(False))).first()
+            hit = [r[0] for r in rows.select(self.bucket()).distinct().collect()] if self.kinds else list(range(self.buckets))
+        leaders = rows.groupBy("part", "check").agg(F.min(F.struct("batch_no", "rid", "sa", "sb")).alias("f")).select("part", "check", F.col("f.rid").alias("record"), F.col("f.sa").alias("ra"), F.col("f.sb").alias("rb"))
+        if self.kinds:
+            leaders = leaders.join(self.keys("parts", hit).select("part", "check"), ["part", "check"], "left_anti")
+        self.append("parts", leaders)
+        met = rows.select(*VARIANT, "batch_no", "rid").join(self.keys("parts", hit).select("part", "check", "record", "ra", "rb"), ["part", "check"])
+        first, same = (F.col("sa") == F.col("ra")) & (F.col("sb") == F.col("rb")), agreement() >= SIMILAR
+        # of what equals its first record nothing is kept but the link
+        met = cut(met.select(*[F.when(~first, F.col(c)).alias(c) for c in VARIANT], "batch_no", "rid", F.when(same, F.col("record")).alias("record")), "met")
+        done, known = met.where("record is not null").select("batch_no", "rid", "record"), None
+        unlike = met.where("part is not null").groupBy(*VARIANT, "record").agg(F.min(F.struct("batch_no", "rid")).alias("f")).select(*VARIANT, "record", "f.*")
+        flags = met.agg(F.count("part"), F.count(F.when(F.col("record").isNull(), 1))).first()
+        if "variants" in self.kinds:
+            known = self.keys("variants", hit).select(*VARIANT, "record", "batch_no", "rid", "run")
         if flags[1]:
-            linked = self._linked(others, banded, hit)
-            further, banded = further.unionByName(linked), banded.unionByName(with_bands(linked).select(banded.columns))
+            linked = cut(self.linked(unlike, known), "linked")
+            done = done.unionByName(met.where("record is null").select(*VARIANT, "batch_no", "rid").join(linked, VARIANT).select("batch_no", "rid", "record"))
+            unlike = unlike.where("record is not null").unionByName(unlike.where("record is null").drop("record").join(linked, VARIANT))
         if flags[0]:
-            known = self.keys("bands", hit).select("key", "check", "record").distinct() if "bands" in self.kinds else None
-            each = least(banded.groupBy("key", "check", "record"))
-            new = each if known is None else each.join(known, ["key", "check", "record"], "left_anti")
-            self.append("bands", new.select("key", "check", "record", "ra", "rb"))
+            new = unlike if known is None else unlike.join(known.select(VARIANT), VARIANT, "left_anti")
+            self.append("variants", new.repartition("part", "check").select(*VARIANT, "record", "batch_no", "rid"))
         self.runs += 1
-        return met.where("first").select(*VARIANT, "rid", "record").unionByName(further)
-
-    def _linked(self, others: DataFrame, banded: DataFrame, hit: list[int]) -> DataFrame:
-        """Variants unlike the record of their part with the record they belong to, by band keys."""
-        slim = lambda banded: least(banded.groupBy("key", "check", "record")).drop("rid")
-        anchors = self.keys("bands", hit).select("key", "check", "record", "ra", "rb").unionByName(slim(banded))
-        pending, done = cut(with_bands(others), "pending"), []
-        while True:
-            known = pending.join(anchors, ["key", "check"]).where(agreement() >= SIMILAR).groupBy("rid").agg(F.min("record").alias("known"))
-            leads = least(pending.groupBy("key", "check")).withColumnRenamed("rid", "lead")
-            near = pending.join(leads, ["key", "check"]).select(*VARIANT, "rid", "lead", (agreement() >= SIMILAR).alias("ok"))
-            links = near.groupBy(*VARIANT, "rid").agg(F.coalesce(F.min(F.when(F.col("ok"), F.col("lead"))), F.col("rid")).alias("lead"), F.bool_and("ok").alias("all"))
-            root = F.when((F.col("lead") == F.col("rid")) & F.col("all"), F.col("rid"))
-            links = links.join(known, "rid", "left").select(*VARIANT, "rid", "lead", F.coalesce("known", root).alias("record"))
-            links = self._rooted(cut(links, "links"))
-            decided = links.where("record is not null").select(*VARIANT, "rid", "record")
-            done.append(decided)
-            open_ = links.where("record is null").select("rid")
-            if not open_.limit(1).count():
-                return reduce(DataFrame.unionByName, done)
-            # what hid behind a leader it is unlike meets the others' records, then the next leaders
-            anchors = anchors.unionByName(slim(with_bands(decided)))
-            pending = cut(pending.join(open_, "rid", "left_semi"), "pending")
-
-    @staticmethod
-    def _rooted(links: DataFrame) -> DataFrame:
-        """Links followed until nothing changes: (…, rid, lead, record) with the record at the end of the chain, null if it is still open."""
-        while links.where("record is null and lead <> rid").limit(1).count():
-            up = links.select(F.col("rid").alias("lead"), F.col("record").alias("up_record"), F.col("lead").alias("up_lead"))
-            moved = F.col("record").isNull() & (F.col("up_record").isNotNull() | (F.col("up_lead") != F.col("lead")))
-            links = cut(links.join(up, "lead").select(*VARIANT, "rid", F.col("up_lead").alias("lead"), F.coalesce("record", "up_record").alias("record"), moved.alias("moved")), "links")
-            if not links.where("moved").limit(1).count():
-                break
-            links = links.drop("moved")
-        return links.select(*VARIANT, "rid", "lead", "record")
+        return done
+
+    def linked(self, unlike: DataFrame, known: DataFrame | None) -> DataFrame:
+        """(part, check, sa, sb, record) of the signatures unlike the first record of their part, by all signatures of those parts."""
+        members = unlike.withColumn("run", F.lit(self.runs))
+        members = members if known is None else members.unionByName(known)
+        crowded = unlike.where("record is null").select("part", "check").distinct()
+        members = members.join(crowded, ["part", "check"], "left_semi").select(*VARIANT, "run", "batch_no", "rid", F.coalesce("record", "rid").alias("record"), F.col("record").isNull().alias("open"), self.bucket().alias("bucket"))
+        return members.groupBy("bucket").applyInPandas(_linked, "part binary, check long, sa long, sb long, record long")
 
 
 def artifacts_found(artifacts: DataFrame) -> DataFrame:
@@ -261,28 +255,10 @@ def artifacts_found(artifacts: DataFrame) -> DataFrame:
     return pairs.select(F.least("f.artifact_id", "artifact_id").alias("id_a"), F.greatest("f.artifact_id", "artifact_id").alias("id_b"))
 
 
-def row_records(rows: DataFrame, artifacts: DataFrame, synonyms: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row_id, batch_no, part, check, sa, sb) of all rows, and (batch_no, part, check, sa, sb, rid, record) of their variants: batch after batch is accepted into the history in order."""
-    spark = rows.sparkSession
-    features = cut(row_features(rows, artifacts, synonyms, catalog), "features")
-    history, path, out = History(spark), scratch_path(spark, "variants"), scratch_path(spark, "assigned")
-    variants = features.groupBy("batch_no", *VARIANT).agg(F.min("row_id").alias("rid")).withColumn("bucket", history.bucket())
-    variants.repartition("batch_no", "bucket").write.partitionBy("batch_no").parquet(path)
-    schema = "part binary, check long, sa long, sb long, rid long, "
-    stored = spark.read.schema(schema + "bucket int, batch_no long").parquet(path)
-    batches: dict[int, list[int]] = {}
-    for b, k in stored.select("batch_no", "bucket").distinct().collect():  # a number for every batch and bucket
-        batches.setdefault(b, []).append(k)
-    for b in sorted(batches):
-        history.accept(stored.where(F.col("batch_no") == b), batches[b]).withColumn("batch_no", F.lit(b).cast("long")).write.mode("append").parquet(out)
-    assigned = spark.read.schema(schema + "record long, batch_no long").parquet(out) if batches else spark.createDataFrame([], schema + "record long, batch_no long")
-    return features, assigned
-
-
 def repeats_found(rows: DataFrame, artifacts: DataFrame, synonyms: DataFrame, catalog: DataFrame) -> DataFrame:
     """(kind, id_a, id_b): artifacts and rows of later batches that repeat something accepted before."""
-    features, assigned = row_records(rows, artifacts, synonyms, catalog)
+    features = cut(row_features(rows, artifacts, synonyms, catalog), "features").withColumnRenamed("row_id", "rid")
+    assigned = History(rows.sparkSession).accept(features)
     lowest = assigned.groupBy("record").agg(F.min(F.struct("rid", "batch_no")).alias("a"), F.max("batch_no").alias("last")).where("last > a.batch_no")
-    late = assigned.join(lowest, "record").where("batch_no > a.batch_no").select("batch_no", *VARIANT, F.col("a.rid").alias("id_a"))
-    by_row = features.join(late, ["batch_no", *VARIANT]).select(F.lit("row").alias("kind"), "id_a", F.col("row_id").alias("id_b"))
+    by_row = assigned.join(lowest, "record").where("batch_no > a.batch_no").select(F.lit("row").alias("kind"), F.col("a.rid").alias("id_a"), F.col("rid").alias("id_b"))
     return artifacts_found(artifacts).select(F.lit("artifact").alias("kind"), "id_a", "id_b").unionByName(by_row)

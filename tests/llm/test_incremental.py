@@ -1,5 +1,7 @@
 """Batches against history."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +134,57 @@ def test_equal_to_brute_force_over_tables(spark, small):
         want |= {(a[0], i) for i, b in rows_of if b > a[1]}
     got = {(r.id_a, r.id_b) for r in I.repeats_found(*tables).where("kind = 'row'").collect()}
     assert got == want and len(want) > 10
+
+
+def one_by_one(rows) -> dict:
+    """Record of every (batch_no, rid, part, values): that of the earliest row of its part it is like."""
+    seen, want = {}, {}
+    for b, i, p, v in sorted(rows):
+        want[b, i] = next((r for r, x in seen.setdefault(p, []) if agree(signed(v), signed(x)) >= I.SIMILAR), i)
+        seen[p].append((want[b, i], v))
+    return want
+
+
+def test_batches_accepted_together_equal_one_after_another(spark):
+    """Random signatures with few different values, so that most are unlike their first record and chains are long; ids don't follow batches."""
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(600)
+    rows = [(int(rng.integers(1, 5)), int(i), int(rng.integers(0, 4)), rng.integers(0, 8, 16).tolist()) for i in ids]
+    rows += [(b % 4 + 1, 1000 + i, p, v) for b, i, p, v in rows[:100]]
+    want = one_by_one(rows)
+    df = spark.createDataFrame([(bytes([p]) * 16, p, *signed(v), i, b) for b, i, p, v in rows], "part binary, check long, sa long, sb long, rid long, batch_no long")
+    read = lambda out: {(r.batch_no, r.rid): r.record for r in out.collect()}
+    assert read(I.History(spark).accept(df)) == want and len(set(want.values())) > 20
+    h, got = I.History(spark), {}
+    for b in (1, 2, 3, 4):
+        got |= read(h.accept(df.where(F.col("batch_no") == b)))
+    assert got == want
+
+
+def test_pairs_lose_no_similar_signature():
+    rng = np.random.default_rng(6)
+    values = rng.integers(0, 6, (400, I.BINS)).astype(np.uint8)
+    group = np.arange(400) // 100
+    want = [next((j for j in range(i // 100 * 100, i) if (values[i] == values[j]).sum() >= I.SIMILAR), i) for i in range(400)]
+    assert I.earliest_alike(group, values, np.arange(400)).tolist() == want
+    assert all(any(j in four and k in four for j, k in I.PAIRS) for four in combinations(range(I.BINS), I.SIMILAR))
+
+
+def test_steps_do_not_grow_with_batches(spark, tables):
+    """Accepting twelve batches takes as many jobs as accepting one."""
+    sc, rows_of = spark.sparkContext, lambda n: spark.createDataFrame([(bytes([i]) * 16, i, *signed(v), 10 * i + b, b) for i in range(5) for b in range(n) for v in (FIRST if b == 0 else CHAIN[2 + b % 4],)], "part binary, check long, sa long, sb long, rid long, batch_no long")
+
+    def jobs(n: int) -> int:
+        sc.setJobGroup(f"batches-{n}", "")
+        I.History(spark).accept(rows_of(n)).count()
+        sc.setJobGroup("", "")
+        return len(sc.statusTracker().getJobIdsForGroup(f"batches-{n}"))
+
+    assert 0 < jobs(12) <= jobs(2) + 3
+
+
+def test_query_accepts_all_batches_at_once(spark, tables, monkeypatch):
+    accept, calls = I.History.accept, []
+    monkeypatch.setattr(I.History, "accept", lambda self, *a: calls.append(1) or accept(self, *a))
+    assert I.repeats_found(rows(spark), *tables).where("kind = 'row'").count() == 5
+    assert len(calls) == 1  # the three batches of the fixture were a call each, of some ten jobs each
